@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,51 +45,66 @@ class LanguageIdOptions:
     max_languages: int = 64
     penalty: float = -7.0
     #: Words remembered by a worker between batches.
-    memo: int = 300_000
+    memo: int = 200_000
 
 
 @dataclass
 class LanguageModel:
+    """Tables give the row of values; the values of all tables are one array, so a model is small in every process."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    #: by order: {gram: log10 frequencies}
-    grams: dict[int, dict[str, np.ndarray]]
+    words: dict[str, int]
+    #: by order: {gram: row}
+    grams: dict[int, dict[str, int]]
+    #: log10 frequencies, a row a word or gram, a column a language
+    values: np.ndarray
     options: LanguageIdOptions
-    #: A worker's memory: word -> row of scores.
-    known: dict[str, int] = field(default_factory=dict)
-    rows: np.ndarray | None = None
 
     def word(self, w: str) -> np.ndarray:
         """Scores of one lower-case word in every language."""
         if (v := self.words.get(w)) is not None:
-            return v
+            return self.values[v]
         marked = f" {w} "
         for n in range(min(self.options.max_order, len(marked)), 0, -1):
             table = self.grams.get(n, {})
             if hits := [v for i in range(len(marked) - n + 1) if (v := table.get(marked[i : i + n])) is not None]:
-                return sum(hits[1:], hits[0]) / len(hits)
+                return self.values[hits].mean(0)
         return np.full(len(self.languages), self.options.penalty, dtype=np.float32)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "rows": None}
 
-    def row_numbers(self, words: set[str]) -> None:
+class WordScores:
+    """What a worker remembers of one model: word -> row of scores, of at most options.memo words."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.known = model, {}
+        self.rows = np.empty((1024, len(model.languages)), dtype=np.float32)
+
+    def learn(self, words: set[str]) -> None:
         """Makes sure that known and rows have all of words."""
-        if len(self.known) > self.options.memo:
+        if len(self.known) > self.model.options.memo:
             self.known.clear()
         missing = words - self.known.keys()
         at = len(self.known)
-        if self.rows is None or at + len(missing) > len(self.rows):
-            grown = np.empty((2 * (at + len(missing)) + 1024, len(self.languages)), dtype=np.float32)
-            if at:
-                grown[:at] = self.rows[:at]
+        if at + len(missing) > len(self.rows):
+            grown = np.empty((at + len(missing) + (at + len(missing)) // 4, self.rows.shape[1]), dtype=np.float32)
+            grown[:at] = self.rows[:at]
             self.rows = grown
         for w in missing:
-            self.rows[at] = self.word(w)
+            self.rows[at] = self.model.word(w)
             self.known[w] = at
             at += 1
 
 
+#: A worker remembers the words of one model at a time.
+_remembered: list[WordScores] = []
+
+
+def _scores_of(model: LanguageModel) -> WordScores:
+    if not _remembered or _remembered[0].model is not model:
+        _remembered[:] = [WordScores(model)]
+    return _remembered[0]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves the remainder 2 by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
@@ -100,7 +115,7 @@ def fit(docs: DataFrame, options: LanguageIdOptions = LanguageIdOptions(), text:
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(options.max_languages).collect()
     if not sizes:
-        return LanguageModel([], {}, {}, options)
+        return LanguageModel([], {}, {}, np.empty((0, 0), dtype=np.float32), options)
     languages = sorted(r["lang"] for r in sizes)
     share = options.sample_documents / max(1, sum(r["count"] for r in sizes))
     if share < 1:
@@ -131,13 +146,15 @@ def fit(docs: DataFrame, options: LanguageIdOptions = LanguageIdOptions(), text:
         .toArrow()
     )
     at = {x: i for i, x in enumerate(languages)}
-    tables: dict[int, dict[str, np.ndarray]] = {}
-    for name, o, g, v in zip(*(got.column(c).to_pylist() for c in ("lang", "o", "g", "v"))):
+    tables: dict[int, dict[str, int]] = {}
+    names, orders_, units, logs = (got.column(c).to_pylist() for c in ("lang", "o", "g", "v"))
+    rows_of = []
+    for o, g in zip(orders_, units):
         table = tables.setdefault(o, {})
-        if g not in table:
-            table[g] = np.full(len(languages), options.penalty, dtype=np.float32)
-        table[g][at[name]] = max(v, options.penalty)
-    return LanguageModel(languages, tables.pop(0, {}), tables, options)
+        rows_of.append(table.setdefault(g, sum(map(len, tables.values()))))
+    values = np.full((sum(map(len, tables.values())), len(languages)), options.penalty, dtype=np.float32)
+    values[rows_of, [at[x] for x in names]] = np.maximum(np.array(logs, dtype=np.float32), options.penalty)
+    return LanguageModel(languages, tables.pop(0, {}), tables, values, options)
 
 
 def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -146,10 +163,11 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     if not model.languages:
         return names, scores
     found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-    model.row_numbers(set().union(*found))
+    memory = _scores_of(model)
+    memory.learn(set().union(*found))
     for i, ws in enumerate(found):
         if ws:
-            total = model.rows[np.fromiter(map(model.known.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64) / len(ws)
+            total = memory.rows[np.fromiter(map(memory.known.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64) / len(ws)
             best = int(total.argmax())
             names[i] = model.languages[best]
             scores[i] = 1 / np.power(10.0, np.minimum(total - total[best], 0)).sum()
@@ -164,7 +182,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for b in text_chunks(batch, text):
+            for b in text_chunks(batch, text, 4 << 20):
                 names, scores = score_texts(m, b.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, f"{P}lang_pred", f"{P}score"])
 

@@ -57,7 +57,7 @@ def signatures(docs: DataFrame, o: NearDupOptions, text: str = "text", key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash, posted = MinHash(o.coordinates), o.coordinates - o.least + 1
         for batch in batches:
-            for b in text_chunks(batch, "text", 4 << 20):
+            for b in text_chunks(batch, "text", 1 << 20):
                 ns, cls, prefix, sig = [], [], [], []
                 for s in shingle_sets(b.column("text"), o.shingle):
                     ns.append(len(s))
@@ -234,7 +234,7 @@ def _confirmed(docs: DataFrame, candidates: DataFrame, classes: DataFrame, o: Ne
             p = batch.column("through").flatten().to_numpy().astype(np.uint64).reshape(-1, 3)
             keep = ((field[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).all(1)
             batch = batch.filter(pa.array(keep))
-            for b in text_chunks(batch, "text", 4 << 20) if batch.num_rows else ():
+            for b in text_chunks(batch, "text", 1 << 20) if batch.num_rows else ():
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), o.shingle)], pa.binary())], names=["rep", "hashes"])
 
     found = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), through.alias("through")).where("doc_id is not null").mapInArrow(sets, "rep long, hashes binary")
