@@ -1,17 +1,197 @@
-"""The registered queries of the audit engine."""
+"""The registered queries of the audit engine, named by what they apply, with oracle SQL where SQL can express them.
+
+Those over the driver's tables see documents, pages and conversations as texts of a tree; those ending in _sample scan
+the small tree of sample.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenscan.functions import key_names
+from lumenscan.functions.crypto_rules import token_rows
+from lumenscan.operators import cbom, egress, keys, manifests, merkle
+from lumenscan.plans import reports
+from lumenscan.plans.sample import sample_files
+from lumenscan.sources import tree
+from lumenscan.sources.pyfacts import py_facts
+
+FLAGSHIP = "t2_merkle_root_by_order"
+c, lit = F.col, F.lit
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def s7_lines(spark, sf_dir):
+    l = tree.lines(tree.table_texts(spark, sf_dir))
+    return l.groupBy("rel").agg(F.count("*").alias("n_lines"), F.count_if(c("text").rlike(r"\S")).alias("n_filled"), F.max("line").cast("long").alias("last_line"))
+
+
+def s9_files_by_extension(spark, sf_dir):
+    return tree.files_by_extension(tree.table_texts(spark, sf_dir))
+
+
+def k21_text_assignments(spark, sf_dir):
+    return keys.assignments(tree.table_texts(spark, sf_dir)).select("file", "name", "value")
+
+
+def k13_credential_shapes(spark, sf_dir):
+    return keys.credential_shapes(tree.table_texts(spark, sf_dir))
+
+
+def _tokens(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return cbom.token_matches(d, c("text"), c("text").isNotNull())
+
+
+def c30_token_sweep(spark, sf_dir):
+    return _tokens(spark, sf_dir).select("doc_id", "primitive", "category", "quantum")
+
+
+def c31_phrases(spark, sf_dir):
+    first = F.element_at(F.split("text", "\n"), 1)
+    return _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", cbom.is_phrase(first).alias("is_phrase"))
+
+
+def v9_verdict_by_source(spark, sf_dir):
+    hits = _tokens(spark, sf_dir).groupBy("source").agg(*[F.count_if(c("quantum") == s).alias(s) for s in ("BROKEN", "VULNERABLE", "REVIEW")])
+    docs = _read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_scanned"))
+    j = docs.join(hits, "source", "left").fillna(0)
+    ladder = F.when(c("BROKEN") > 0, "BROKEN-CRYPTO").when(c("VULNERABLE") > 0, "MIGRATION-NEEDED").when(c("n_scanned") == 0, "NOT-ANALYSED").when(c("REVIEW") > 0, "REVIEW-NEEDED").otherwise("NOTHING-VULNERABLE-FOUND")
+    return j.select("source", "n_scanned", c("VULNERABLE").alias("vulnerable"), ladder.alias("verdict"))
+
+
+def d5_vex_by_weakness(spark, sf_dir):
+    return reports.vex(_tokens(spark, sf_dir).select(c("doc_id").alias("file"), "primitive", "quantum"))
+
+
+def e14_page_addresses(spark, sf_dir):
+    p = _read(spark, sf_dir, "pages").select(F.concat(lit("page/"), "page_id", lit(".html")).alias("rel"), c("html").alias("text"))
+    return egress.page_addresses(p).groupBy("file", "tag", "attribute").agg(F.count("*").alias("n"), F.count_if(egress.host_of(c("address")) != "").alias("n_external"))
+
+
+def e15_page_hosts(spark, sf_dir):
+    host = egress.host_of(c("url"))
+    return _read(spark, sf_dir, "pages").select("page_id", host.alias("host"), egress.is_loopback(host).alias("is_loopback"))
+
+
+def m2_requirements_to_purl(spark, sf_dir):
+    p = _read(spark, sf_dir, "part")
+    spec = F.concat(F.regexp_replace("p_name", "[^A-Za-z0-9]+", "-"), F.when(c("p_size") % 2 == 0, F.concat(lit("==v"), c("p_size").cast("string"), lit(".0"))).otherwise(">=1"), lit(" ; extra"))
+    d = p.select("p_partkey", spec.alias("spec")).select("*", manifests.requirement_name(c("spec")).alias("name"), F.coalesce(manifests.pinned_pypi(c("spec")), lit("")).alias("version"))
+    return d.select("p_partkey", "name", "version", manifests.purl(c("name"), lit("pypi"), c("spec"), manifests.pep440(c("version")), lit("")).alias("purl"))
+
 
-FLAGSHIP = "k_text_assignments"
+def t2_merkle_root_by_order(spark, sf_dir):
+    data = F.encode(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "UTF-8")
+    return merkle.roots_of_groups(_read(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], data, tile=16)
+
+
+def t9_forks(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    return merkle.forks(o.select(c("o_custkey").alias("origin"), F.dayofmonth("o_orderdate").alias("size"), F.sha2(c("o_orderkey").cast("string"), 256).alias("root")))
+
+
+def d1_fingerprints(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").select(c("event_type").alias("kind"), F.concat(lit("user/"), "user_id").alias("file"), c("event_id").alias("line"), lit("seen").alias("detail"))
+    o = reports.occurrences(e)
+    return o.select("line", "n", reports.fingerprint(c("kind"), c("file"), c("detail"), c("n")).alias("fingerprint"))
+
+
+def b5_distinct_components(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select(c("p_brand").alias("name"), c("p_type").alias("spec"), c("p_size").alias("line")).distinct()
+
+
+def _sample(spark):
+    files, _ = tree.read_and_skipped(sample_files(spark))
+    texts = tree.texts(files)
+    return files, texts, py_facts(texts)
+
+
+def s2_skipped_sample(spark, sf_dir):
+    return tree.read_and_skipped(sample_files(spark))[1]
+
+
+def cbom_sample(spark, sf_dir):
+    _, texts, facts = _sample(spark)
+    return cbom.components(texts, facts)
+
+
+def cbom_verdict_sample(spark, sf_dir):
+    _, texts, facts = _sample(spark)
+    return cbom.verdict(cbom.components(texts, facts), facts)
+
+
+def keys_sample(spark, sf_dir):
+    return keys.findings(*_sample(spark))
+
+
+def egress_sample(spark, sf_dir):
+    _, texts, facts = _sample(spark)
+    return egress.findings(texts, facts)
+
+
+def dependencies_sample(spark, sf_dir):
+    _, texts, facts = _sample(spark)
+    return manifests.declared(texts, facts)
+
+
+def remotes_sample(spark, sf_dir):
+    return manifests.remote_sources(_sample(spark)[1])
+
+
+def sbom_sample(spark, sf_dir):
+    _, texts, facts = _sample(spark)
+    return reports.bom_refs(manifests.sbom(manifests.declared(texts, facts)))
+
+
+def sarif_sample(spark, sf_dir):
+    _, texts, facts = _sample(spark)
+    return reports.sarif(egress.findings(texts, facts), "lumenscan")
+
+
+def cyclonedx_sample(spark, sf_dir):
+    _, texts, facts = _sample(spark)
+    return reports.cyclonedx_cbom(cbom.components(texts, facts)).unionByName(reports.cyclonedx_sbom(manifests.sbom(manifests.declared(texts, facts))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    every = [
+        t2_merkle_root_by_order, s7_lines, s9_files_by_extension, k21_text_assignments, k13_credential_shapes, c30_token_sweep, c31_phrases, v9_verdict_by_source, d5_vex_by_weakness, e14_page_addresses, e15_page_hosts, m2_requirements_to_purl,
+        t9_forks, d1_fingerprints, b5_distinct_components, s2_skipped_sample, cbom_sample, cbom_verdict_sample, keys_sample, egress_sample, dependencies_sample, remotes_sample, sbom_sample, sarif_sample, cyclonedx_sample,
+    ]
+    return {f.__name__: f for f in every}
+
+
+_q = lambda s: "'" + s.replace("'", "''") + "'"
+_TEXTS = "SELECT 'doc/' || doc_id || '.txt' rel, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'page/' || page_id || '.html', html FROM pages WHERE html IS NOT NULL UNION ALL SELECT 'conv/' || conv_id || '/' || turn || '.txt', text FROM conversations WHERE text IS NOT NULL"
+_TOKENS = "SELECT doc_id, source, text, p.primitive, p.category, p.quantum FROM documents, (VALUES " + ", ".join(f"({_q('(?i)' + p)}, {_q(a)}, {_q(b)}, {_q(s)})" for p, a, b, s in token_rows()) + ") p(re, primitive, category, quantum) WHERE regexp_matches(text, p.re)"
+_SHAPES = ", ".join(f"({_q(s)}, {_q(p)})" for s, p in key_names.SHAPES.items())
+_HOST = r"regexp_replace(lower(regexp_extract({x}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1)), '^\[|\]$', '', 'g')"
+_LEVEL = "{b} AS (SELECT o, i // 2 i, CASE WHEN count(*) = 2 THEN unhex(sha256(unhex('01') || max(h) FILTER (i % 2 = 0) || max(h) FILTER (i % 2 = 1))) ELSE any_value(h) END h FROM {a} GROUP BY 1, 2)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    k = key_names
+    levels = ", ".join(_LEVEL.format(a=f"l{i}", b=f"l{i + 1}") for i in range(4))
+    spec = "regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g')"
+    return {
+        "s7_lines": rf"SELECT rel, count(*) n_lines, count(*) FILTER (regexp_matches(t, '[^\x20\x09-\x0D]')) n_filled, count(*) last_line FROM (SELECT rel, unnest(string_split(text, chr(10))) t FROM ({_TEXTS})) GROUP BY rel",
+        "s9_files_by_extension": rf"SELECT lower(regexp_extract(rel, '[^/](\.[^./]+)$', 1)) extension, count(*) n_files FROM ({_TEXTS}) GROUP BY 1",
+        "k21_text_assignments": f"SELECT rel file, name, value FROM (SELECT rel, regexp_extract(m, {_q(k.ASSIGNMENT)}, 1) name, regexp_extract(m, {_q(k.ASSIGNMENT)}, 2) AS value FROM (SELECT rel, unnest(regexp_extract_all(text, {_q(k.ASSIGNMENT)})) m FROM ({_TEXTS}))) WHERE regexp_matches(name, {_q(k.KEY_WORD)}) AND NOT regexp_matches(name, {_q(k.NOT_MATERIAL)}) AND length(trim(value)) >= 8 AND NOT regexp_matches(trim(value), {_q(k.PLACEHOLDER)}) AND NOT regexp_matches(trim(value), {_q(k.NOT_SECRET)}) AND NOT contains(trim(value), ' ')",
+        "k13_credential_shapes": f"SELECT rel file, shape, count(*) n FROM (SELECT rel, shape, unnest(regexp_extract_all(text, re)) m FROM ({_TEXTS}), (VALUES {_SHAPES}) s(shape, re)) WHERE NOT regexp_matches(m, '[Xx*]{{8,}}') GROUP BY 1, 2",
+        "c30_token_sweep": f"SELECT doc_id, primitive, category, quantum FROM ({_TOKENS})",
+        "v9_verdict_by_source": f"WITH t AS ({_TOKENS}), h AS (SELECT source, count(*) FILTER (quantum = 'BROKEN') b, count(*) FILTER (quantum = 'VULNERABLE') v, count(*) FILTER (quantum = 'REVIEW') r FROM t GROUP BY 1), d AS (SELECT source, count(*) n FROM documents GROUP BY 1) SELECT d.source, n n_scanned, coalesce(v, 0) vulnerable, CASE WHEN b > 0 THEN 'BROKEN-CRYPTO' WHEN v > 0 THEN 'MIGRATION-NEEDED' WHEN n = 0 THEN 'NOT-ANALYSED' WHEN r > 0 THEN 'REVIEW-NEEDED' ELSE 'NOTHING-VULNERABLE-FOUND' END verdict FROM d LEFT JOIN h ON h.source = d.source",
+        "d5_vex_by_weakness": f"SELECT CASE WHEN quantum IN ('BROKEN', 'VULNERABLE') THEN 327 ELSE 338 END cwe, primitive, count(*) sites, count(DISTINCT doc_id) files, 'in_triage' state FROM ({_TOKENS}) WHERE quantum IN ('BROKEN', 'VULNERABLE', 'WEAK-RNG') GROUP BY 1, 2",
+        "e14_page_addresses": f"SELECT file, lower(regexp_extract(m, {_q(egress.TAG_ADDRESS)}, 1)) tag, lower(regexp_extract(m, {_q(egress.TAG_ADDRESS)}, 2)) \"attribute\", count(*) n, count(*) FILTER ({_HOST.format(x=f'regexp_extract(m, {_q(egress.TAG_ADDRESS)}, 3)')} <> '') n_external FROM (SELECT 'page/' || page_id || '.html' file, unnest(regexp_extract_all(html, {_q(egress.TAG_ADDRESS)})) m FROM pages) GROUP BY 1, 2, 3",
+        "e15_page_hosts": rf"SELECT page_id, host, regexp_matches(host, '^(localhost|.*\.localhost|127(\.\d{{1,3}}){{3}}|::1|0\.0\.0\.0)$') is_loopback FROM (SELECT page_id, {_HOST.format(x='url')} host FROM pages)",
+        "m2_requirements_to_purl": f"SELECT p_partkey, {spec} AS name, CASE WHEN p_size % 2 = 0 THEN p_size || '.0' ELSE '' END AS version, 'pkg:pypi/' || lower({spec}) || CASE WHEN p_size % 2 = 0 THEN '@' || p_size || '.0' ELSE '' END purl FROM part",
+        "t2_merkle_root_by_order": f"WITH l0 AS (SELECT l_orderkey o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 i, unhex(sha256(unhex('00') || encode(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag)))) h FROM lineitem), {levels}, n AS (SELECT o, count(*) size FROM l0 GROUP BY 1) SELECT n.o l_orderkey, n.size, lower(hex(l4.h)) root FROM n JOIN l4 ON l4.o = n.o",
+        "t9_forks": "SELECT o_custkey origin, dayofmonth(o_orderdate)::INTEGER size, min(r) root_a, max(r) root_b FROM (SELECT *, sha256(o_orderkey::VARCHAR) r FROM orders) GROUP BY 1, 2 HAVING min(r) <> max(r)",
+        "d1_fingerprints": "SELECT event_id line, n::INTEGER n, substr(sha256(event_type || chr(31) || 'user/' || user_id || chr(31) || 'seen' || chr(31) || CASE WHEN n > 0 THEN '#' || n ELSE '' END), 1, 32) fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) - 1 n FROM events)",
+        "b5_distinct_components": "SELECT DISTINCT p_brand AS name, p_type spec, p_size line FROM part",
+    }

@@ -1,0 +1,30 @@
+"""A small tree in memory, on which the scanners are registered as queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+FILES = {
+    "app/main.py": 'import hashlib\nimport random as r\nimport requests\nimport subprocess\nfrom cryptography.hazmat.primitives import hashes\nfrom cryptography.hazmat.primitives.asymmetric import rsa\nimport hmac\n\nSIGNING_KEY = b"k9f8-2c7b-77aa-01"\n\n\ndef tag(data):\n    return hmac.new(SIGNING_KEY, data, hashlib.sha256).hexdigest()\n\n\ndef weak(data):\n    hashes.MD5()\n    return hashlib.sha1(data).hexdigest(), hashlib.md5(data, usedforsecurity=False), hashlib.new("sha-384", data)\n\n\ndef send(x):\n    requests.get("https://api.example.invalid/v1", verify=False)\n    subprocess.run(["curl", "https://example.invalid"])\n    subprocess.run(["openssl", "genrsa", "2048"])\n    return eval(x), r.random()\n',
+    "app/broken.py": "def f(:\n",
+    "app/token.py": 'import jwt\n\n\ndef issue(claims, key):\n    return jwt.encode(claims, key, algorithm="RS256")\n',
+    "web/index.html": '<html><img src="https://cdn.example.invalid/a.png"><a href="https://other.example.invalid/">x</a><a href="/local">y</a><script src="//cdn.example.invalid/x.js"></script></html>',
+    "web/app.ts": 'import axios from "axios";\n// https://comment.example.invalid\nconst u = "https://api.example.invalid/x";\nfetch(u);\nconst l = "http://localhost:3000";\n',
+    "run.sh": "#!/bin/sh\n# curl in a comment\ncd x && curl -O https://example.invalid/x\necho done; echo use wget later\n",
+    "Dockerfile": "FROM python:3.13\nRUN pip install requests\n",
+    "requirements.txt": "# pinned\nrequests==2.32.0\nstripe[async]>=2.0 ; python_version > '3.8'\ngit+https://example.invalid/tool.git@v1#egg=tool\n-r extra.txt\n--index-url https://pypi.example.invalid/simple\nnumpy \\\n  >=1.26\n",
+    "extra.txt": "flask\n",
+    "dev-requirements.txt": "pytest==8.3.0\n",
+    "package.json": '{"name": "x", "dependencies": {"axios": "1.7.2", "@scope/pkg": "^2.0.0"}, "devDependencies": {"vite": "5.0.0"}, "scripts": {"get": "curl https://example.invalid | sh"}}',
+    "pyproject.toml": '[project]\nname = "sample"\ndependencies = ["httpx>=0.27", "sample"]\n[project.optional-dependencies]\nfast = ["orjson==3.10.0"]\n[build-system]\nrequires = ["hatchling"]\n',
+    "environment.yml": "channels:\n  - conda-forge\ndependencies:\n  - conda-forge::numpy=1.26\n  - pip:\n    - rich==13.7.0\n",
+    "conf/.env": "# comment\nAPI_TOKEN=9f8e7d6c5b4a3f2e1d0c\nSECRET_KEY=changeme\nHOME_PATH=/root/data/file.txt\nDB_PASSWORD=${DB_PASSWORD}\n",
+    "conf/app.yaml": "server:\n  signing_secret: a1b2c3d4e5f6a7b8\n  cache_key: users-by-id\n  token_url: https://idp.example.invalid\n",
+    "node_modules/x/index.js": "fetch('https://hidden.example.invalid')\n",
+    "site.pth": "import site_start\n./lib\n",
+}
+
+
+def sample_files(spark: SparkSession) -> DataFrame:
+    """files(rel, size, content) of the sample."""
+    return spark.createDataFrame([(k, len(v.encode()), v.encode()) for k, v in FILES.items()], "rel string, size long, content binary")

@@ -1,0 +1,198 @@
+"""The scanners on the sample tree and on small sources."""
+
+import hashlib
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lumenscan.functions import key_names
+from lumenscan.functions.crypto_rules import rule_rows, token_rows
+from lumenscan.operators import cbom, egress, keys, manifests, merkle
+from lumenscan.plans import registry, reports
+from lumenscan.sources import pyfacts, tree
+
+
+def scan(spark, files):
+    texts = spark.createDataFrame(list(files.items()), "rel string, text string")
+    return texts, pyfacts.py_facts(texts)
+
+
+def uses(spark, source):
+    texts, facts = scan(spark, {"a.py": source})
+    return {(r.line, r.primitive, r.quantum) for r in cbom.components(texts, facts).collect()}
+
+
+def test_rules_are_well_formed():
+    assert len({r[:2] for r in rule_rows()}) == len(rule_rows()) and len(token_rows()) == 30
+    assert {r[4] for r in rule_rows()} <= set(cbom.SEVERITY)
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("import hashlib as h\nh.md5(b'')", {(2, "MD5", "BROKEN")}),
+        ("import hashlib\nhashlib.md5(b'', usedforsecurity=False)", {(2, "MD5", "REVIEW")}),
+        ("from hashlib import sha1 as s\ns(b'')", {(2, "SHA-1", "BROKEN")}),
+        ("import hashlib\nname = 'sha-256'\nhashlib.new(name)", {(3, "SHA-256", "GROVER-REDUCED")}),
+        ("import hashlib\nhashlib.pbkdf2_hmac('sha1', b'', b'', 1)", {(2, "PBKDF2-HMAC", "REVIEW"), (2, "SHA-1", "BROKEN")}),
+        ("from hmac import compare_digest\ncompare_digest(a, b)", set()),
+        ("import random\nx = random.SystemRandom()", {(1, "random.SystemRandom-CSPRNG", "SAFE")}),
+        ("import random", {(1, "random-MersenneTwister", "WEAK-RNG")}),
+        ("from Crypto.Cipher import AES, DES", {(1, "AES", "GROVER-REDUCED"), (1, "DES", "BROKEN")}),
+        ("from Crypto.Cipher.AES import new", {(1, "AES", "GROVER-REDUCED")}),
+        ("import nacl.encoding", set()),
+        ("from nacl import signing, utils", {(1, "libsodium/NaCl (Curve25519/Ed25519)", "VULNERABLE")}),
+        ("import paramiko\nparamiko.RSAKey.generate(2048)", {(1, "paramiko (SSH; key classes name the algorithm)", "REVIEW"), (2, "RSA", "VULNERABLE")}),
+        ("import ssl\nssl.CERT_NONE", {(2, "TLS certificate verification disabled (CERT_NONE)", "REVIEW")}),
+        ("import os\nos.urandom(8)", {(2, "os.urandom-CSPRNG", "SAFE")}),
+        ("f(['/usr/bin/openssl', 'genrsa'])", {(1, "RSA", "VULNERABLE")}),
+        ("import jwt\njwt.decode(t, k, options={'verify_signature': False})", {(1, "PyJWT (algorithm-dependent: see JWS alg tokens)", "REVIEW"), (2, "JWT signature verification disabled (options)", "REVIEW")}),
+        ("requests.get(u, verify=False)", {(1, "TLS certificate verification disabled (verify=False)", "REVIEW")}),
+        ("WEAK_CIPHERS = ['rc4', '3des']", set()),
+        ("x = 'Please use RSA'\ny = 'aes-256-gcm'", {(2, "AES-256", "GROVER-REDUCED")}),
+    ],
+)
+def test_crypto_uses(spark, source, want):
+    assert uses(spark, source) == want
+
+
+def test_private_key_armour_needs_a_key(spark):
+    body = "MIIEow" + "A" * 60
+    texts, _ = scan(spark, {"k.py": f"x = 1\nk = '''-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----'''", "n.py": "s = '-----BEGIN RSA PRIVATE KEY-----'"})
+    assert [(r.rel, r.line) for r in cbom.armour(texts).collect()] == [("k.py", 2)]
+
+
+def test_verdict_ladder(spark):
+    for source, want in (("import hashlib\nhashlib.md5()", "BROKEN-CRYPTO"), ("import rsa", "MIGRATION-NEEDED"), ("import jwt", "REVIEW-NEEDED"), ("def f(:", "REVIEW-NEEDED"), ("x = 1", "NOTHING-VULNERABLE-FOUND")):
+        texts, facts = scan(spark, {"a.py": source})
+        assert cbom.verdict(cbom.components(texts, facts), facts).first().verdict == want
+    texts, facts = scan(spark, {"a.txt": "none"})
+    assert cbom.verdict(cbom.components(texts, facts), facts).first().verdict == "NOT-ANALYSED"
+
+
+@pytest.mark.parametrize(
+    "name, value, shaped",
+    [("API_KEY", "k3j4-99aa", True), ("api_key_id", "k3j4", False), ("CONFIG_KEY", "abc-1", False), ("key", "low", False), ("SIGNING_SECRET", "s3cr3t", True), ("NO_TOKEN", "no-token", False), ("seed", "42", False), ("redis_key", "x1", False), ("provider_key", "mysql", False)],
+)
+def test_key_shaped_names(spark, name, value, shaped):
+    df = spark.createDataFrame([(name, value)], "n string, v string")
+    assert df.select(key_names.key_shaped(F.col("n"), F.col("v"))).first()[0] is shaped
+
+
+def test_key_findings_of_the_sample(spark):
+    got = {(r.file, r.line, r.kind) for r in registry.keys_sample(spark, "").collect()}
+    assert got == {("app/main.py", 9, "literal-key"), ("app/main.py", 13, "derived-from-constant"), ("conf/.env", 2, "literal-key"), ("conf/app.yaml", 2, "literal-key")}
+
+
+def test_jwks_and_key_files(spark):
+    good = '{"kty": "OKP", "d": "nWGxne_9WmC6hEr0kuwsxERJxWl7MmkZcDusAxyuf2A"}'
+    texts, _ = scan(spark, {"a.json": good, "b.json": good.replace('"d"', '"x"'), "deploy/id_rsa": "x", "c.pem": "x"})
+    assert [r.file for r in keys.jwks(texts).collect()] == ["a.json"]
+    assert {r.file for r in keys.key_files(texts).collect()} == {"deploy/id_rsa", "c.pem"}
+
+
+def test_egress_of_the_sample(spark):
+    got = {(r.file, r.kind) for r in registry.egress_sample(spark, "").collect()}
+    assert got >= {
+        ("app/main.py", "network-import"), ("app/main.py", "network-call"), ("app/main.py", "subprocess-net-binary"), ("app/main.py", "dynamic-exec"), ("app/broken.py", "unparseable-source"), ("web/index.html", "html-external"),
+        ("web/index.html", "external-link"), ("web/app.ts", "network-import"), ("web/app.ts", "network-call"), ("web/app.ts", "external-url"), ("run.sh", "script-network-command"), ("run.sh", "script-network-word"), ("Dockerfile", "declared-remote-source"), ("site.pth", "startup-exec"),
+    }
+    assert not any("node_modules" in f for f, _ in got)
+    assert not any("comment" in r.detail or "localhost" in r.detail for r in registry.egress_sample(spark, "").where("kind = 'external-url'").collect())
+
+
+def test_modules_of_the_tree_shadow_listed_ones(spark):
+    _, facts = scan(spark, {"a.py": "import requests", "requests.py": "x = 1"})
+    assert egress.python_findings(facts).count() == 0
+
+
+def test_requirement_lines(spark):
+    rows = [("stripe[foo]>=2.0; python_version>'3'", "stripe", None), ("pkg @ https://h/x.whl", "pkg", "url-requirement"), ("git+https://h/x.git#egg=name", "name", "vcs-requirement"), ("-e git+https://h/x.git", "x", "vcs-requirement"), ("./local", None, None), ("libs/pkg", None, None), ("pkg @ file:///x", "pkg", None), ("--index-url https://h", None, "index-url")]
+    df = spark.createDataFrame([(r[0],) for r in rows], "s string")
+    assert [tuple(r) for r in df.select("s", manifests.requirement_name(F.col("s")), manifests.requirement_remote(F.col("s"))).collect()] == rows
+
+
+def test_versions(spark):
+    rows = [("1.0alpha1", "1.0a1"), ("v01.0", "1.0"), ("1.0c1", "1.0rc1"), ("1.0-1", "1.0.post1"), ("1.0-dev", "1.0.dev0"), ("1.0_post1", "1.0.post1")]
+    df = spark.createDataFrame([(r[0],) for r in rows], "s string")
+    assert [tuple(r) for r in df.select("s", manifests.pep440(F.col("s"))).collect()] == rows
+    pins = spark.createDataFrame([("==1.0",), ("==2.*",), (">=1",), ("===v1.2",)], "s string").select(manifests.pinned_pypi(F.col("s")))
+    assert [r[0] for r in pins.collect()] == ["1.0", None, None, "1.2"]
+
+
+def test_dependencies_and_sbom_of_the_sample(spark):
+    deps = {(r.file, r.name, r.scope) for r in registry.dependencies_sample(spark, "").collect()}
+    assert deps >= {("requirements.txt", "requests", "required"), ("requirements.txt", "numpy", "required"), ("requirements.txt", "tool", "required"), ("dev-requirements.txt", "pytest", "dev"), ("package.json", "axios", "required"), ("package.json", "vite", "dev"), ("pyproject.toml", "httpx", "required"), ("pyproject.toml", "orjson", "optional"), ("pyproject.toml", "hatchling", "build"), ("environment.yml", "numpy", "required"), ("environment.yml", "rich", "required")}
+    assert not any(n == "sample" for _, n, _ in deps)
+    purls = {r.purl for r in registry.sbom_sample(spark, "").collect()}
+    assert {"pkg:pypi/requests@2.32.0", "pkg:npm/axios@1.7.2", "pkg:npm/%40scope/pkg", "pkg:conda/numpy?channel=conda-forge", "pkg:pypi/rich@13.7.0"} <= purls and not any("tool" in p or "pytest" in p for p in purls)
+
+
+def test_include_closure_ends_in_cycles(spark):
+    texts, _ = scan(spark, {"requirements.txt": "-r a/requirements.txt\n-r missing.txt", "a/requirements.txt": "-r ../requirements.txt\n-r requirements-b.txt", "a/requirements-b.txt": "x"})
+    got = manifests.include_closure(texts, texts.where("rel = 'requirements.txt'"))
+    assert {r.rel for r in got.collect()} == {"requirements.txt", "a/requirements.txt", "a/requirements-b.txt"}
+
+
+def brute_root(leaves):
+    if not leaves:
+        return hashlib.sha256(b"").digest()
+    if len(leaves) == 1:
+        return leaves[0]
+    k = 1 << ((len(leaves) - 1).bit_length() - 1)
+    return hashlib.sha256(b"\x01" + brute_root(leaves[:k]) + brute_root(leaves[k:])).digest()
+
+
+def test_merkle_roots_and_proofs(spark):
+    df = spark.createDataFrame([(g, i, f"{g}-{i}") for g in range(1, 23) for i in range(g * 3 - 2)], "g int, i int, d string")
+    got = {r.g: (r.size, r.root) for r in merkle.roots_of_groups(df, ["g"], ["i"], F.encode("d", "UTF-8"), tile=8).collect()}
+    for g in range(1, 23):
+        leaves = [hashlib.sha256(b"\x00" + f"{g}-{i}".encode()).digest() for i in range(g * 3 - 2)]
+        root = brute_root(leaves)
+        assert got[g] == (len(leaves), root.hex())
+        for i in (0, len(leaves) // 2, len(leaves) - 1):
+            path = merkle.inclusion_path(leaves, i)
+            assert merkle.verify_inclusion(leaves[i], i, len(leaves), path, root)
+            assert not merkle.verify_inclusion(hashlib.sha256(b"no").digest(), i, len(leaves), path, root)
+
+
+def test_documents_of_findings(spark):
+    doc = json.loads(registry.sarif_sample(spark, "").first().document)
+    run = doc["runs"][0]
+    assert doc["version"] == "2.1.0" and {r["ruleId"] for r in run["results"]} == {r["id"] for r in run["tool"]["driver"]["rules"]}
+    prints = [r["partialFingerprints"]["finding/v1"] for r in run["results"]]
+    assert len(prints) == len(set(prints))
+    assert all(json.loads(r.document)["bomFormat"] == "CycloneDX" for r in registry.cyclonedx_sample(spark, "").collect())
+    df = spark.createDataFrame([("a b/c&d.py",)], "p string").select(reports.uri(F.col("p")))
+    assert df.first()[0] == "a%20b/c%26d.py"
+
+
+def test_report_digests_leave_out_the_envelope():
+    r = {"verdict": "CLEAN", "not_scanned": {"skipped_directories": {"x": 1}, "symbolic_links": 0}}
+    assert reports.content_hash(r) == reports.content_hash(r | {"signature": {}, "content_hash": "x"})
+    assert reports.findings_digest(r) == reports.findings_digest(r | {"scanned_at_utc": "now", "not_scanned": {"symbolic_links": 0}}) != reports.content_hash(r)
+
+
+def test_decoding_and_ledgers(spark):
+    files = spark.createDataFrame([("a.txt", bytearray("é\r\nb".encode())), ("b.txt", bytearray(b"\xef\xbb\xbfx")), ("c", bytearray("é".encode("utf-16"))), ("build/x.py", bytearray(b"")), ("d.", bytearray(b"\xff"))], "rel string, content binary")
+    kept, skipped = tree.read_and_skipped(files)
+    assert {r.rel: r.text for r in tree.texts(kept).collect()} == {"a.txt": "é\nb", "b.txt": "x", "c": "é", "d.": "�"}
+    assert [tuple(r) for r in skipped.collect()] == [("build", 1)]
+    assert {r.extension: r.n_files for r in tree.files_by_extension(kept).collect()} == {".txt": 2, "(no extension)": 2}
+
+
+def test_tree_source(spark, tmp_path):
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg" / "a.py").write_text("import socket\n")
+    assert [(r.rel, r.size) for r in tree.read_tree(spark, str(tmp_path)).collect()] == [("pkg/a.py", 14)]
+
+
+def test_entry_works_without_the_llm_folder():
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['lumenscan.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') for k in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}).returncode == 0
