@@ -81,6 +81,8 @@ class Model:
         self.ids = {sp.id_to_piece(i): i for i in normal}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        #: Every end of a piece: what isn't one can't be the end of a longer piece.
+        self.ends = {p[i:] for p in self.ids for i in range(len(p))}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.least = min(self.score.values(), default=0.0) - 10.0
@@ -135,18 +137,24 @@ class Encoder(dict):
 
     def _extend_bpe(self, word: str, end: int, states: list) -> None:
         """Appends the state of word[:end]: (start, last piece)."""
-        ids, follows = self.model.ids, self.follows
-        for start in range(max(0, end - self.model.longest), end):
+        ids, ends, follows = self.model.ids, self.model.ends, self.follows
+        fits = []
+        for start in range(end - 1, -1, -1):
             piece = word[start:end]
-            if piece in ids or end - start == 1:
-                before = states[start]
-                if before is not None:
-                    pair = (before[1], piece)
-                    if (v := follows.get(pair)) is None:
-                        v = self._may_follow(*pair)
-                    if v:
-                        states.append((start, piece))
-                        return
+            if piece in ids or start == end - 1:
+                fits.append((start, piece))
+            if piece not in ends:
+                break
+        while fits:
+            start, piece = state = fits.pop()
+            before = states[start]
+            if before is not None:
+                pair = (before[1], piece)
+                if (v := follows.get(pair)) is None:
+                    v = self._may_follow(*pair)
+                if v:
+                    states.append(state)
+                    return
         states.append(None)
 
     def _extend_unigram(self, word: str, end: int, states: list) -> None:
@@ -193,8 +201,8 @@ class Encoder(dict):
                 out.append(m.unknown)
         return np.array(out, dtype="<u4").tobytes()
 
-    def __call__(self, texts: list[str | None]) -> list[bytes | None]:
-        words = [_WORDS.findall(self.model.normalised(t)) if t else [] for t in texts]
+    def __call__(self, texts: list[str | None], normalised: bool = False) -> list[bytes | None]:
+        words = [_WORDS.findall(t if normalised else self.model.normalised(t)) if t else [] for t in texts]
         if len(self) > self.o.memo:
             self.clear()
         missing = set().union(*words) - self.keys()
@@ -252,9 +260,10 @@ def piece_table(docs: DataFrame, o: PieceOptions, text: str = "text", key: str =
         for batch in batches:
             for b in text_chunks(batch, "text", 2 << 20):
                 texts = b.column("text").to_pylist()
-                ids = to_ids(texts)
+                texts = [None if t is None else model.normalised(t) if t else "" for t in texts]
+                ids = to_ids(texts, True)
                 back = [None if x is None else model.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
-                want = [None if t is None else model.normalised(t).replace(MARK, " ") for t in texts]
+                want = [None if t is None else t.replace(MARK, " ") for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id"),
