@@ -37,8 +37,6 @@ UNDETERMINED = "und"
 class LanguageIdOptions:
     #: The model is fitted on about so many labelled rows, chosen by a hash of their id; all if there are fewer.
     sample_documents: int = 20_000
-    #: At most so many characters of a sampled text are learned from. Predictions read whole texts.
-    sample_chars: int = 4_000
     max_order: int = 5
     max_words: int = 20_000
     max_grams: int = 8_000
@@ -123,7 +121,7 @@ def fit(docs: DataFrame, options: LanguageIdOptions = LanguageIdOptions(), text:
         part = options.sample_documents / len(sizes)
         cut = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, part / r["count"]) * 1e6))) for r in sizes], F.lit(0))
         rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < cut)
-    rows = rows.where(F.col("lang").isin(languages)).select("lang", F.lower(F.substring("text", 1, options.sample_chars)).alias("text"))
+    rows = rows.where(F.col("lang").isin(languages)).select("lang", F.lower("text").alias("text"))
     words = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
     marked = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
     orders = F.array(*[F.lit(n) for n in range(1, options.max_order + 1)])
