@@ -193,6 +193,54 @@ def test_license_scan_on_odd_rows(odd_docs, no_docs, spark):
     assert r.licenses == ["Apache-2.0"] and text[r.matches[0].start : r.matches[0].end].startswith("Licensed")
 
 
+def in_paragraphs(text, *ends):
+    for e in ends:
+        text = text.replace(e + " ", e + "\n\n")
+    return text
+
+
+def test_license_notices_inside_longer_texts():
+    scanner = licenses.Scanner(licenses.LicenseOptions())
+    mit = in_paragraphs(licenses._MIT, "conditions:", "Software.")
+    prose = PROSE * 10
+    text = f"MIT License\n\nCopyright (c) 2021 X\n\n{mit}\n\n{prose}"
+    (name, score, start, end), = scanner.scan(text)
+    assert name == "MIT" and score > 0.99 and text[start:end].startswith("Permission is") and text[start:end].endswith("IN THE SOFTWARE")
+    text = "İ The tool is free. Released under the MIT License. See the docs."
+    (name, score, start, end), = scanner.scan(text)
+    assert (name, score, text[start:end]) == ("MIT", 1.0, "Released under the MIT License")
+    for line in ("Copyright (c) 2021 X. Released under the MIT License.", "© 2021 X, Inc. All rights reserved. Released under the MIT License.", "Copyright 2021 X, released under the MIT License", "Released_under_the_MIT_License"):
+        assert [f[0] for f in scanner.scan(line)] == ["MIT"], line
+    for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense"):
+        full = max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+        assert [f[0] for f in scanner.scan(prose + full + "\n" + prose)] == [name]
+    assert [f[0] for f in scanner.scan(f"{prose} Licensed under CC BY-NC 4.0. {mit} Licensed under CC BY 4.0. {prose}")] == ["CC-BY-NC-4.0", "MIT", "CC-BY-4.0"]
+
+
+def test_license_windows_equal_brute_force():
+    """The best window of each template among all windows of all sizes."""
+    short = tuple(t for t in licenses.TEMPLATES if len(t[1]) < 200)
+    scanner = licenses.Scanner(licenses.LicenseOptions(templates=short))
+    random.seed(3)
+    for _ in range(60):
+        words = PROSE.split()[:20]
+        for _, t in random.choices(short, k=2):
+            p = random.randrange(len(words))
+            words[p:p] = [w for w in licenses.normalised(t) for _ in range(random.choices((0, 1, 2), (8, 87, 5))[0])]
+        grams, got = list(zip(words, words[1:])), {}
+        for score, t, i, j in scanner._candidates(words):
+            own = scanner.bigrams[t]
+            assert score == 2 * sum((Counter(grams[i:j]) & own).values()) / (j - i + sum(own.values()))
+            got[t] = max(got.get(t, 0), score)
+        want = {}
+        for t, own in enumerate(scanner.bigrams):
+            size = sum(own.values())
+            s = max(2 * sum((Counter(grams[i:j]) & own).values()) / (j - i + size) for i in range(len(grams)) for j in range(i + 1, min(len(grams), i + 2 * size) + 1))
+            if s >= 0.85:
+                want[t] = s
+        assert got == want
+
+
 # --- chat ---------------------------------------------------------------------------------------------------------
 
 
