@@ -53,8 +53,8 @@ def c30_token_sweep(spark, sf_dir):
 
 
 def c31_phrases(spark, sf_dir):
-    first = F.element_at(F.split("text", "\n"), 1)
-    return _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", cbom.is_phrase(first).alias("is_phrase"))
+    l = tree.lines(_read(spark, sf_dir, "documents").where("text is not null").select(c("doc_id").alias("rel"), "text"))
+    return l.select(c("rel").alias("doc_id"), "line", cbom.is_phrase(c("text")).alias("is_phrase"))
 
 
 def v9_verdict_by_source(spark, sf_dir):
@@ -172,6 +172,9 @@ _TEXTS = "SELECT 'doc/' || doc_id || '.txt' rel, text FROM documents WHERE text
 _TOKENS = "SELECT doc_id, source, text, p.primitive, p.category, p.quantum FROM documents, (VALUES " + ", ".join(f"({_q('(?i)' + p)}, {_q(a)}, {_q(b)}, {_q(s)})" for p, a, b, s in token_rows()) + ") p(re, primitive, category, quantum) WHERE regexp_matches(text, p.re)"
 _SHAPES = ", ".join(f"({_q(s)}, {_q(p)})" for s, p in key_names.SHAPES.items())
 _HOST = r"regexp_replace(lower(regexp_extract({x}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1)), '^\[|\]$', '', 'g')"
+_SPACE = r"[\x20\x09-\x0D]"
+_EDGE = """[.,:;!?()'"]+"""
+_PHRASES = f"SELECT doc_id, line, t, list_filter(string_split_regex(t, '{_SPACE}+'), lambda x: x <> '') raw FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1))::INTEGER line, trim(unnest(string_split(text, chr(10))), ' ') t FROM documents WHERE text IS NOT NULL)"
 _LEVEL = "{b} AS (SELECT o, i // 2 i, CASE WHEN count(*) = 2 THEN unhex(sha256(unhex('01') || max(h) FILTER (i % 2 = 0) || max(h) FILTER (i % 2 = 1))) ELSE any_value(h) END h FROM {a} GROUP BY 1, 2)"
 
 
@@ -185,6 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "k21_text_assignments": f"SELECT rel file, name, value FROM (SELECT rel, regexp_extract(m, {_q(k.ASSIGNMENT)}, 1) name, regexp_extract(m, {_q(k.ASSIGNMENT)}, 2) AS value FROM (SELECT rel, unnest(regexp_extract_all(text, {_q(k.ASSIGNMENT)})) m FROM ({_TEXTS}))) WHERE regexp_matches(name, {_q(k.KEY_WORD)}) AND NOT regexp_matches(name, {_q(k.NOT_MATERIAL)}) AND length(trim(value)) >= 8 AND NOT regexp_matches(trim(value), {_q(k.PLACEHOLDER)}) AND NOT regexp_matches(trim(value), {_q(k.NOT_SECRET)}) AND NOT contains(trim(value), ' ')",
         "k13_credential_shapes": f"SELECT rel file, shape, count(*) n FROM (SELECT rel, shape, unnest(regexp_extract_all(text, re)) m FROM ({_TEXTS}), (VALUES {_SHAPES}) s(shape, re)) WHERE NOT regexp_matches(m, '[Xx*]{{8,}}') GROUP BY 1, 2",
         "c30_token_sweep": f"SELECT doc_id, primitive, category, quantum FROM ({_TOKENS})",
+        "c31_phrases": f"SELECT doc_id, line, (len(raw) >= 2 AND list_has_any(list_transform(raw, lambda x: lower(regexp_replace(x, {_q(f'^{_EDGE}|{_EDGE}$')}, '', 'g'))), [{', '.join(map(_q, cbom.FUNCTION_WORDS))}])) OR (len(raw) >= 3 AND (len(list_filter(raw, lambda x: regexp_matches(x, '^[a-z]{{3,}}[.,:;]?$'))) >= 2 OR ends_with(t, '.'))) OR regexp_matches(lower(t), '^(?:not|no)[-_]') is_phrase FROM ({_PHRASES})",
         "v9_verdict_by_source": f"WITH t AS ({_TOKENS}), h AS (SELECT source, count(*) FILTER (quantum = 'BROKEN') b, count(*) FILTER (quantum = 'VULNERABLE') v, count(*) FILTER (quantum = 'REVIEW') r FROM t GROUP BY 1), d AS (SELECT source, count(*) n FROM documents GROUP BY 1) SELECT d.source, n n_scanned, coalesce(v, 0) vulnerable, CASE WHEN b > 0 THEN 'BROKEN-CRYPTO' WHEN v > 0 THEN 'MIGRATION-NEEDED' WHEN n = 0 THEN 'NOT-ANALYSED' WHEN r > 0 THEN 'REVIEW-NEEDED' ELSE 'NOTHING-VULNERABLE-FOUND' END verdict FROM d LEFT JOIN h ON h.source = d.source",
         "d5_vex_by_weakness": f"SELECT CASE WHEN quantum IN ('BROKEN', 'VULNERABLE') THEN 327 ELSE 338 END cwe, primitive, count(*) sites, count(DISTINCT doc_id) files, 'in_triage' state FROM ({_TOKENS}) WHERE quantum IN ('BROKEN', 'VULNERABLE', 'WEAK-RNG') GROUP BY 1, 2",
         "e14_page_addresses": f"SELECT file, lower(regexp_extract(m, {_q(egress.TAG_ADDRESS)}, 1)) tag, lower(regexp_extract(m, {_q(egress.TAG_ADDRESS)}, 2)) \"attribute\", count(*) n, count(*) FILTER ({_HOST.format(x=f'regexp_extract(m, {_q(egress.TAG_ADDRESS)}, 3)')} <> '') n_external FROM (SELECT 'page/' || page_id || '.html' file, unnest(regexp_extract_all(html, {_q(egress.TAG_ADDRESS)})) m FROM pages) GROUP BY 1, 2, 3",

@@ -56,6 +56,14 @@ def test_crypto_uses(spark):
     assert got == [want for _, want in CASES]
 
 
+def test_phrases_are_judged_on_every_line(spark, tmp_path):
+    lines = ["AES-256", "Please use RSA", "", "  no-cipher ", "RSA, ECDSA, DSA.", "sha-256 hash", "strong cipher suites", "(Not) ECDSA", "RSA\tDSA"]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.line): r.is_phrase for r in registry.c31_phrases(spark, str(tmp_path)).collect()}
+    want = [False, True, False, True, True, False, True, True, False]
+    assert got == {(1, n + 1): w for n, w in enumerate(want)} | {(3, 1): False}
+
+
 def test_private_key_armour_needs_a_key(spark):
     body = "MIIEow" + "A" * 60
     texts, _ = scan(spark, {"k.py": f"x = 1\nk = '''-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----'''", "n.py": "s = '-----BEGIN RSA PRIVATE KEY-----'"})
