@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ KEY_SUFFIXES = [".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".kdbx", ".
 CONSTRUCTORS = ["Fernet", "MerkleSigner", "SigningKey", "SecretBox", "AESGCM", "ChaCha20Poly1305", "AESCCM", "AESSIV", "AESOCB3", "HMAC", "TimedSerializer", "URLSafeSerializer", "URLSafeTimedSerializer", "TimestampSigner"]
 #: (module, function): position and keyword of the key
 KEY_ARGUMENTS = {("hmac", "new"): (0, "key"), ("hmac", "digest"): (0, "key"), ("hashlib", "pbkdf2_hmac"): (1, "password"), ("hashlib", "scrypt"): (0, "password"), ("jwt", "encode"): (1, "key"), ("jwt", "decode"): (1, "key"), ("hashlib", "blake2b"): (99, "key"), ("hashlib", "blake2s"): (99, "key")}
+KEY_ARGUMENTS |= {("hmac", "HMAC"): (0, "key")} | {("itsdangerous", x): (0, "secret_key") for x in ("Signer", "URLSafeSerializer", "TimestampSigner")}
+#: Cipher modules, told by the name before .new; the last three take their key by keyword only.
+CIPHERS = "AES DES3 DES Blowfish ARC4 CAST ChaCha20 ChaCha20_Poly1305 Salsa20".split()
+KEY_ARGUMENTS |= {(x, "new"): (99 if n > 5 else 0, "key") for n, x in enumerate(CIPHERS)}
 
 
 def bindings(facts: DataFrame) -> DataFrame:
@@ -37,7 +44,7 @@ def key_arguments(facts: DataFrame) -> DataFrame:
     out = [ctor.select(c("rel").alias("file"), "line", lit("key-constructor").alias("kind"), F.concat("name", lit("(literal)")).alias("detail"))]
     for (module, func), (at, kw) in KEY_ARGUMENTS.items():
         value = F.coalesce(F.try_element_at("kws", lit(kw)), F.when(~F.array_contains("uses", lit(kw)), F.get("args", lit(at))))
-        own = call.where(((c("real") == module) & (c("name") == func)) | (c("local") == f"{module}.{func}")).where(F.length(value) > 0)
+        own = call.where(((c("root" if module in CIPHERS else "real") == module) & (c("name") == func)) | (c("local") == f"{module}.{func}")).where(F.length(value) > 0)
         out.append(own.select(c("rel").alias("file"), "line", F.when(c("flag"), "derived-from-constant").otherwise("literal-mac-key").alias("kind"), lit(f"{module}.{func}: the key is a literal").alias("detail")))
     return reduce(DataFrame.unionByName, out)
 
@@ -67,7 +74,8 @@ def assignments(texts: DataFrame) -> DataFrame:
 
 def credential_shapes(texts: DataFrame) -> DataFrame:
     """Strings of a provider's form, unless masked; unrolled over the shapes, so no join."""
-    hits = F.concat(*[F.transform(F.regexp_extract_all("text", lit(p), lit(0)), lambda m, s=s: F.struct(lit(s).alias("shape"), m.alias("m"))) for s, p in k.SHAPES.items()])
+    named = lambda s: lambda m: F.struct(lit(s).alias("shape"), m.alias("m"))  # noqa: E731 (a second parameter would be the index)
+    hits = F.concat(*[F.transform(F.regexp_extract_all("text", lit(p), lit(0)), named(s)) for s, p in k.SHAPES.items()])
     return texts.select(c("rel").alias("file"), F.explode(hits).alias("h")).where(~c("h.m").rlike("[Xx*]{8,}")).groupBy("file", c("h.shape").alias("shape")).agg(F.count("*").alias("n"))
 
 
@@ -86,7 +94,64 @@ def jwks(texts: DataFrame) -> DataFrame:
 
 
 def armour(texts: DataFrame) -> DataFrame:
-    return cbom.armour(texts).select(c("rel").alias("file"), "line", lit("private-key").alias("kind"), "detail").dropDuplicates(["file", "line"])
+    """Private-key armour, as it stands or base64-encoded once or twice (as in Kubernetes Secrets)."""
+    plain = cbom.armour(texts).select(c("rel").alias("file"), "line", lit("private-key").alias("kind"), "detail").dropDuplicates(["file", "line"])
+    return plain.unionByName(encoded_armour(texts))
+
+
+def _stable(data: bytes) -> list[str]:
+    """The base64 characters of data whatever stands around it, at each of the three offsets it can fall at."""
+    return [base64.b64encode(b"\0" * n + data + b"\0\0").decode()[-(-n // 3) * 4 : (n + len(data)) // 3 * 4] for n in range(3)]
+
+
+_ONCE = _stable(b"-----BEGIN")
+MARKERS = _ONCE + [m for x in _ONCE for m in _stable(x.encode())]
+_GLUE = re.compile(r"""["']?[ \t]*[+,]?[ \t]*\\?\r?\n[ \t]*["']?""")
+_RUN = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+_WRAPPED = re.compile(r"(?:^[ \t]*[A-Za-z0-9+/]{16,}={0,2}[ \t]*\r?\n){2,}(?:[ \t]*[A-Za-z0-9+/]+={0,2}[ \t]*$)?", re.M)
+_ARMOUR = re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----)(.{0,400})", re.S)
+_BODY = re.compile(cbom.ARMOUR_BODY)
+
+
+def _runs(text: str) -> list[tuple[int, str]]:
+    """(offset, run) of base64: lines of nothing else joined, runs on one line, and runs of strings joined over lines."""
+    found = []
+    for m in _WRAPPED.finditer(text):
+        pieces = m[0].split()
+        end = next((n + 1 for n, x in enumerate(pieces) if x.endswith("=")), len(pieces))
+        found.append((m.start(), "".join(pieces[:end])))
+        if end == len(pieces) > 2 and len(pieces[-1]) < len(pieces[0]):
+            found.append((m.start(), "".join(pieces[:-1])))
+    found += [(m.start(), m[0]) for m in _RUN.finditer(text)]
+    found += [(max(0, text.find(m[0][:16])), m[0]) for m in _RUN.finditer(_GLUE.sub("", text))]
+    return [(at, run) for at, run in dict.fromkeys(found) if any(m in run for m in MARKERS)]
+
+
+def decoded_armour(text: str, depth: int = 0) -> tuple[int, str] | None:
+    """Offset and BEGIN line of the first private key in base64, encoded once or twice."""
+    for at, run in _runs(text):
+        run = run.rstrip("=")
+        run = run[: len(run) - (len(run) % 4 == 1)]
+        inner = base64.b64decode(run + "=" * (-len(run) % 4)).decode("utf-8", "replace").replace("\\n", "\n")
+        for m in _ARMOUR.finditer(inner):
+            if _BODY.search(m[2].split("-----END")[0]):
+                return at, m[1]
+        if depth == 0 and (twice := decoded_armour(inner, 1)):
+            return at, twice[1]
+    return None
+
+
+def encoded_armour(texts: DataFrame) -> DataFrame:
+    """The first base64-encoded private key of each text; only texts with a marker (over line joints too) leave the JVM."""
+    flat = F.regexp_replace("text", r"""["']?[ \t]*[+,]?[ \t]*\\?\r?\n[ \t]*["']?""", "")
+    marked = reduce(lambda a, b: a | b, [c("text").contains(m) | flat.contains(m) for m in MARKERS])
+
+    def run(batches):
+        for b in batches:
+            found = [(rel, text.count("\n", 0, f[0]) + 1, "private-key", f"{f[1]} (base64-encoded)") for rel, text in zip(b.column("rel").to_pylist(), b.column("text").to_pylist()) if (f := decoded_armour(text))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], names=["file", "line", "kind", "detail"])
+
+    return texts.where(marked).select("rel", "text").mapInArrow(run, "file string, line int, kind string, detail string")
 
 
 def findings(files: DataFrame, texts: DataFrame, facts: DataFrame) -> DataFrame:
