@@ -44,6 +44,8 @@ IMPLIED = {
     "tfoot": (frozenset({"tbody", "thead", "tfoot"}), frozenset({"table"})),
     "body": (frozenset({"head"}), frozenset()),
 }
+#: What head may hold; any other opening tag, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 MAX_DEPTH = 512
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -75,7 +77,7 @@ def parse(html: str) -> Node:
         if m is None:
             break
         if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
+            _text(stack, unescape(html[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
@@ -90,6 +92,8 @@ def parse(html: str) -> Node:
                 if stack[i].tag in ("table", "td", "th", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in _P_ENDS:
             _end(stack, frozenset({"p"}), frozenset({"button", "td", "th", "caption", "table", "object"}))
         if tag in IMPLIED:
@@ -106,10 +110,16 @@ def parse(html: str) -> Node:
         elif tag not in VOID and not m[3].rstrip().endswith("/") and len(stack) < MAX_DEPTH:
             stack.append(node)
     if at < len(html):
-        stack[-1].children.append(unescape(html[at:]))
+        _text(stack, unescape(html[at:]))
     return root
 
 
+def _text(stack: list[Node], text: str) -> None:
+    if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+        stack.pop()
+    stack[-1].children.append(text)
+
+
 def _end(stack: list[Node], tags: frozenset, barriers: frozenset) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:

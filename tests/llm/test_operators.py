@@ -159,6 +159,13 @@ def test_top_k_with_few_rows_and_none(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_head_ends_without_its_end_tag():
+    assert html_text.extract("<html><head><title>T</title><p>Hello<p>World") == "Hello\n\nWorld"
+    assert html_text.extract("<head><meta charset=utf-8><style>x</style>\n<noscript><b>n</b></noscript>Text<div>more</div>") == "Text\nmore"
+    assert html_text.extract("<head><template><p>no</p></template><title>T</title></head><body><p>yes") == "yes"
+    assert html_text.extract("<head><title>T</title> only") == "only"
+
+
 # --- licences -----------------------------------------------------------------------------------------------------
 
 
