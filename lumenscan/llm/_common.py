@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,17 +23,46 @@ P = "_ls_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset (tests, one machine), a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a session on one machine gets a temporary one; a cluster is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lumenscan-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+#: Paths of working tables not deleted yet, oldest first.
+_working: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/lumenscan/{what}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, deleted by clean() or when the interpreter ends."""
+    if not _working:
+        atexit.register(_clean_at_exit, spark)
+    path = f"{shared_dir(spark)}/lumenscan/{what}-{uuid.uuid4().hex}"
+    _working.append(path)
+    return path
+
+
+def mark() -> int:
+    """What clean() takes to delete the working tables made from now on."""
+    return len(_working)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the working tables made since a mark(), but for the paths to keep. What still reads them must be over."""
+    for path in _working[since:]:
+        if path not in keep:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _working.remove(path)
+
+
+def _clean_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        clean(spark)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -38,14 +70,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables made by written() that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            for path in {os.path.dirname(x) for x in df.inputFiles()}:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+                _working[:] = [w for w in _working if w.rsplit("/", 1)[-1] != path.rsplit("/", 1)[-1]]
+
+
+def aliased(df: DataFrame) -> DataFrame:
+    """df with its columns renamed by position to _ls_0, _ls_1 and so on, so that no name of theirs (dotted, quoted, repeated or our own) matters."""
+    return df.toDF(*[f"{P}{i}" for i in range(len(df.columns))])
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table made by written()."""
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def at(df: DataFrame, name: str) -> str:
+    """The name aliased() gives to a column of df."""
+    return f"{P}{df.columns.index(name)}"
 
 
 def words_of(text: Column) -> Column:

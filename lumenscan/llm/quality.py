@@ -6,22 +6,24 @@ are the summed histograms of all documents whose ``lang`` names the language. Do
 mean anything pass: each distance is only judged from a least size on.
 
 Everything about a document is computed in its own row, so no text is shuffled and no key can be hot. The references
-are one row a language, at most ``max_references``.
+are one row a language, for every language that a document names; they reach the rows as one literal array.
 
 Edge cases: a null or empty text has no words and fails the base rule (``n_words < 10``). With no labelled document
 there is no reference and only the base rule judges. Repeated rows are judged each on its own. Other columns of the
-input pass through ``filter_documents`` untouched, whatever their names.
+input pass through ``filter_documents`` untouched, whatever their names. Very long texts are judged whole. Ties between
+languages don't matter: only the distance to the nearest counts.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenscan.llm._common import P, WORD, let, words_of, written
+from lumenscan.llm._common import P, WORD, aliased, at, let, words_of, written
 
 SYMBOLS = "[#*$%&|<>]"
 #: Function words of several languages; their frequencies are measured, not assumed.
@@ -49,7 +51,6 @@ class QualityRules:
     min_words_common: int = 80
     max_class_distance: float = 0.20
     max_common_distance: float = 0.30
-    max_references: int = 64
 
 
 def _histograms(docs: DataFrame, text: str, lang: str | None, keep: list[str]) -> DataFrame:
@@ -78,9 +79,8 @@ def _histograms(docs: DataFrame, text: str, lang: str | None, keep: list[str]) -
 def language_references(features: DataFrame, rules: QualityRules = QualityRules()) -> dict[str, dict[str, list[float]]]:
     """{language: {"classes": probabilities, "common": probabilities}} summed over all labelled rows of features(): one small row a language and bin."""
     f, lang = features.where(F.col(f"{P}lang").isNotNull()), f"{P}lang"
-    top = f.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(rules.max_references)
     bins = F.concat(F.col(f"{P}common"), F.transform(F.col(f"{P}classes"), lambda c, i: F.struct((-1 - i).alias("i"), c.alias("c"))), F.array(F.struct(F.lit(len(VOCABULARY)).alias("i"), F.col(f"{P}n_words").alias("c"))))
-    sums = f.join(F.broadcast(top), lang, "left_semi").select(lang, F.explode(bins).alias("b")).groupBy(lang, F.col("b.i").alias("i")).agg(F.sum("b.c").alias("c"))
+    sums = f.select(lang, F.explode(bins).alias("b")).groupBy(lang, F.col("b.i").alias("i")).agg(F.sum("b.c").alias("c"))
     got: dict[str, dict[int, int]] = {}
     for r in sums.where("c > 0").collect():
         got.setdefault(r[lang], {})[r["i"]] = r["c"]
@@ -93,19 +93,22 @@ def language_references(features: DataFrame, rules: QualityRules = QualityRules(
     return refs
 
 
-def _distance(counts: Column, total: Column, ref: list[float]) -> Column:
+def _literal(references: dict, kind: str) -> Column:
+    """The references of one kind as a literal array of (q: probabilities, half: q/2 log q/2, base: distance of an empty histogram, squared)."""
+    xlog = lambda x: x * math.log2(x) if x > 0 else 0.0
+    rows = [{"q": r[kind], "half": [xlog(x / 2) for x in r[kind]], "base": sum(xlog(x) / 2 - xlog(x / 2) for x in r[kind])} for r in references.values()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<q:array<double>,half:array<double>,base:double>>")
+
+
+def _distance(counts: Column, total: Column, ref: Column) -> Column:
     """Jensen-Shannon distance of a histogram from ref; counts has (bin, count) of the bins that aren't empty.
 
     H(m) - (H(p) + H(q)) / 2, as its value for an empty p plus what each bin of p changes."""
-    xlog = lambda x: x * math.log2(x) if x > 0 else 0.0
-    q = F.array(*[F.lit(float(x)) for x in ref])
-    q_half = F.array(*[F.lit(xlog(x / 2)) for x in ref])
-    base = sum(xlog(x) / 2 - xlog(x / 2) for x in ref)
 
     def change(x: Column) -> Column:
-        return let(x["c"] / total, lambda p: p * F.log2(p) / 2 - let((p + F.get(q, x["i"])) / 2, lambda m: m * F.log2(m)) + F.get(q_half, x["i"]))
+        return let(x["c"] / total, lambda p: p * F.log2(p) / 2 - let((p + F.get(ref["q"], x["i"])) / 2, lambda m: m * F.log2(m)) + F.get(ref["half"], x["i"]))
 
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(counts, F.lit(base), lambda a, x: a + change(x))))
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(counts, ref["base"], lambda a, x: a + change(x))))
 
 
 def _n_repeat(words: Column, window: int) -> Column:
@@ -152,7 +155,7 @@ def judged(df: DataFrame, references: dict, rules: QualityRules = QualityRules()
     classes = F.filter(F.transform(F.col(f"{P}classes"), lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: x["c"] > 0)
     other = F.aggregate(F.col(f"{P}common"), n, lambda a, x: a - x["c"])
     common = F.filter(F.concat(F.col(f"{P}common"), F.array(F.struct(F.lit(len(VOCABULARY)).alias("i"), other.alias("c")))), lambda x: x["c"] > 0)
-    nearest = lambda counts, tot, k: let(counts, lambda c: F.least(*[_distance(c, tot, r[k]) for r in references.values()], F.lit(1.0))) if references else F.lit(0.0)
+    nearest = lambda counts, tot, k: let(counts, lambda c: F.least(F.array_min(F.transform(_literal(references, k), lambda r: _distance(c, tot, r))), F.lit(1.0))) if references else F.lit(0.0)
     df = df.withColumns({f"{P}d_classes": nearest(classes, total, "classes"), f"{P}d_common": nearest(common, words, "common")})
     far = ((F.col(f"{P}n_chars") >= rules.min_chars_classes) & (F.col(f"{P}d_classes") > rules.max_class_distance)) | (
         (n >= rules.min_words_common) & (F.col(f"{P}d_common") > rules.max_common_distance)
@@ -168,7 +171,8 @@ def assess(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "t
 
 def filter_documents(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
-    return assess(docs, rules, text, lang).where(f"{P}kept").select(*docs.columns)
+    inner = aliased(docs)
+    return assess(inner, rules, at(docs, text), at(docs, lang)).where(f"{P}kept").select(*inner.columns).toDF(*docs.columns)
 
 
 def quality_table(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
