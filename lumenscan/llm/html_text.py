@@ -6,11 +6,14 @@ can) gives a tree; visibility rules leave out head, scripts, styles, templates,
 of their own with blank lines around paragraphs and headings, lists with markers and indents, ``pre`` as it stands,
 and tables with their columns aligned.
 
-One narrow pass over the rows; nothing is shuffled. The builder and the renderer keep explicit stacks, so nesting of
-any depth is read; nesting deeper than ``MAX_DEPTH`` is flattened into its ancestor, text and all.
-
-Edge cases: null HTML gives null text, empty HTML an empty one. Broken markup is text. Repeated rows are rendered each
-on its own; other columns are not needed and not read.
+One narrow pass over the rows; nothing is shuffled. The builder knows where each tag is open and the renderer runs on an
+explicit stack, tables in tables included, so nesting of any depth is read in time that grows with the page.
+
+Edge cases: null HTML gives null text, empty HTML an empty one. Broken markup is text. A colspan is held at 1,000, as the
+HTML standard has it; a colspan or list start that is no number in ASCII digits counts as 1. Lists and quotes nested
+deeper than ``MAX_INDENT`` are rendered in whole but not indented further, as indents would grow with the square of the
+depth. Repeated rows are rendered each on its own; an empty table gives no rows; other columns, whatever their names, are
+not read. Very long pages are rendered whole.
 """
 
 from __future__ import annotations
@@ -46,7 +49,8 @@ IMPLIED = {
 }
 #: What head may hold; any other opening tag, or text, ends it.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
-MAX_DEPTH = 512
+MAX_INDENT = 64
+_NUMBER = re.compile(r"[ \t\n\f\r]*([+-]?[0-9]{1,9})(?![0-9])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -67,68 +71,97 @@ class Node:
         return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTRIBUTE.finditer(self.attributes)))}
 
 
+def number(text: str, otherwise: int = 1) -> int:
+    """The integer an attribute starts with."""
+    m = _NUMBER.match(text)
+    return int(m[1]) if m else otherwise
+
+
+class _Open:
+    """The open elements, and for each tag the places where it is open."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("#root")]
+        self.places: dict[str, list[int]] = {}
+
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, to: int) -> None:
+        """Closes what is open from a place on."""
+        while len(self.nodes) > to:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The innermost place of any of tags; 0 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def end(self, tags: frozenset, barriers: frozenset) -> None:
+        """Closes the innermost of tags, unless a barrier is open inside it."""
+        at = self.last(tags)
+        if at and at >= self.last(barriers):
+            self.cut(at)
+
+    def text(self, text: str) -> None:
+        if self.top().tag == "head" and text.strip(" \t\n\r\f"):
+            self.cut(len(self.nodes) - 1)
+        self.top().children.append(text)
+
+
+_CELLS = ("table", "td", "th", "caption")
+_PASSES_CELLS = frozenset("table tr tbody thead tfoot body html".split())
+_P, _P_BARRIERS = frozenset({"p"}), frozenset({"button", "td", "th", "caption", "table", "object"})
+_TR, _TABLE = frozenset({"tr"}), frozenset({"table"})
+
+
 def parse(html: str) -> Node:
     """The tree of html; leaves are strings."""
-    root = Node("#root")
-    stack = [root]
+    opened = _Open()
+    root = opened.top()
     at = 0
     while True:
         m = _TOKEN.search(html, at)
         if m is None:
             break
         if m.start() > at:
-            _text(stack, unescape(html[at : m.start()]))
+            opened.text(unescape(html[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("table", "td", "th", "caption") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            if tag == "p" and not opened.places.get("p"):
+                opened.top().children.append(Node("p"))
+            place = opened.last((tag,))
+            if place and (tag in _PASSES_CELLS or place >= opened.last(_CELLS)):
+                opened.cut(place)
             continue
-        if stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
+        if opened.top().tag == "head" and tag not in IN_HEAD:
+            opened.cut(len(opened.nodes) - 1)
         if tag in _P_ENDS:
-            _end(stack, frozenset({"p"}), frozenset({"button", "td", "th", "caption", "table", "object"}))
+            opened.end(_P, _P_BARRIERS)
         if tag in IMPLIED:
-            _end(stack, *IMPLIED[tag])
+            opened.end(*IMPLIED[tag])
             if tag in ("tbody", "thead", "tfoot"):
-                _end(stack, frozenset({"tr"}), frozenset({"table"}))
+                opened.end(_TR, _TABLE)
         node = Node(tag, m[3])
-        stack[-1].children.append(node)
+        opened.top().children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             inner = html[at : end.start()] if end else html[at:]
             node.children.append(unescape(inner) if tag in ("textarea", "title") else inner)
             at = end.end() if end else len(html)
-        elif tag not in VOID and not m[3].rstrip().endswith("/") and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            opened.push(node)
     if at < len(html):
-        _text(stack, unescape(html[at:]))
+        opened.text(unescape(html[at:]))
     return root
 
 
-def _text(stack: list[Node], text: str) -> None:
-    if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
-        stack.pop()
-    stack[-1].children.append(text)
-
-
-def _end(stack: list[Node], tags: frozenset, barriers: frozenset) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in barriers:
-            return
-
-
 class _Page:
     """Lines of text with block spacing."""
 
@@ -156,7 +189,7 @@ class _Page:
     def end(self) -> None:
         """Ends the line, if there's one."""
         if self.line:
-            indent = "".join(self.prefix)
+            indent = "".join(self.prefix[:MAX_INDENT])
             if self.marker:
                 indent = indent[: max(0, len(indent) - len(self.marker))] + self.marker
                 self.marker = ""
@@ -171,7 +204,7 @@ class _Page:
         self.end()
         if self.want > 1 and self.lines and self.lines[-1]:
             self.lines.append("")
-        self.lines += ["".join(self.prefix) + x.rstrip() for x in text.strip("\n").split("\n")]
+        self.lines += ["".join(self.prefix[:MAX_INDENT]) + x.rstrip() for x in text.strip("\n").split("\n")]
         self.want = 2
 
     def text(self) -> str:
@@ -192,8 +225,8 @@ def _text_of(node: Node) -> str:
     return "".join(out)
 
 
-def _table(node: Node, depth: int) -> list[str]:
-    """Rows of a table with its columns aligned; a cell is rendered and its lines joined."""
+def _table(node: Node) -> Iterator:
+    """Rows of a table with its columns aligned; a cell is rendered and its lines joined. Yields the nodes it wants rendered and is sent their texts."""
     rows, stack, caption = [], list(reversed(node.children)), []
     while stack:
         n = stack.pop()
@@ -203,7 +236,7 @@ def _table(node: Node, depth: int) -> list[str]:
         elif n.hidden:
             continue
         elif n.tag == "caption":
-            caption.append(" ".join(render(n, depth + 1).split()))
+            caption.append(" ".join((yield n).split()))
         elif n.tag == "tr" or n.tag in ("td", "th"):
             cells = [n] if n.tag != "tr" else n.children
             row = []
@@ -212,21 +245,38 @@ def _table(node: Node, depth: int) -> list[str]:
                     if c.strip():
                         row.append(_SPACES.sub(" ", c).strip())
                 elif not c.hidden:
-                    row.append(" ".join(render(c, depth + 1).split()))
-                    span = c.get().get("colspan", "1")
-                    row += [""] * (min(int(span), 64) - 1 if span.isdigit() else 0)
+                    row.append(" ".join((yield c).split()))
+                    row += [""] * (min(max(number(c.get().get("colspan", "1")), 1), 1000) - 1)
             if any(row):
                 rows.append(row)
-        else:
-            stack += reversed(n.children) if n.tag in ("tbody", "thead", "tfoot", "colgroup") else [Node("tr")] if not n.children else []
-            if n.tag not in ("tbody", "thead", "tfoot", "colgroup") and n.children:
-                rows.append([" ".join(render(n, depth + 1).split())])
+        elif n.tag in ("tbody", "thead", "tfoot", "colgroup"):
+            stack += reversed(n.children)
+        elif n.children:
+            rows.append([" ".join((yield n).split())])
+    while rows and len(rows[-1]) == 0:
+        rows.pop()
+    rows = [r[: max((i + 1 for i, c in enumerate(r) if c), default=0)] for r in rows]
     widths = [max((len(r[i]) for r in rows if i < len(r) and len(r) > 1), default=0) for i in range(max((len(r) for r in rows), default=0))]
     return [c for c in caption if c] + ["  ".join(c.ljust(widths[i]) if i + 1 < len(r) else c for i, c in enumerate(r)).rstrip() for r in rows]
 
 
-def render(root: Node, depth: int = 0) -> str:
-    """The visible text of a tree."""
+def render(root: Node) -> str:
+    """The visible text of a tree. Tables ask for the text of their cells, which may hold tables: the open ones are a stack."""
+    running, sent = [_render(root)], None
+    while True:
+        try:
+            wanted = running[-1].send(sent)
+        except StopIteration as done:
+            running.pop()
+            if not running:
+                return done.value
+            sent = done.value
+        else:
+            running.append(_render(wanted))
+            sent = None
+
+
+def _render(root: Node) -> Iterator:
     page = _Page()
     lists: list[list] = []
     stack: list[tuple] = [(root, False)]
@@ -265,16 +315,15 @@ def render(root: Node, depth: int = 0) -> str:
         elif tag == "pre" or tag == "textarea":
             page.block(True)
             page.raw(_text_of(n))
-        elif tag == "table" and depth < 8:
+        elif tag == "table":
             page.block(True)
-            if rows := _table(n, depth):
+            if rows := (yield from _table(n)):
                 page.raw("\n".join(rows))
         else:
             if tag in BLOCK:
                 page.block(tag in PARAGRAPH and not (tag in ("ul", "ol") and lists))
             if tag in ("ul", "ol", "menu"):
-                start = n.get().get("start", "1") if tag == "ol" else "1"
-                lists.append([tag, int(start) if start.lstrip("-").isdigit() and len(start) < 10 else 1])
+                lists.append([tag, number(n.get().get("start", "1")) if tag == "ol" else 1])
             elif tag == "li":
                 kind = lists[-1] if lists else ["ul", 1]
                 mark = f"{kind[1]}. " if kind[0] == "ol" else "- "

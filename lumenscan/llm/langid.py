@@ -5,19 +5,25 @@ A model has, per language, log10 relative frequencies of words and of character
 mean over its n-grams of the longest order of which the model knows one; an order a language lacks an n-gram of costs
 ``penalty``. A document's score is the mean over its words; the highest wins, ties go to the first name in order.
 
-The model is fitted on a bounded sample of labelled rows (``sample_documents``, documented below) and cut to
-``max_words`` words and ``max_grams`` n-grams a language and order, so the broadcast model has a fixed bound. Scoring
-is one narrow pass: batches of texts go to Python workers, no shuffle, no key that could be hot. Only what a document
-says is used: its language label, source and id never enter a prediction.
-
-Edge cases: a null text or one without a letter gives ``und`` with score 0.0. Words are runs of letters, lower-cased.
-Without labelled rows the model is empty and everything is ``und``. Repeated rows are scored each on its own; very
-long texts are read in whole, in slices.
+The model is fitted on a bounded sample of labelled rows (``sample_documents``); every language of the rows learned
+from, every word and every n-gram of the sampled texts is in it. Words and n-grams are kept as sorted 64-bit hashes
+beside one array of values, so a model takes 8 bytes and a float a language for each. Scoring is one narrow pass:
+batches of texts go to Python workers, no shuffle, no key that could be hot. Only what a document says is used: its
+language label, source and id never enter a prediction.
+
+Edge cases: a null text or one without a letter gives ``und`` with score 0.0. Words are runs of letters (Unicode category
+L, in training and in scoring), lower-cased; numerals such as superscripts are no letters. Without labelled rows the
+model is empty and everything is ``und``. Repeated rows are scored each on its own; very long texts are read in whole,
+in slices. Other columns, whatever their names, are not read and pass through ``filter_documents``.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,47 +33,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenscan.llm._common import P, text_chunks
+from lumenscan.llm._common import P, aliased, at, text_chunks, written
+from lumenscan.llm.shingles import mix
 
-LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
+@functools.cache
+def letters() -> re.Pattern:
+    r"""Runs of \p{L}: what \w has, less the digits and less the numerals that are no letters."""
+    not_letters = [c for c in range(sys.maxunicode + 1) if (x := chr(c)).isalnum() and not x.isdecimal() and unicodedata.category(x)[0] != "L"]
+    ranges = np.split(np.array(not_letters), np.flatnonzero(np.diff(not_letters) > 1) + 1)
+    return re.compile(r"[^\W\d_" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in ranges) + "]+")
+
+
 @dataclass(frozen=True)
 class LanguageIdOptions:
     #: The model is fitted on about so many labelled rows, chosen by a hash of their id; all if there are fewer.
     sample_documents: int = 20_000
     max_order: int = 5
-    max_words: int = 20_000
-    max_grams: int = 8_000
-    max_languages: int = 64
     penalty: float = -7.0
     #: Words remembered by a worker between batches.
     memo: int = 200_000
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _letters_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words in a row, as hashes, and where each word begins, with the end."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return mix(codes + np.uint64(1)), np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+
+
+def _windows(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n letters in a row."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for j in range(n):
+        out = mix(out * _FACTOR + h[j : len(h) - n + 1 + j])
+    return out
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each of words, none of them empty."""
+    h, ends = _letters_of(words)
+    lengths = np.diff(ends)
+    place = np.arange(len(h)) - np.repeat(ends[:-1], lengths)
+    return mix(np.add.reduceat(mix(h + place.astype(np.uint64) * _FACTOR), ends[:-1]) + lengths.astype(np.uint64)) if len(words) else np.empty(0, np.uint64)
+
+
 @dataclass
 class LanguageModel:
-    """Tables give the row of values; the values of all tables are one array, so a model is small in every process."""
-
     languages: list[str]
-    words: dict[str, int]
-    #: by order: {gram: row}
-    grams: dict[int, dict[str, int]]
-    #: log10 frequencies, a row a word or gram, a column a language
-    values: np.ndarray
+    #: by order (0: words): sorted hashes, and log10 frequencies, a row a hash, a column a language
+    tables: dict[int, tuple[np.ndarray, np.ndarray]]
     options: LanguageIdOptions
 
-    def word(self, w: str) -> np.ndarray:
-        """Scores of one lower-case word in every language."""
-        if (v := self.words.get(w)) is not None:
-            return self.values[v]
-        marked = f" {w} "
-        for n in range(min(self.options.max_order, len(marked)), 0, -1):
-            table = self.grams.get(n, {})
-            if hits := [v for i in range(len(marked) - n + 1) if (v := table.get(marked[i : i + n])) is not None]:
-                return self.values[hits].mean(0)
-        return np.full(len(self.languages), self.options.penalty, dtype=np.float32)
+    def _find(self, order: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of h the table knows, and their rows."""
+        known, values = self.tables.get(order, (np.empty(0, np.uint64), np.empty((0, len(self.languages)), np.float32)))
+        if not len(known):
+            return np.zeros(len(h), bool), values
+        i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[i] == h
+        return hit, values[i[hit]]
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Scores of lower-case words, a row a word, a column a language."""
+        out = np.full((len(words), len(self.languages)), self.options.penalty, dtype=np.float32)
+        if not words:
+            return out
+        hit, rows = self._find(0, hashes(words))
+        out[hit] = rows
+        left = np.flatnonzero(~hit)
+        for n in range(self.options.max_order, 0, -1):
+            if not len(left):
+                break
+            marked = [f" {words[i]} " for i in left]
+            h, ends = _letters_of(marked)
+            owner = np.repeat(np.arange(len(left)), np.diff(ends))
+            grams = _windows(h, n)
+            inside = owner[: len(grams)] == owner[n - 1 :]
+            hit, rows = self._find(n, grams[inside])
+            of = owner[: len(grams)][inside][hit]
+            count = np.bincount(of, minlength=len(left))
+            some = count > 0
+            sums = np.stack([np.bincount(of, weights=rows[:, k], minlength=len(left)) for k in range(len(self.languages))], 1)
+            out[left[some]] = sums[some] / count[some, None]
+            left = left[~some]
+        return out
 
 
 class WordScores:
@@ -81,16 +135,15 @@ class WordScores:
         """Makes sure that known and rows have all of words."""
         if len(self.known) > self.model.options.memo:
             self.known.clear()
-        missing = words - self.known.keys()
-        at = len(self.known)
-        if at + len(missing) > len(self.rows):
-            grown = np.empty((at + len(missing) + (at + len(missing)) // 4, self.rows.shape[1]), dtype=np.float32)
-            grown[:at] = self.rows[:at]
+        missing = list(words - self.known.keys())
+        n, to = len(self.known), len(self.known) + len(missing)
+        if to > len(self.rows):
+            grown = np.empty((to + to // 4, self.rows.shape[1]), dtype=np.float32)
+            grown[:n] = self.rows[:n]
             self.rows = grown
-        for w in missing:
-            self.rows[at] = self.model.word(w)
-            self.known[w] = at
-            at += 1
+        for i in range(0, len(missing), 50_000):
+            self.rows[n + i : n + i + 50_000][: len(missing) - i] = self.model.scores(missing[i : i + 50_000])
+        self.known.update(zip(missing, range(n, to)))
 
 
 #: A worker remembers the words of one model at a time.
@@ -111,48 +164,47 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, options: LanguageIdOptions = LanguageIdOptions(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
     """A model of the rows of docs that have a language; the caller leaves out what mustn't be learned from."""
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(options.max_languages).collect()
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
-        return LanguageModel([], {}, {}, np.empty((0, 0), dtype=np.float32), options)
-    languages = sorted(r["lang"] for r in sizes)
-    share = options.sample_documents / max(1, sum(r["count"] for r in sizes))
-    if share < 1:
+        return LanguageModel([], {}, options)
+    languages = sorted(sizes)
+    if sum(sizes.values()) > options.sample_documents:
         # as many of each language: a rare one is not lost among the rows of a frequent one
         part = options.sample_documents / len(sizes)
-        cut = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, part / r["count"]) * 1e6))) for r in sizes], F.lit(0))
-        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < cut)
-    rows = rows.where(F.col("lang").isin(languages)).select("lang", F.lower("text").alias("text"))
-    words = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    marked = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
+        shares = F.from_json(F.lit(json.dumps({x: int(min(1.0, part / n) * 1e6) for x, n in sizes.items()})), "map<string,int>")
+        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < shares[F.col("lang")])
+    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("g")).groupBy("lang", "g").agg(F.count("*").alias("n"))
+    counted = written(words, "words")
+    marked = F.concat(F.lit(" "), F.col("g"), F.lit(" "))
     orders = F.array(*[F.lit(n) for n in range(1, options.max_order + 1)])
     grams = (
-        words.select("lang", "n", marked.alias("w"), F.explode(orders).alias("o"))
+        counted.select("lang", "n", marked.alias("w"), F.explode(orders).alias("o"))
         .where(F.length("w") >= F.col("o"))
         .select("lang", "n", "o", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("o") + 1), lambda i: F.col("w").substr(i, F.col("o")))).alias("g"))
         .groupBy("lang", "o", "g")
         .agg(F.sum("n").alias("n"))
     )
-    from pyspark.sql import Window
-
-    both = words.select("lang", F.lit(0).alias("o"), F.col("w").alias("g"), "n").unionByName(grams)
-    w = Window.partitionBy("lang", "o")
-    most = F.when(F.col("o") == 0, options.max_words).otherwise(options.max_grams)
-    got = (
-        both.withColumns({"total": F.sum("n").over(w), "rank": F.row_number().over(w.orderBy(F.desc("n"), "g"))})
-        .where(F.col("rank") <= most)
-        .select("lang", "o", "g", F.log10(F.col("n") / F.col("total")).cast("float").alias("v"))
-        .toArrow()
-    )
-    at = {x: i for i, x in enumerate(languages)}
-    tables: dict[int, dict[str, int]] = {}
-    names, orders_, units, logs = (got.column(c).to_pylist() for c in ("lang", "o", "g", "v"))
-    rows_of = []
-    for o, g in zip(orders_, units):
-        table = tables.setdefault(o, {})
-        rows_of.append(table.setdefault(g, sum(map(len, tables.values()))))
-    values = np.full((sum(map(len, tables.values())), len(languages)), options.penalty, dtype=np.float32)
-    values[rows_of, [at[x] for x in names]] = np.maximum(np.array(logs, dtype=np.float32), options.penalty)
-    return LanguageModel(languages, tables.pop(0, {}), tables, values, options)
+    got = counted.select("lang", F.lit(0).alias("o"), "g", "n").unionByName(grams).toArrow()
+    where = {x: i for i, x in enumerate(languages)}
+    column = np.array([where[x] for x in got.column("lang").to_pylist()])
+    order, n = np.asarray(got.column("o")), np.asarray(got.column("n")).astype(np.float64)
+    h = hashes(got.column("g").to_pylist())
+    tables = {}
+    for o in range(options.max_order + 1):
+        own = order == o
+        totals = np.bincount(column[own], weights=n[own], minlength=len(languages))
+        known, at_row = np.unique(_grams(got.column("g").filter(pa.array(own)).to_pylist(), o) if o else h[own], return_inverse=True)
+        values = np.full((len(known), len(languages)), options.penalty, dtype=np.float32)
+        values[at_row, column[own]] = np.maximum(np.log10(n[own] / totals[column[own]]), options.penalty)
+        if len(known):
+            tables[o] = (known, values)
+    return LanguageModel(languages, tables, options)
+
+
+def _grams(grams: list[str], n: int) -> np.ndarray:
+    """Hashes of grams of n letters each."""
+    h, ends = _letters_of(grams)
+    return _windows(h, n)[ends[:-1]] if grams else np.empty(0, np.uint64)
 
 
 def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -160,7 +212,8 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     if not model.languages:
         return names, scores
-    found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+    words = letters()
+    found = [words.findall(t.lower()) if t else [] for t in texts]
     memory = _scores_of(model)
     memory.learn(set().union(*found))
     for i, ws in enumerate(found):
@@ -196,5 +249,7 @@ def identify(docs: DataFrame, options: LanguageIdOptions = LanguageIdOptions())
 
 def filter_documents(docs: DataFrame, options: LanguageIdOptions = LanguageIdOptions(), min_score: float = 0.4) -> DataFrame:
     """The rows of docs whose language can be told: rejected are texts without a letter and those whose best language scores under min_score."""
-    model = fit(docs.where(~held_out()), options)
-    return predict(docs, model).where((F.col(f"{P}lang_pred") != UNDETERMINED) & (F.col(f"{P}score") >= min_score)).select(*docs.columns)
+    inner = aliased(docs)
+    key, text, lang = (at(docs, c) for c in ("doc_id", "text", "lang"))
+    model = fit(inner.where(~held_out(key)), options, text, lang, key)
+    return predict(inner, model, text).where((F.col(f"{P}lang_pred") != UNDETERMINED) & (F.col(f"{P}score") >= min_score)).select(*inner.columns).toDF(*docs.columns)
