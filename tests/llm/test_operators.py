@@ -148,7 +148,7 @@ def test_top_k_matches_brute_force(spark, blocks):
     x = np.round(r.normal(size=(400, 8)) * 40).astype(int)  # many ties
     x[50] = x[51] = x[52]
     df = spark.createDataFrame([(i, [float(v) / 256 for v in row]) for i, row in enumerate(x.tolist())] + [(1000, None), (1050, [None] * 8), (1100, [float("nan")] * 8), (None, [0.0] * 8)], "vec_id long, embedding array<double>")
-    o = topk.TopKOptions(query_block=blocks[0], candidate_block=blocks[1], leaf=8)
+    o = topk.TopKOptions(query_block=blocks[0], candidate_block=blocks[1], leaf=8, cell_rows=blocks[1])
     got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0"), o).collect()))
     assert got == sorted(brute_top_k(list(range(400)), x, range(0, 400, 50), 5))
 
