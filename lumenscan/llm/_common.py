@@ -84,6 +84,17 @@ def dropped(*tables: DataFrame | None) -> None:
                 _working[:] = [w for w in _working if w.rsplit("/", 1)[-1] != path.rsplit("/", 1)[-1]]
 
 
+def joined_hot(left: DataFrame, right: DataFrame, on: list[str], many: str, hot: int, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row a key and in column many the number of left's rows that have it.
+
+    Keys of more than hot rows are broadcast (there can't be more of them than rows of left / hot), so their rows stay
+    where they are; all others are joined by key."""
+    high = right.where(F.col(many) > hot)
+    first = left.join(F.broadcast(high), on)
+    rest = left.join(F.broadcast(high.select(*on)), on, "left_anti").join(right.where(F.col(many) <= hot), on, how)
+    return first.unionByName(rest)
+
+
 def aliased(df: DataFrame) -> DataFrame:
     """df with its columns renamed by position to _ls_0, _ls_1 and so on, so that no name of theirs (dotted, quoted, repeated or our own) matters."""
     return df.toDF(*[f"{P}{i}" for i in range(len(df.columns))])

@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps, all in DataFrames.
 
 Each step sends the neighbours of a node to its least neighbour; the minimum is taken by partial aggregation and joined
-back, so no neighbourhood is ever held in one place. Steps end in tables in the shared folder.
+back. Nodes of more than ``hot`` neighbours, which are at most edges / hot many, are joined by broadcast, so the edges of a
+star's centre stay spread over the tasks that hold them. Steps end in tables in the shared folder; the one before is
+deleted.
 """
 
 from __future__ import annotations
@@ -9,30 +11,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenscan.llm._common import written
+from lumenscan.llm._common import dropped, joined_hot, written
 
+HOT = 1_000_000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _star(edges: DataFrame, large: bool, hot: int) -> DataFrame:
     """edges (a > b) -> edges after one step."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    least = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("many"))
+    if large:
+        least = least.withColumn("least", F.least("a", "least"))
+    joined = joined_hot(both, least, ["a"], "many", hot)
     if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("least"))
-        joined = edges.join(least, "a")
         out = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
     return out.where("a > b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links (a, b: long) -> (node, root) of every node of a link; root is the least node of its component."""
+def components(links: DataFrame, hot: int = HOT) -> DataFrame:
+    """links (a, b: long) -> (node, root) of every node of a link; root is the least node of its component. A table of the shared folder."""
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     state = None
     while True:
-        edges = written(_star(_star(edges, True), False), "edges")
+        before, edges = edges, written(_star(_star(edges, True, hot), False, hot), "edges")
+        dropped(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "components")
+    dropped(edges)
+    return out

@@ -1,24 +1,31 @@
 """Near-duplicate documents: a signature-coordinate inverted join, confirmed on full shingle sets.
 
-1. Every text becomes a set of k-word shingles and a MinHash signature of ``coordinates`` values. Texts of one set form
-   a class; from here on one row a class is worked on, so copies, however many, cost nothing.
+1. Every text becomes a set of k-word shingles and a MinHash signature of ``coordinates`` values. Texts of one set (two
+   64-bit sums over its hashes tell sets apart) form a class, represented by its smallest doc_id; from here on one row a
+   class is worked on, so copies, however many, cost nothing.
 2. Classes are posted under (coordinate, value) pairs. Two classes of similarity ``percent`` agree in ``least`` of the
    coordinates but for a chance of about 1e-6 (binomial tail at exactly the limit; far less above it), and a pair that
-   does shares a posting among the first ``coordinates - least + 1`` ones: only this prefix is posted.
+   does shares one of the first ``coordinates - least + 1`` pairs of either in any order that is the same for all: only
+   this prefix is posted. The order is by frequency, rarest first, as a fixed number of counters tells it, so values that
+   many documents share (a common passage) are mostly not posted at all.
 3. Collisions are counted over the whole signature, posting list by posting list, and merged with skips: the first
-   class of a list takes every class that reaches ``least`` with it; these are not compared with each other any more,
-   only with what lies outside. A list of n alike classes so gives n - 1 links, never n * n pairs.
+   class of a list takes every class that reaches ``least`` with it; these are not compared with each other any more. With
+   what another leader took they are compared only where the leaders are near enough for it: the number of coordinates in
+   which signatures differ is a metric. A list of n alike classes so gives n - 1 links, never n * n pairs.
 4. Links are confirmed on the full sets (exact integer comparison). A class whose link fails has lost what was skipped
    for it: its lists are merged once more, without skips, against all classes outside its component.
-5. Components of the confirmed links: alternating star steps.
+5. Components of the confirmed links: alternating star steps. As a class is its smallest doc_id, so is a component.
 
-Scale: lists longer than ``block`` are split into blocks that meet pairwise in tasks of their own; sets of a hot
-leader's links are spread over salted tasks. Nothing of the corpus is collected; the only thing broadcast is a Bloom
-filter of ``bloom_bits`` bits (it may only let through too much; the join after it decides).
+Scale: a key, class or node of more than ``hot`` rows is counted by partial aggregation and joined by broadcast, all others
+by shuffle. Lists longer than ``block`` are split into blocks that meet pairwise in tasks of their own; that work grows
+with the square of a list of unlike classes, which rarest-first prefixes keep short. A hot leader's links are spread over
+salted tasks. Only texts of candidates are moved: a Bloom filter of 12 bits a candidate leaves the others where they
+are, unless it would take more than ``bloom_bits``; then the join decides alone. Nothing of the corpus is collected.
 
 Edge cases: null, empty or wordless texts have the empty set and are linked with nothing. Rows without a doc_id take no
-part (component null, kept false; ``filter_documents`` keeps them). Rows of one doc_id are one document as to what is
-kept. Ties: the smallest doc_id represents. Extra columns are ignored and pass through ``filter_documents``.
+part (component null, kept false; ``filter_documents`` keeps them). Rows of one doc_id are judged each by its text, and a
+doc_id of which a row is kept is kept. Ties: the smallest doc_id represents. Very long texts are compared whole. An empty
+table gives no rows. Extra columns, whatever their names, are ignored and pass through ``filter_documents``.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenscan.llm._common import P, text_chunks, written
+from lumenscan.llm._common import P, aliased, at, dropped, joined_hot, text_chunks, written
 from lumenscan.llm.components import components
 from lumenscan.llm.shingles import MinHash, mix, shingle_sets
 
@@ -46,34 +53,30 @@ class NearDupOptions:
     block: int = 16_384
     #: Links of one leader that are confirmed in one salted group.
     links: int = 512
-    bloom_bits: int = 1 << 25
+    bloom_bits: int = 1 << 27
+    #: Counters of posted values, and rows from which on a key is joined by broadcast.
+    counters: int = 1 << 17
+    hot: int = 1_000_000
     #: Dropped ids up to so many are broadcast by filter_documents (8 bytes each); more are joined by shuffle.
     broadcast_ids: int = 2_000_000
 
 
 def signatures(docs: DataFrame, o: NearDupOptions, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n (set size), cls (identity of the set; null if empty), prefix (posted values), sig (a byte a coordinate)."""
+    """doc_id, n (set size), c1, c2 (identity of the set), sig (four bytes a coordinate; null if the set is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash, posted = MinHash(o.coordinates), o.coordinates - o.least + 1
+        minhash = MinHash(o.coordinates)
         for batch in batches:
             for b in text_chunks(batch, "text", 1 << 20):
-                ns, cls, prefix, sig = [], [], [], []
+                ns, ids, sig = [], [], []
                 for s in shingle_sets(b.column("text"), o.shingle):
                     ns.append(len(s))
-                    if len(s):
-                        m = minhash(s)
-                        cls.append(int(mix(s[:1] * np.uint64(len(s)) ^ s.sum(keepdims=True) + mix(s).sum(keepdims=True)).view(np.int64)[0]))
-                        prefix.append(m[:posted].view(np.int32))
-                        sig.append(m.astype(np.uint8).tobytes())
-                    else:
-                        cls.append(None), prefix.append(None), sig.append(None)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(cls, pa.int64()), pa.array(prefix, pa.list_(pa.int32())), pa.array(sig, pa.binary())],
-                    names=["doc_id", "n", "cls", "prefix", "sig"],
-                )
+                    ids.append(mix(np.array([s.sum(), mix(s).sum()], np.uint64) + np.uint64(len(s))).view(np.int64))
+                    sig.append(minhash(s).astype("<u4").tobytes() if len(s) else None)
+                c = np.array(ids).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ns, pa.int64()), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(sig, pa.binary())], names=["doc_id", "n", "c1", "c2", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, cls long, prefix array<int>, sig binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sig binary")
 
 
 # --- posting lists ------------------------------------------------------------------------------------------------
@@ -132,20 +135,27 @@ def _stars(key: np.ndarray, n: np.ndarray, sig: np.ndarray, o: NearDupOptions) -
         leader[j[ok]] = i[ok]
         left = j[~ok]
     a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-    # what a star took in is compared with what is outside the star
+    # what a star took in is compared with what is outside the star, if the leaders are near enough
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-    ends = np.append(starts[1:], len(key))
-    mixed = [(s, e) for s, e, m, l in zip(starts, ends, np.add.reduceat(leader != np.arange(len(key)), starts) if len(key) else [], np.add.reduceat(leader == np.arange(len(key)), starts) if len(key) else []) if m and l > 1]
-    for s, e in mixed:
-        rows = np.arange(s, e)
-        taken = rows[leader[s:e] != rows]
-        step = max(1, 1_000_000 // len(rows))
-        for t in range(0, len(taken), step):
-            i, j = (x.ravel() for x in np.meshgrid(taken[t : t + step], rows, indexing="ij"))
-            apart = (leader[i] != leader[j]) & ((leader[j] == j) | (i < j))
-            i, j = i[apart], j[apart]
-            ok = _reach(sig, n, i, j, o)
-            a, b = np.append(a, i[ok]), np.append(b, j[ok])
+    own, apart = leader == np.arange(len(key)), sig.shape[1] - o.least
+    radius = np.zeros(len(key), np.int64)
+    np.maximum.at(radius, leader, (sig != sig[leader]).sum(1))
+    for s, e in zip(starts, np.append(starts[1:], len(key))):
+        leads = s + np.flatnonzero(own[s:e])
+        if len(leads) == e - s or len(leads) == 1:
+            continue
+        rows = s + np.argsort(leader[s:e], kind="stable")
+        members = dict(zip(leads.tolist(), np.split(rows, np.flatnonzero(np.diff(leader[rows])) + 1)))
+        for n_lead, i in enumerate(leads.tolist()):
+            others = leads[n_lead + 1 :]
+            for o_at in range(0, len(others), 65_536):
+                some = others[o_at : o_at + 65_536]
+                near = some[(sig[some] != sig[i]).sum(1) <= apart + radius[i] + radius[some]]
+                for j in near.tolist():
+                    for part in np.array_split(members[i], -(-len(members[i]) * len(members[j]) // 1_000_000)):
+                        x, y = (v.ravel() for v in np.meshgrid(part, members[j], indexing="ij"))
+                        ok = _reach(sig, n, x, y, o)
+                        a, b = np.append(a, x[ok]), np.append(b, y[ok])
     return a, b
 
 
@@ -154,50 +164,94 @@ def _outside(key: np.ndarray, n: np.ndarray, sig: np.ndarray, root: np.ndarray,
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     out_a, out_b = [], []
     for s, e in zip(starts, np.append(starts[1:], len(key))):
-        if lost[s:e].any() and e - s > 1:
+        if e - s > 1 and lost[s:e].any():
             rows = np.arange(s, e)
-            for i in rows[lost[s:e]]:
-                j = rows[root[s:e] != root[i]]
-                x = np.full(len(j), i)
-                ok = _reach(sig, n, x, j, o)
-                out_a.append(x[ok]), out_b.append(j[ok])
+            for part in np.array_split(rows[lost[s:e]], -(-int(lost[s:e].sum()) * (e - s) // 1_000_000)):
+                i, j = (v.ravel() for v in np.meshgrid(part, rows, indexing="ij"))
+                apart = (root[i] != root[j]) & (~lost[j] | (i < j))
+                i, j = i[apart], j[apart]
+                ok = _reach(sig, n, i, j, o)
+                out_a.append(i[ok]), out_b.append(j[ok])
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    return classes.select("cls", F.posexplode("prefix").alias("at", "value")).select("cls", F.xxhash64("at", "value").alias("key"))
+def _tokens(sig: pa.Array, o: NearDupOptions) -> np.ndarray:
+    """A 64-bit hash of every (coordinate, value) pair, a row a signature."""
+    return mix((np.frombuffer(b"".join(sig.to_pylist()), "<u4").reshape(-1, o.coordinates).astype(np.uint64) << np.uint64(8)) + np.arange(o.coordinates, dtype=np.uint64))
+
+
+def _counted(classes: DataFrame, o: NearDupOptions) -> np.ndarray:
+    """Counters of the pairs of all classes, of a fixed number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(o.counters, np.int64)
+        for b in batches:
+            n += np.bincount((_tokens(b.column("sig"), o) % np.uint64(o.counters)).astype(np.int64).ravel(), minlength=o.counters)
+        filled = np.flatnonzero(n)
+        for i in range(0, len(filled), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(filled[i : i + 65_536].astype(np.int32)), pa.array(n[filled[i : i + 65_536]])], names=["at", "n"])
+
+    got = classes.select("sig").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(o.counters, np.int64)
+    out[np.asarray(got.column("at"))] = np.asarray(got.column("n"))
+    return out
+
+
+def _postings(classes: DataFrame, frequency, o: NearDupOptions) -> DataFrame:
+    """(rep, key): the prefix of each class, its rarest pairs; frequency is the broadcast of _counted()."""
+    posted = o.coordinates - o.least + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = _tokens(b.column("sig"), o)
+            count = np.minimum(frequency.value[(t % np.uint64(o.counters)).astype(np.int64)], 2**31).astype(np.uint64)
+            first = np.argsort((count << np.uint64(32)) | (t >> np.uint64(32)), axis=1, kind="stable")[:, :posted]
+            keys = np.take_along_axis(t, first, 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("rep")), posted)), pa.array(keys.ravel())], names=["rep", "key"])
+
+    return classes.select("rep", "sig").mapInArrow(run, "rep long, key long")
+
+
+def _low(classes: DataFrame, o: NearDupOptions) -> DataFrame:
+    """rep, n and a byte a coordinate of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(b.num_rows, -1, 4)[:, :, 0]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.array([x.tobytes() for x in low], pa.binary())], names=["rep", "n", "sig"])
+
+    return classes.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, sig binary")
 
 
 def _blocks(lists: DataFrame, o: NearDupOptions) -> DataFrame:
-    """lists (key, cls, size) with the key of the block or pair of blocks in which a row is merged."""
+    """lists (key, rep, size) with the key of the block or pair of blocks in which a row is merged."""
     parts = F.ceil(F.col("size") / F.lit(o.block)).cast("int")
-    mine = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), parts).cast("int")
     several = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.xxhash64("key", F.least(p, mine), F.greatest(p, mine)))
-    return lists.select("cls", F.explode(F.when(parts > 1, several).otherwise(F.array("key"))).alias("key"))
+    return lists.select("rep", F.explode(F.when(parts > 1, several).otherwise(F.array("key"))).alias("key"))
 
 
-def _lists(postings: DataFrame) -> DataFrame:
-    """Postings of keys that two classes or more have, with their number."""
-    from pyspark.sql import Window
-
-    return postings.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+def _lists(postings: DataFrame, o: NearDupOptions) -> DataFrame:
+    """Postings of keys that two classes or more have, with their number; counted by partial aggregation."""
+    sizes = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return joined_hot(postings, sizes, ["key"], "size", o.hot)
 
 
 def _merged(rows: DataFrame, o: NearDupOptions, again: bool) -> DataFrame:
-    """Candidate links (a, b) of rows (key, cls, n, sig[, root, lost])."""
+    """Candidate links (a, b) of rows (key, rep, n, sig[, root, lost])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "key"):
-            key, n, cls = (np.asarray(t.column(c)) for c in ("key", "n", "cls"))
+            key, n, rep = (np.asarray(t.column(c)) for c in ("key", "n", "rep"))
             sig = _matrix(t.column("sig"), o.coordinates)
             if again:
                 i, j = _outside(key, n, sig, np.asarray(t.column("root")), np.asarray(t.column("lost")), o)
             else:
                 i, j = _stars(key, n, sig, o)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 # --- confirmation -------------------------------------------------------------------------------------------------
@@ -207,93 +261,110 @@ def _positions(x, bits: int) -> list:
     return [F.pmod(F.xxhash64(x, F.lit(i)), F.lit(bits)) for i in range(3)]
 
 
-def _bloom(ids: DataFrame, o: NearDupOptions) -> np.ndarray:
-    """Bit field of the ids (column id); built by partial aggregation, of a fixed size."""
-    at = ids.select(F.explode(F.array(*_positions("id", o.bloom_bits))).alias("p"))
+def _bloom(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bit field of the ids (column id), built by partial aggregation."""
+    at = ids.select(F.explode(F.array(*_positions("id", bits))).alias("p"))
     words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toArrow()
-    field = np.zeros(o.bloom_bits // 64, dtype=np.int64)
+    field = np.zeros(bits // 64, dtype=np.int64)
     if len(words):
         field[np.asarray(words.column("w"))] = np.asarray(words.column("bits"))
     return field.view(np.uint64)
 
 
-def _confirmed(docs: DataFrame, candidates: DataFrame, classes: DataFrame, o: NearDupOptions, text: str, key: str) -> DataFrame:
-    """candidates (a, b) with ok: whether the full sets are similar enough."""
-    spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / F.lit(o.links))).cast("int")
-    many = candidates.groupBy("a").agg(F.count("*").alias("many"))
-    salted = candidates.join(many, "a").select("a", "b", salt.alias("salt"))
-    wanted = salted.select(F.col("b").alias("cls"), "a", "salt", F.lit(1).alias("kind")).unionByName(salted.select(F.col("a").alias("cls"), "a", "salt", F.lit(0).alias("kind")).distinct())
-    wanted = wanted.join(classes.select("cls", "rep"), "cls")
-    shared = spark.sparkContext.broadcast(_bloom(wanted.select(F.col("rep").alias("id")).distinct(), o))
-    through = F.array(*_positions(F.col(key).cast("long"), o.bloom_bits))
+def _texts_of(docs: DataFrame, ids: DataFrame, o: NearDupOptions, text: str, key: str) -> DataFrame:
+    """rep and text of the documents that may be among ids (column id): all of them, and few others while the filter's size allows."""
+    own = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null")
+    bits = 1 << (12 * max(ids.count(), 64) - 1).bit_length()
+    if bits > o.bloom_bits:
+        return own
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids, bits))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for batch in batches:
             p = batch.column("through").flatten().to_numpy().astype(np.uint64).reshape(-1, 3)
             keep = ((field[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)).all(1)
-            batch = batch.filter(pa.array(keep))
-            for b in text_chunks(batch, "text", 1 << 20) if batch.num_rows else ():
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), o.shingle)], pa.binary())], names=["rep", "hashes"])
+            yield batch.filter(pa.array(keep)).select(["rep", "text"])
+
+    return own.select("rep", "text", F.array(*_positions("rep", bits)).alias("through")).mapInArrow(run, "rep long, text string")
 
-    found = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), through.alias("through")).where("doc_id is not null").mapInArrow(sets, "rep long, hashes binary")
+
+def _confirmed(docs: DataFrame, candidates: DataFrame, o: NearDupOptions, text: str, key: str) -> DataFrame:
+    """candidates (a, b) with ok: whether the full sets are similar enough."""
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / F.lit(o.links))).cast("int")
+    many = candidates.groupBy("a").agg(F.count("*").alias("many"))
+    salted = joined_hot(candidates, many, ["a"], "many", o.hot).select("a", "b", salt.alias("salt"))
+    wanted = written(salted.select(F.col("b").alias("rep"), "a", "salt", F.lit(1).alias("kind")).unionByName(salted.select(F.col("a").alias("rep"), "a", "salt", F.lit(0).alias("kind")).distinct()), "wanted")
+    found = _texts_of(docs, wanted.select(F.col("rep").alias("id")).distinct(), o, text, key)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead_of, lead = None, None
+        group, leads = None, []
         for batch in batches:
-            a, salts, cls, kind = (batch.column(c).to_pylist() for c in ("a", "salt", "cls", "kind"))
-            out: tuple[list, list, list] = ([], [], [])
-            for i in range(batch.num_rows):
-                s = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.uint64)
-                if not kind[i]:
-                    lead_of, lead = (a[i], salts[i]), s.copy()
-                elif lead_of == (a[i], salts[i]):
-                    small, big = (s, lead) if len(s) < len(lead) else (lead, s)
-                    at = np.searchsorted(big, small)
-                    at[at == len(big)] = 0
-                    both = int((big[at] == small).sum()) if len(big) else 0
-                    out[0].append(a[i]), out[1].append(cls[i]), out[2].append(100 * both >= o.percent * (len(s) + len(lead) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["a", "b", "ok"])
-
-    return wanted.join(found, "rep").select("a", "salt", "kind", "cls", "hashes").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(compare, "a long, b long, ok boolean")
+            for part in text_chunks(batch, "text", 1 << 20):
+                out: tuple[list, list, list] = ([], [], [])
+                for a, salt, rep, kind, s in zip(*(part.column(c).to_pylist() for c in ("a", "salt", "rep", "kind")), shingle_sets(part.column("text"), o.shingle)):
+                    if (a, salt) != group:
+                        group, leads = (a, salt), []
+                    if not kind:
+                        leads.append(s.copy())
+                    else:
+                        out[0].append(a), out[1].append(rep), out[2].append(any(_alike(s, lead, o) for lead in leads))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["a", "b", "ok"])
+
+    rows = wanted.join(found, "rep").select("a", "salt", "kind", "rep", "text")
+    out = written(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(compare, "a long, b long, ok boolean"), "checked")
+    dropped(wanted)
+    return out
+
+
+def _alike(s: np.ndarray, t: np.ndarray, o: NearDupOptions) -> bool:
+    small, big = (s, t) if len(s) < len(t) else (t, s)
+    if not len(small):
+        return False
+    at = np.minimum(np.searchsorted(big, small), len(big) - 1)
+    both = int((big[at] == small).sum())
+    return 100 * both >= o.percent * (len(s) + len(t) - both)
 
 
 def near_duplicates(docs: DataFrame, o: NearDupOptions = NearDupOptions(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs."""
     sigs = written(signatures(docs, o, text, key), "signatures")
-    classes = written(sigs.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig")), "classes")
-    lists = _lists(_postings(classes))
-    rows = _blocks(lists, o).join(classes.select("cls", "n", "sig"), "cls")
-    checked = written(_confirmed(docs, written(_merged(rows, o, False), "candidates"), classes, o, text, key), "checked")
-    links = checked.where("ok").select("a", "b")
-    found = written(components(links), "components")
-    lost = written(
-        checked.where("not ok").select(F.explode(F.array("a", "b")).alias("cls")).distinct(),
-        "lost",
-    )
+    some = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    classes = written(sigs.where(some).groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    frequency = docs.sparkSession.sparkContext.broadcast(_counted(classes, o))
+    postings = _postings(classes, frequency, o)
+    candidates = written(_merged(_blocks(_lists(postings, o), o).join(_low(classes, o), "rep"), o, False), "candidates")
+    checked = _confirmed(docs, candidates, o, text, key)
+    found = components(checked.where("ok").select("a", "b"), o.hot)
+    lost = written(checked.where("not ok").select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "lost")
     if not lost.isEmpty():
-        roots = classes.select("cls", "n", "sig").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "sig", F.coalesce("root", "cls").alias("root"))
-        marked = roots.join(lost.select("cls", F.lit(True).alias("lost")), "cls", "left").fillna(False, ["lost"])
-        keys = _postings(classes.join(lost, "cls", "left_semi")).select("key").distinct()
-        some = _lists(_postings(classes).join(keys, "key", "left_semi"))
-        again = _merged(_blocks(some, o).join(marked, "cls"), o, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        seen = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = written(again.join(seen, ["a", "b"], "left_anti"), "candidates")
+        roots = _low(classes, o).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "sig", F.coalesce("root", "rep").alias("root"))
+        marked = roots.join(lost.select("rep", F.lit(True).alias("lost")), "rep", "left").fillna(False, ["lost"])
+        keys = _postings(classes.join(lost, "rep", "left_semi"), frequency, o).select("key").distinct()
+        lists = _lists(postings.join(keys, "key", "left_semi"), o)
+        again = _merged(_blocks(lists, o).join(marked, "rep"), o, True)
+        more = written(again.join(candidates, ["a", "b"], "left_anti"), "candidates")
         if not more.isEmpty():
-            links = links.unionByName(_confirmed(docs, more, classes, o, text, key).where("ok").select("a", "b"))
-            found = written(components(links), "components")
-    reps = classes.select("cls", "rep").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    of_root = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = reps.join(of_root, "root").select("cls", "component_id")
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(labels, "cls", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+            rechecked = _confirmed(docs, more, o, text, key)
+            every = components(checked.where("ok").unionByName(rechecked.where("ok")).select("a", "b"), o.hot)
+            dropped(found, rechecked)
+            found = every
+        dropped(more)
+    # a document alone with its text and without links is its own component: only the others are looked up
+    labels = classes.select("c1", "c2", "rep", "many").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    labels = written(labels.where("many > 1 or root is not null").select("c1", "c2", "many", F.coalesce("root", "rep").alias("component")), "labels")
+    dropped(classes, candidates, checked, found, lost)
+    with_set = joined_hot(sigs.where(some).select("doc_id", "n", "c1", "c2"), labels, ["c1", "c2"], "many", o.hot, "left").select("doc_id", "n", "component")
+    out = with_set.unionByName(sigs.where(~some).select("doc_id", "n", F.lit(None).cast("long").alias("component")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, o: NearDupOptions = NearDupOptions(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the near-duplicates of a document of a smaller id: one document of each component stays."""
-    verdict = written(near_duplicates(docs, o, text, key).where("doc_id is not null and not kept").select(F.col("doc_id").alias(f"{P}gone")).distinct(), "dropped")
-    if verdict.count() <= o.broadcast_ids:
-        verdict = F.broadcast(verdict)
-    return docs.join(verdict, docs[key].cast("long") == F.col(f"{P}gone"), "left_anti").select(*docs.columns)
+    inner = aliased(docs)
+    text, key = at(docs, text), at(docs, key)
+    verdict = near_duplicates(inner, o, text, key).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = written(verdict.where("not kept").select(F.col("doc_id").alias(f"{P}gone")), "gone")
+    side = F.broadcast(gone) if gone.count() <= o.broadcast_ids else gone
+    return inner.join(side, inner[key].cast("long") == F.col(f"{P}gone"), "left_anti").toDF(*docs.columns)
