@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import os
 import re
 import tempfile
@@ -22,14 +23,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 P = "_ls_"
 
 
+@functools.cache
+def _one_machine() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lumenscan-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Where that is unset, a session on one machine gets a temporary one; a cluster is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="lumenscan-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _one_machine()
     return where.rstrip("/")
 
 

@@ -1,4 +1,4 @@
-"""Best-fit packing of documents into bins of a fixed number of tokens, with conflicts.
+"""Best-fit packing of token ids of documents into bins of a fixed number of tokens, with conflicts.
 
 Items go, longest first, into the bin of the least sufficient residual. Bins are ordered by residual; each residual has
 the bitmap of its bins, each source and each duplicate cluster the bitmap of the bins that carry it. An item may share
@@ -6,20 +6,27 @@ no bin with one of its source or of its cluster. The successor search goes from
 (per source, the number of its bins at every residual is kept, so residuals without a free bin are passed over at once)
 until a residual has a compatible bin; the oldest such bin is taken; with none, a new bin is opened.
 
-A document longer than a bin is cut into pieces: full ones fill bins of their own, the rest is packed. A piece is given
-by document, number and offsets, so texts are not moved at all.
+Documents are encoded with the byte-level tokenizer of token_files and get its end id. One longer than a bin is cut into
+pieces: full ones fill bins of their own, the rest is packed. The result are the bins themselves: the ids of each and the
+pieces (document, number, offset in the document, offset in the bin) that it holds.
 
-Scale: items are spread over shards of about ``shard_items`` by a hash of document and piece, so a hot source or
-cluster is spread evenly and conflicts across shards can't happen. A shard is one sorted stream; after 4 *
-``shard_items`` items (only repeated rows of one id get there) the bins in hand are closed and new ones are opened, so a
-task's memory has a bound. Nothing is collected or broadcast.
+The duplicate cluster of a document is column ``cluster`` where the caller names one (a component of near-duplicates,
+say); else documents whose words are equal but for the case of A-Z are a cluster.
 
-Edge cases: a null or empty text is one end token. A null source or cluster conflicts with nothing. Ties of length are
-ordered by doc_id and piece. Repeated rows are items of their own, and conflict as copies.
+Scale: items are spread over shards of about ``shard_items`` by a hash of document, piece and place in the input, so a hot
+source or cluster, or rows of one repeated id, are spread evenly and conflicts across shards can't happen. A shard is one
+sorted stream; where one has 2 * ``shard_items`` items, what follows counts as the next shard, so a task's memory is that
+of so many bins. The number of shards comes from the rows and bytes of the input; texts are encoded once and their ids
+moved once. Nothing is collected or broadcast.
+
+Edge cases: a null or empty text is one end id. A null source or cluster conflicts with nothing. Ties of length are
+ordered by doc_id and piece. Repeated rows are items of their own, and conflict as copies. An empty table gives no bins.
+Very long texts are packed whole. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenscan.llm._common import P, let, words_of
+from lumenscan.llm import token_files
+from lumenscan.llm._common import text_chunks
+from lumenscan.llm.shingles import mix, word_hashes
 
 
 @dataclass(frozen=True)
 class PackingOptions:
+    #: Path of a byte-level tokenizer file.
+    tokenizer: str
     capacity: int = 2_048
     shard_items: int = 4_096
 
@@ -90,38 +101,108 @@ class BestFit:
                 self.count[s][r] += by
 
 
-def items(docs: DataFrame, o: PackingOptions, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, piece, start, n_tokens, source, cluster: words and one end token a document; copies up to case and spacing are a cluster."""
-    w = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words_of(F.col(text)).alias(f"{P}words"))
-    w = w.select("doc_id", "source", (F.size(f"{P}words") + 1).cast("long").alias("n"), let(F.col(f"{P}words"), lambda x: F.when(F.size(x) > 0, F.xxhash64(F.lower(F.array_join(x, " "))))).alias("cluster"))
-    pieces = w.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {o.capacity}"))).alias("piece"))
-    start = F.col("piece") * o.capacity
-    return pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(o.capacity), F.col("n") - start).cast("long").alias("n_tokens"), "source", "cluster")
+def copies(texts: pa.Array) -> list[int | None]:
+    """A hash of the sequence of words of each text, None without words."""
+    h, ends = word_hashes(texts)
+    place = np.arange(len(h)) - np.repeat(ends[:-1], np.diff(ends))
+    h = mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    before = np.append(np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64))
+    sums = mix(before[ends[1:]] - before[ends[:-1]]).view(np.int64)
+    return [int(x) if n else None for x, n in zip(sums, np.diff(ends))]
+
+
+_ITEMS = {"doc_id": pa.int64(), "piece": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "source": pa.string(), "cluster": pa.int64(), "salt": pa.int64(), "ids": pa.binary()}
+
+
+def items(docs: DataFrame, o: PackingOptions, text: str = "text", key: str = "doc_id", source: str = "source", cluster: str | None = None) -> DataFrame:
+    """doc_id, piece, start, n_tokens, source, cluster, salt (place in the input) and ids (little-endian, four bytes each) of every piece."""
+    c = lambda name: F.col(f"`{name}`")
+    narrow = docs.select(c(key).cast("long").alias("doc_id"), F.coalesce(c(text), F.lit("")).alias("text"), c(source).cast("string").alias("source"), (c(cluster).cast("long") if cluster else F.lit(None).cast("long")).alias("cluster"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_ids, seen = token_files.encoder(token_files.TokenFileOptions(o.tokenizer)), 0
+        end, step = np.array([token_files.END_ID], "<u4").tobytes(), 4 * o.capacity
+        for batch in batches:
+            for b in text_chunks(batch, "text", 2 << 20):
+                of = b.column("cluster").to_pylist() if cluster else copies(b.column("text"))
+                out: list[tuple] = []
+                for doc_id, src, cl, ids in zip(b.column("doc_id").to_pylist(), b.column("source").to_pylist(), of, to_ids(b.column("text").to_pylist())):
+                    ids += end
+                    out += [(doc_id, i // step, i // 4, len(ids[i : i + step]) // 4, src, cl, seen // 65_536, ids[i : i + step]) for i in range(0, len(ids), step)]
+                    seen += 1
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _ITEMS.values())] if out else [pa.array([], t) for t in _ITEMS.values()], names=list(_ITEMS))
+
+    return narrow.mapInArrow(run, "doc_id long, piece long, start long, n_tokens long, source string, cluster long, salt long, ids binary")
+
+
+_PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("bin_start", pa.int64())])
+
+
+class _Bins:
+    """The bins of one shard with what they hold."""
+
+    def __init__(self, first: int, o: PackingOptions):
+        self.fit, self.first, self.n = BestFit(o.capacity), first, 0
+        self.held: list[list[tuple[dict, bytes]]] = []
+
+    def add(self, doc_id, piece, start, n_tokens, source, cluster, ids: bytes) -> None:
+        at, offset = self.fit.add(n_tokens, source, cluster)
+        if at == len(self.held):
+            self.held.append([])
+        self.held[at].append(({"doc_id": doc_id, "piece": piece, "start": start, "n_tokens": n_tokens, "bin_start": offset}, ids))
+        self.n += 1
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.held), 256):
+            part = self.held[i : i + 256]
+            ids = [b"".join(x for _, x in held) for held in part]
+            ends = np.append(0, np.cumsum([len(x) // 4 for x in ids])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+            bins = pa.array([self.first + i + k for k in range(len(part))], pa.int64())
+            yield pa.RecordBatch.from_arrays([bins, pa.array(np.diff(ends).astype(np.int64)), lists, pa.array([[p for p, _ in held] for held in part], pa.list_(_PIECE))], names=["bin", "n_tokens", "ids", "pieces"])
+
+
+def pack_items(rows: DataFrame, o: PackingOptions, shards: int) -> DataFrame:
+    """bin (unique over all shards), n_tokens, ids and pieces of every bin of the rows of items()."""
+    order = ["shard", F.desc("n_tokens"), "doc_id", "piece", "source", "cluster", "salt"]
+    spread = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards))).repartition("shard").sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bins = None, None
+        for b in batches:
+            for shard, *item in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "piece", "start", "n_tokens", "source", "cluster", "ids"))):
+                if shard != now or bins.n == 2 * o.shard_items:
+                    if bins is not None:
+                        yield from bins.batches()
+                    bins = _Bins((shard << 32) if shard != now else bins.first + len(bins.held), o)
+                    now = shard
+                bins.add(*item)
+        if bins is not None:
+            yield from bins.batches()
+
+    return spread.mapInArrow(run, "bin long, n_tokens long, ids array<int>, pieces array<struct<doc_id:long,piece:long,start:long,n_tokens:long,bin_start:long>>")
+
+
+def pack_documents(docs: DataFrame, o: PackingOptions, text: str = "text", key: str = "doc_id", source: str = "source", cluster: str | None = None) -> DataFrame:
+    """bin, n_tokens, ids and pieces of the bins of all documents."""
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.col(f"`{text}`"))).alias("bytes")).first()
+    expected = size["rows"] + (size["bytes"] or 0) // (3 * o.capacity)  # a token is about three bytes
+    return pack_items(items(docs, o, text, key, source, cluster), o, max(1, -(-expected // o.shard_items)))
 
 
-def pack_items(rows: DataFrame, o: PackingOptions = PackingOptions()) -> DataFrame:
-    """rows of items() with shard, bin (unique over all shards) and bin_start."""
-    shards = max(1, -(-rows.count() // o.shard_items))
-    order = ["shard", F.desc("n_tokens"), "doc_id", "piece", "source", "cluster"]
-    spread = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))).repartition("shard").sortWithinPartitions(*order)
+def piece_table(bins: DataFrame) -> DataFrame:
+    """bin, bin_start, doc_id, piece, start, n_tokens and ids_crc32 (of the piece's ids as little-endian 32-bit integers) of every piece, read from the bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fit, n, base = None, None, 0, 0
         for b in batches:
-            bins, starts = [], []
-            for shard, length, source, cluster in zip(*(b.column(c).to_pylist() for c in ("shard", "n_tokens", "source", "cluster"))):
-                if shard != now or n == 4 * o.shard_items:
-                    base = 0 if shard != now else base + len(fit.fill)
-                    now, fit, n = shard, BestFit(o.capacity), 0
-                at, offset = fit.add(length, source, cluster)
-                n += 1
-                bins.append((shard << 32) + base + at)
-                starts.append(offset)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bins, pa.int64()), pa.array(starts, pa.int64())], names=[*b.schema.names, "bin", "bin_start"])
-
-    return spread.mapInArrow(run, "doc_id long, piece long, start long, n_tokens long, source string, cluster long, shard long, bin long, bin_start long")
-
-
-def pack_documents(docs: DataFrame, o: PackingOptions = PackingOptions()) -> DataFrame:
-    """bin, bin_start, doc_id, piece, start, n_tokens of every piece of every document."""
-    return pack_items(items(docs, o), o).select("bin", "bin_start", "doc_id", "piece", "start", "n_tokens")
+            out: list[tuple] = []
+            lists = b.column("ids")
+            ends, ids = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4")
+            for number, begin, pieces in zip(b.column("bin").to_pylist(), ends, b.column("pieces").to_pylist()):
+                for p in pieces:
+                    at = int(begin) + p["bin_start"]
+                    out.append((number, p["bin_start"], p["doc_id"], p["piece"], p["start"], p["n_tokens"], zlib.crc32(ids[at : at + p["n_tokens"]].tobytes())))
+            names = ["bin", "bin_start", "doc_id", "piece", "start", "n_tokens", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 7)], names=names)
+
+    return bins.select("bin", "ids", "pieces").mapInArrow(run, "bin long, bin_start long, doc_id long, piece long, start long, n_tokens long, ids_crc32 long")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenscan.llm import chat, html_text, langid, licenses, neardup, oracles, packing, pieces, quality, token_files, topk
-from lumenscan.llm._common import read
+from lumenscan.llm._common import read, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,7 +53,8 @@ def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"))
+    bins = packing.pack_documents(read(spark, sf_dir, "documents"), packing.PackingOptions(tokenizer_path("byte_bpe_50k.json")))
+    return packing.piece_table(written(bins, "bins"))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,8 +85,8 @@ def cover(x: np.ndarray, first: int, apart: float, most: int) -> tuple[np.ndarra
     return np.array(centres), owner, bool(nearest.max(initial=0) <= apart * apart)
 
 
-def cover_tree(x: np.ndarray, leaf: int, base: float) -> _Node:
-    """The tree over the rows of x (one at least)."""
+def cover_tree(x: np.ndarray, leaf: int, base: float, most: int = 1024) -> _Node:
+    """The tree over the rows of x (one at least). A node that would need more children than most, or than half of its rows, is a leaf (most 0: any number will do)."""
     root = _Node(int(((x - x.mean(0)) ** 2).sum(1).argmin()), np.arange(len(x)), x)
     open_nodes = [(root, int(((x - x.mean(0)) ** 2).sum(1).argmin()))]
     while open_nodes:
@@ -94,7 +94,7 @@ def cover_tree(x: np.ndarray, leaf: int, base: float) -> _Node:
         rows = node.rows
         if len(rows) <= leaf or node.radius == 0 or not np.isfinite(node.radius):
             continue
-        centres, owner, covered = cover(x[rows], int(np.searchsorted(rows, at)), node.radius / base, max(8, min(len(rows) // 2, 1024)))
+        centres, owner, covered = cover(x[rows], int(np.searchsorted(rows, at)), node.radius / base, min(max(8, len(rows) // 2), most) if most else len(rows))
         if covered:
             for c, own in enumerate(rows[centres]):
                 child = _Node(int(own), rows[owner == c], x)
@@ -153,8 +153,9 @@ def dual_tree(q: np.ndarray, q_id: np.ndarray, r: np.ndarray, r_id: np.ndarray,
         return float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius + slack
 
     # the pair of the greatest bound comes first: a group meets what is likely best for it before the rest
-    turn = itertools.count()
-    heap = [(-np.inf, next(turn), cover_tree(q, o.leaf, o.base), cover_tree(r, o.leaf, o.base))]
+    turn, whole = itertools.count(), cover_tree(r, o.leaf, o.base)
+    # queries are split down to single ones if need be, but only if there are clusters of rows to keep them from
+    heap = [(-np.inf, next(turn), cover_tree(q, 1 if whole.children else len(q), o.base, 0), whole)]
     while heap:
         most, _, a, b = heapq.heappop(heap)
         worst = float(best.worst(a.rows).min())

@@ -409,24 +409,43 @@ def test_best_fit_takes_the_tightest_compatible_bin():
 
 
 def test_packing_holds_all_tokens_and_conflicts(odd_docs, no_docs):
-    o = packing.PackingOptions(capacity=128, shard_items=8)
+    from tokenizers import Tokenizer
+
+    o = packing.PackingOptions(queries.tokenizer_path("byte_bpe_50k.json"), capacity=128, shard_items=8)
+    t = Tokenizer.from_file(o.tokenizer)
     items = {(r.doc_id, r.piece): r for r in packing.items(odd_docs, o).collect()}
-    rows = packing.pack_documents(odd_docs, o).collect()
-    assert Counter((r.doc_id, r.piece, r.n_tokens) for r in rows) == Counter((r.doc_id, r.piece, r.n_tokens) for r in packing.items(odd_docs, o).collect())
-    bins = {}
-    for r in rows:
-        bins.setdefault(r.bin, []).append(r)
-    for rs in bins.values():
+    bins = packing.pack_documents(odd_docs, o).collect()
+    held = Counter()
+    for b in bins:
         at = 0
-        for r in sorted(rs, key=lambda r: r.bin_start):
-            assert r.bin_start == at
-            at += r.n_tokens
-        assert at <= 128
+        for p in b.pieces:
+            assert p.bin_start == at and b.ids[at : at + p.n_tokens] == np.frombuffer(items[p.doc_id, p.piece].ids, "<u4").tolist()
+            at += p.n_tokens
+            held[p.doc_id, p.piece] += 1
+        assert at == b.n_tokens == len(b.ids) <= 128
         for what in ("source", "cluster"):
-            seen = [v for r in rs if (v := getattr(items[r.doc_id, r.piece], what)) is not None]
+            seen = [v for p in b.pieces if (v := getattr(items[p.doc_id, p.piece], what)) is not None]
             assert len(seen) == len(set(seen))
-    assert sum(r.n_tokens for r in rows if r.doc_id == 7) == len(LONG.split()) + 1
-    assert packing.pack_documents(no_docs).count() == 0
+    assert held == Counter((r.doc_id, r.piece) for r in packing.items(odd_docs, o).collect()) and len({b.bin for b in bins}) == len(bins)
+    for r in odd_docs.collect():
+        ids = b"".join(items[r.doc_id, n].ids for n in range(sum(k[0] == r.doc_id for k in items)))
+        assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+    assert packing.pack_documents(no_docs, o).count() == 0 and packing.piece_table(packing.pack_documents(no_docs, o)).count() == 0
+
+
+def test_packing_keeps_near_duplicates_apart(spark):
+    from pyspark.sql import functions as F
+
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(w if j != i else "other" for j, w in enumerate(base)), f"s{i}") for i in range(20)] + [(100 + i, f"some text {i}", f"t{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    near = neardup.near_duplicates(docs).select("doc_id", F.col("component_id").alias("cluster"))
+    o = packing.PackingOptions(queries.tokenizer_path("byte_bpe_50k.json"))
+    bins = packing.pack_documents(docs.join(near, "doc_id"), o, cluster="cluster").collect()
+    assert len(bins) == 20 and all(sum(p.doc_id < 100 for p in b.pieces) == 1 for b in bins)
+    pieces_ = {(r.doc_id, r.piece): r for r in packing.piece_table(packing.pack_documents(docs, o)).collect()}
+    own = {(r.doc_id, r.piece): r for r in packing.items(docs, o).collect()}
+    assert {k: r.ids_crc32 for k, r in pieces_.items()} == {k: zlib.crc32(r.ids) for k, r in own.items()}
 
 
 # --- SentencePiece ------------------------------------------------------------------------------------------------
