@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenscan.llm import langid, neardup, packing, quality
-from lumenscan.llm._common import fresh_dir
+from lumenscan.llm._common import clean, fresh_dir, mark, written
+from lumenscan.llm.queries import tokenizer_path
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their bins."""
-    return packing.pack_documents(docs)
+    """Bins of token ids of all documents; returned are their pieces."""
+    bins = packing.pack_documents(docs, packing.PackingOptions(tokenizer_path("byte_bpe_50k.json")))
+    return packing.piece_table(written(bins, "bins"))
 
 
 STAGES = [
@@ -41,9 +43,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what a stage worked with and what it read is deleted once its result is written."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
+        since = mark() - (path is not None)
         path = fresh_dir(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        clean(spark, since, keep=(path,))
         docs = spark.read.parquet(path)
     return docs
