@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, o: NearDupOptions, text: str = "text", key: str
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sig binary")
 
 
-# --- posting lists ------------------------------------------------------------------------------------------------
+# posting lists
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -254,7 +254,7 @@ def _merged(rows: DataFrame, o: NearDupOptions, again: bool) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-# --- confirmation -------------------------------------------------------------------------------------------------
+# confirmation
 
 
 def _positions(x, bits: int) -> list:

@@ -7,8 +7,9 @@ no bin with one of its source or of its cluster. The successor search goes from
 until a residual has a compatible bin; the oldest such bin is taken; with none, a new bin is opened.
 
 Documents are encoded with the byte-level tokenizer of token_files and get its end id. One longer than a bin is cut into
-pieces: full ones fill bins of their own, the rest is packed. The result are the bins themselves: the ids of each and the
-pieces (document, number, offset in the document, offset in the bin) that it holds.
+pieces: full ones fill bins of their own, the rest is packed. The result are the bins themselves: the ids of each, in two
+little-endian bytes (four for vocabularies over 65,536), and the pieces (document, number, offset in the document, offset
+in the bin) that it holds.
 
 The duplicate cluster of a document is column ``cluster`` where the caller names one (a component of near-duplicates,
 say); else documents whose words are equal but for the case of A-Z are a cluster.
@@ -46,6 +47,8 @@ class PackingOptions:
     tokenizer: str
     capacity: int = 2_048
     shard_items: int = 4_096
+    #: Units of text a worker remembers.
+    memo: int = 700_000
 
 
 class BestFit:
@@ -115,22 +118,29 @@ _ITEMS = {"doc_id": pa.int64(), "piece": pa.int64(), "start": pa.int64(), "n_tok
 
 
 def items(docs: DataFrame, o: PackingOptions, text: str = "text", key: str = "doc_id", source: str = "source", cluster: str | None = None) -> DataFrame:
-    """doc_id, piece, start, n_tokens, source, cluster, salt (place in the input) and ids (little-endian, four bytes each) of every piece."""
+    """doc_id, piece, start, n_tokens, source, cluster, salt (place in the input) and ids of every piece."""
     c = lambda name: F.col(f"`{name}`")
     narrow = docs.select(c(key).cast("long").alias("doc_id"), F.coalesce(c(text), F.lit("")).alias("text"), c(source).cast("string").alias("source"), (c(cluster).cast("long") if cluster else F.lit(None).cast("long")).alias("cluster"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, seen = token_files.encoder(token_files.TokenFileOptions(o.tokenizer)), 0
-        end, step = np.array([token_files.END_ID], "<u4").tobytes(), 4 * o.capacity
+        to_ids, seen = token_files.encoder(token_files.TokenFileOptions(o.tokenizer, memo=o.memo)), 0
+        end, size = np.array([token_files.END_ID], "<u4").tobytes(), 2 if to_ids.tokenizer.get_vocab_size() <= 1 << 16 else 4
         for batch in batches:
-            for b in text_chunks(batch, "text", 2 << 20):
-                of = b.column("cluster").to_pylist() if cluster else copies(b.column("text"))
-                out: list[tuple] = []
-                for doc_id, src, cl, ids in zip(b.column("doc_id").to_pylist(), b.column("source").to_pylist(), of, to_ids(b.column("text").to_pylist())):
-                    ids += end
-                    out += [(doc_id, i // step, i // 4, len(ids[i : i + step]) // 4, src, cl, seen // 65_536, ids[i : i + step]) for i in range(0, len(ids), step)]
-                    seen += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _ITEMS.values())] if out else [pa.array([], t) for t in _ITEMS.values()], names=list(_ITEMS))
+            for b in text_chunks(batch, "text", 1 << 20):
+                ids = [x + end for x in to_ids(b.column("text").to_pylist())]
+                lengths = np.array([len(x) // 4 for x in ids], np.int64)
+                n_pieces = -(-lengths // o.capacity)
+                owner = np.repeat(np.arange(len(ids)), n_pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+                start = piece * o.capacity
+                n = np.minimum(lengths[owner] - start, o.capacity)
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{size}")
+                ends = np.append(0, np.cumsum(n * size)).astype(np.int32)  # pieces of a document follow each other
+                of = b.column("cluster") if cluster else pa.array(copies(b.column("text")), pa.int64())
+                take = lambda col: col.take(pa.array(owner))
+                columns = [take(b.column("doc_id")), pa.array(piece), pa.array(start), pa.array(n), take(b.column("source")), take(of), pa.array((seen + owner) // 65_536), pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(ends), pa.py_buffer(flat)])]
+                seen += len(ids)
+                yield pa.RecordBatch.from_arrays(columns, names=list(_ITEMS))
 
     return narrow.mapInArrow(run, "doc_id long, piece long, start long, n_tokens long, source string, cluster long, salt long, ids binary")
 
@@ -153,13 +163,11 @@ class _Bins:
         self.n += 1
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(self.held), 256):
-            part = self.held[i : i + 256]
-            ids = [b"".join(x for _, x in held) for held in part]
-            ends = np.append(0, np.cumsum([len(x) // 4 for x in ids])).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
-            bins = pa.array([self.first + i + k for k in range(len(part))], pa.int64())
-            yield pa.RecordBatch.from_arrays([bins, pa.array(np.diff(ends).astype(np.int64)), lists, pa.array([[p for p, _ in held] for held in part], pa.list_(_PIECE))], names=["bin", "n_tokens", "ids", "pieces"])
+        for i in range(0, len(self.held), 512):
+            part = self.held[i : i + 512]
+            sizes = [sum(p["n_tokens"] for p, _ in held) for held in part]
+            columns = [pa.array(range(self.first + i, self.first + i + len(part)), pa.int64()), pa.array(sizes, pa.int64()), pa.array([b"".join(x for _, x in held) for held in part], pa.binary()), pa.array([[p for p, _ in held] for held in part], pa.list_(_PIECE))]
+            yield pa.RecordBatch.from_arrays(columns, names=["bin", "n_tokens", "ids", "pieces"])
 
 
 def pack_items(rows: DataFrame, o: PackingOptions, shards: int) -> DataFrame:
@@ -180,7 +188,7 @@ def pack_items(rows: DataFrame, o: PackingOptions, shards: int) -> DataFrame:
         if bins is not None:
             yield from bins.batches()
 
-    return spread.mapInArrow(run, "bin long, n_tokens long, ids array<int>, pieces array<struct<doc_id:long,piece:long,start:long,n_tokens:long,bin_start:long>>")
+    return spread.mapInArrow(run, "bin long, n_tokens long, ids binary, pieces array<struct<doc_id:long,piece:long,start:long,n_tokens:long,bin_start:long>>")
 
 
 def pack_documents(docs: DataFrame, o: PackingOptions, text: str = "text", key: str = "doc_id", source: str = "source", cluster: str | None = None) -> DataFrame:
@@ -194,15 +202,15 @@ def piece_table(bins: DataFrame) -> DataFrame:
     """bin, bin_start, doc_id, piece, start, n_tokens and ids_crc32 (of the piece's ids as little-endian 32-bit integers) of every piece, read from the bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            lists = b.column("ids")
-            ends, ids = np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4")
-            for number, begin, pieces in zip(b.column("bin").to_pylist(), ends, b.column("pieces").to_pylist()):
-                for p in pieces:
-                    at = int(begin) + p["bin_start"]
-                    out.append((number, p["bin_start"], p["doc_id"], p["piece"], p["start"], p["n_tokens"], zlib.crc32(ids[at : at + p["n_tokens"]].tobytes())))
-            names = ["bin", "bin_start", "doc_id", "piece", "start", "n_tokens", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 7)], names=names)
-
-    return bins.select("bin", "ids", "pieces").mapInArrow(run, "bin long, bin_start long, doc_id long, piece long, start long, n_tokens long, ids_crc32 long")
+        for whole in batches:
+            for b in text_chunks(whole, "ids", 4 << 20):
+                held = b.column("pieces")
+                p = {c: np.asarray(held.flatten().field(c)) for c in ("piece", "start", "n_tokens", "bin_start")}
+                owner = np.repeat(np.arange(b.num_rows), np.asarray(held.value_lengths()))
+                totals = b.column("n_tokens").to_pylist()
+                ids = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4") for x, n in zip(b.column("ids").to_pylist(), totals)]
+                crc = [zlib.crc32(ids[i][a : a + n]) for i, a, n in zip(owner.tolist(), p["bin_start"].tolist(), p["n_tokens"].tolist())]
+                columns = [b.column("bin").take(pa.array(owner)), pa.array(p["bin_start"]), held.flatten().field("doc_id"), *(pa.array(p[c]) for c in ("piece", "start", "n_tokens")), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bin", "bin_start", "doc_id", "piece", "start", "n_tokens", "ids_crc32"])
+
+    return bins.select("bin", "n_tokens", "ids", "pieces").mapInArrow(run, "bin long, bin_start long, doc_id long, piece long, start long, n_tokens long, ids_crc32 long")

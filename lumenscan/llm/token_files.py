@@ -39,6 +39,9 @@ from lumenscan.llm._common import fresh_dir, text_chunks
 #: White space as Unicode has it (Python's own \s has four control characters more).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNITS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Texts with none of these have only single spaces and line ends between units.
+_OTHER = re.compile(rf"[{_SPACE}]".replace(" ", "", 1).replace(r"\t-\r", r"\t\x0b-\r"))
+_RUNS, _EDGE = ("  ", "\n\n", " \n", "\n "), ("", " ", "\n")
 END_ID = 0
 
 
@@ -56,11 +59,34 @@ class TokenFileOptions:
 
 #: The characters by which byte-level models write bytes.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_AS_WRITTEN = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+_AS_WRITTEN = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
-class UnitEncoder(dict):
-    """texts -> little-endian uint32 ids, by units; the dictionary is what is remembered."""
+class _Units(dict):
+    """unit -> little-endian uint32 ids; before is what stands before every unit. What's missing is encoded and remembered."""
+
+    def __init__(self, encode: Callable[[str], bytes], tokenize: Callable, before: str, most: int):
+        super().__init__()
+        self.encode, self.tokenize, self.before, self.most = encode, tokenize, before, most
+        self.mark = "".join(_AS_WRITTEN[ord(c)] for c in before)
+
+    def __missing__(self, unit: str) -> bytes:
+        if unit.isalpha() and (unit.isascii() or max(unit) < "\u0250"):
+            # one piece of letters: straight to the model
+            written = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_AS_WRITTEN)
+            out = array("I", [t.id for t in self.tokenize(self.mark + written)]).tobytes()
+        elif unit[-1:] in (".", ",") and (bare := unit[:-1]).isalpha() and (bare.isascii() or max(bare) < "\u0250"):
+            # what follows a run of letters is a piece of its own
+            return self[bare] + self.encode(unit[-1])
+        else:
+            out = self.encode(self.before + unit)
+        if len(unit) <= self.most:
+            self[unit] = out
+        return out
+
+
+class UnitEncoder:
+    """texts -> little-endian uint32 ids, by units; what is remembered is two dictionaries, of units at the start of a text or line and of units after a space."""
 
     def __init__(self, o: TokenFileOptions):
         import os
@@ -68,37 +94,35 @@ class UnitEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(o.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.o = self.tokenizer.model, o
-
-    def __missing__(self, unit: str) -> bytes:
-        bare = unit[1:] if unit[0] == " " else unit
-        if len(bare) > 1 and bare[-1] in ".,":
-            # what follows a run of letters is a piece of its own
-            if (bare := bare[:-1]).isalpha() and (bare.isascii() or max(bare) < "\u0250"):
-                out = self[unit[:-1]] + self[unit[-1]]
-            else:
-                out = self._encode(unit)
-        elif bare.isalpha() and (bare.isascii() or max(bare) < "\u0250"):
-            # one piece of letters: straight to the model
-            out = array("I", [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(_AS_WRITTEN))]).tobytes()
-        else:
-            out = self._encode(unit)
-        if len(unit) <= self.o.memo_chars:
-            self[unit] = out
-        return out
+        self.o, self.marks = o, {c: self._encode(c) for c in ".,"}
+        parts = (lambda x: self.marks.get(x) or self._encode(x)), self.tokenizer.model.tokenize
+        self.first, self.spaced = _Units(*parts, "", o.memo_chars), _Units(*parts, " ", o.memo_chars)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _units(self, text: str) -> bytes:
+        """Ids of any text, unit by unit."""
+        return b"".join(self.spaced[u[1:]] if len(u) > 1 and u[0] == " " and not u[1].isspace() else self.first[u] for u in UNITS.findall(text))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
-            if len(self) > self.o.memo:
-                self.clear()
-            out.append(self._encode(t) if any(s in t for s in self.special) else b"".join(map(self.__getitem__, UNITS.findall(t))))
+            if len(self.first) + len(self.spaced) > self.o.memo:
+                self.first.clear(), self.spaced.clear()
+            if any(s in t for s in self.special):
+                out.append(self._encode(t))
+            elif t[:1] in _EDGE or t[-1] in _EDGE or any(x in t for x in _RUNS) or _OTHER.search(t):
+                out.append(self._units(t))
+            else:
+                # single spaces and line ends: what a unit is depends on nothing around it
+                parts = []
+                for line in t.split("\n"):
+                    head, *rest = line.split(" ")
+                    parts += (self.first["\n"], self.first[head], *map(self.spaced.__getitem__, rest))
+                out.append(b"".join(parts[1:]))
         return out
 
 

@@ -187,7 +187,7 @@ def quantised(vectors: DataFrame, o: TopKOptions, key: str = "vec_id", vector: s
     return vectors.where(fine & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(v, lambda x: _floored(x.cast("double") * o.scale)).alias("v"))
 
 
-# --- cells --------------------------------------------------------------------------------------------------------
+# cells
 
 
 def _matrix(col: pa.Array) -> np.ndarray:

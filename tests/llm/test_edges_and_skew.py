@@ -69,7 +69,7 @@ def test_a_cluster_needs_a_shared_folder():
     assert _common.shared_dir(session("local[4]")).startswith("file:///")
 
 
-# --- language -----------------------------------------------------------------------------------------------------
+# language
 
 
 def brute_language(rows, text, max_order=5, penalty=-7.0):
@@ -147,7 +147,7 @@ def test_quality_has_a_reference_of_every_language(spark):
     assert len(quality.language_references(f)) == 80
 
 
-# --- html ---------------------------------------------------------------------------------------------------------
+# html
 
 
 def random_page(depth, words, rng):
@@ -301,7 +301,7 @@ def test_frequent_values_are_not_posted(spark):
     assert longest < 1000
 
 
-# --- pipeline -----------------------------------------------------------------------------------------------------
+# pipeline
 
 
 def test_pipeline_language_stage_drops_what_has_no_language(spark):

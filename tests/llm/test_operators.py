@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-# --- quality ------------------------------------------------------------------------------------------------------
+# quality
 
 
 def brute_repeat(words, k=5):
@@ -61,7 +61,7 @@ def test_quality_rejects_word_lists_and_symbols(spark):
     assert all(kept[i] for i, _, _ in good) and not kept[100] and not kept[101]
 
 
-# --- language -----------------------------------------------------------------------------------------------------
+# language
 
 
 def test_language_id_held_out_accuracy(spark):
@@ -93,7 +93,7 @@ def test_unseen_words_back_off_to_shorter_grams(spark):
     assert langid.score_texts(model, ["ababa", "dcdcd", "c", "zzz"])[0] == ["x", "y", "y", "x"]
 
 
-# --- html ---------------------------------------------------------------------------------------------------------
+# html
 
 
 @pytest.mark.parametrize(
@@ -166,7 +166,7 @@ def test_head_ends_without_its_end_tag():
     assert html_text.extract("<head><title>T</title> only") == "only"
 
 
-# --- licences -----------------------------------------------------------------------------------------------------
+# licences
 
 
 def brute_license(o, segment):
@@ -248,7 +248,7 @@ def test_license_windows_equal_brute_force():
         assert got == want
 
 
-# --- chat ---------------------------------------------------------------------------------------------------------
+# chat
 
 
 def chat_rows():
@@ -283,7 +283,7 @@ def test_chat_parts_of_a_long_conversation(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
-# --- token files --------------------------------------------------------------------------------------------------
+# token files
 
 
 def test_token_files_hold_the_library_ids(spark, odd_docs, no_docs, tmp_path):
@@ -391,7 +391,7 @@ def test_shingle_hashes_separate_words_texts_and_case():
     assert (a == b).all() and not set(a) & set(c) - set(a[1:]) and len(d) == 0 and len(a) == 2
 
 
-# --- packing ------------------------------------------------------------------------------------------------------
+# packing
 
 
 def test_best_fit_takes_the_tightest_compatible_bin():
@@ -419,17 +419,17 @@ def test_packing_holds_all_tokens_and_conflicts(odd_docs, no_docs):
     for b in bins:
         at = 0
         for p in b.pieces:
-            assert p.bin_start == at and b.ids[at : at + p.n_tokens] == np.frombuffer(items[p.doc_id, p.piece].ids, "<u4").tolist()
+            assert p.bin_start == at and b.ids[2 * at : 2 * (at + p.n_tokens)] == items[p.doc_id, p.piece].ids
             at += p.n_tokens
             held[p.doc_id, p.piece] += 1
-        assert at == b.n_tokens == len(b.ids) <= 128
+        assert at == b.n_tokens == len(b.ids) // 2 <= 128
         for what in ("source", "cluster"):
             seen = [v for p in b.pieces if (v := getattr(items[p.doc_id, p.piece], what)) is not None]
             assert len(seen) == len(set(seen))
     assert held == Counter((r.doc_id, r.piece) for r in packing.items(odd_docs, o).collect()) and len({b.bin for b in bins}) == len(bins)
     for r in odd_docs.collect():
         ids = b"".join(items[r.doc_id, n].ids for n in range(sum(k[0] == r.doc_id for k in items)))
-        assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+        assert np.frombuffer(ids, "<u2").tolist() == [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
     assert packing.pack_documents(no_docs, o).count() == 0 and packing.piece_table(packing.pack_documents(no_docs, o)).count() == 0
 
 
@@ -445,10 +445,10 @@ def test_packing_keeps_near_duplicates_apart(spark):
     assert len(bins) == 20 and all(sum(p.doc_id < 100 for p in b.pieces) == 1 for b in bins)
     pieces_ = {(r.doc_id, r.piece): r for r in packing.piece_table(packing.pack_documents(docs, o)).collect()}
     own = {(r.doc_id, r.piece): r for r in packing.items(docs, o).collect()}
-    assert {k: r.ids_crc32 for k, r in pieces_.items()} == {k: zlib.crc32(r.ids) for k, r in own.items()}
+    assert {k: r.ids_crc32 for k, r in pieces_.items()} == {k: zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) for k, r in own.items()}
 
 
-# --- SentencePiece ------------------------------------------------------------------------------------------------
+# SentencePiece
 
 
 def test_pieces_are_those_of_the_library(odd_docs, no_docs):
@@ -491,7 +491,7 @@ def test_unigram_viterbi_finds_the_greatest_sum():
         assert sum(M.score[back[i]] for i in np.frombuffer(e[w], "<u4").tolist()) == pytest.approx(brute(w)[0])
 
 
-# --- pipeline -----------------------------------------------------------------------------------------------------
+# pipeline
 
 
 def test_pipeline_stages_take_effect(spark, odd_docs):
