@@ -78,23 +78,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def paths_of(*tables: DataFrame | None) -> tuple[str, ...]:
+    """The paths of tables made by written() that are read."""
+    names = {os.path.dirname(x).rsplit("/", 1)[-1] for df in tables if df is not None for x in df.inputFiles()}
+    return tuple(w for w in _working if w.rsplit("/", 1)[-1] in names)
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Deletes tables made by written() that nothing reads any more."""
-    for df in tables:
-        if df is not None:
-            spark = df.sparkSession
-            for path in {os.path.dirname(x) for x in df.inputFiles()}:
-                p = spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-                _working[:] = [w for w in _working if w.rsplit("/", 1)[-1] != path.rsplit("/", 1)[-1]]
+    for spark in {t.sparkSession for t in tables if t is not None}:
+        gone = paths_of(*tables)
+        clean(spark, keep=tuple(w for w in _working if w not in gone))
 
 
 def joined_hot(left: DataFrame, right: DataFrame, on: list[str], many: str, hot: int, how: str = "inner") -> DataFrame:
-    """left joined to right, which has one row a key and in column many the number of left's rows that have it.
+    """left joined to right, which has one row a key and in column many the number of left's rows that have it. right becomes a table of the shared folder.
 
     Keys of more than hot rows are broadcast (there can't be more of them than rows of left / hot), so their rows stay
     where they are; all others are joined by key."""
+    right = written(right, "keys")
     high = right.where(F.col(many) > hot)
+    if high.isEmpty():
+        return left.join(right, on, how)
     first = left.join(F.broadcast(high), on)
     rest = left.join(F.broadcast(high.select(*on)), on, "left_anti").join(right.where(F.col(many) <= hot), on, how)
     return first.unionByName(rest)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenscan.llm._common import dropped, joined_hot, written
+from lumenscan.llm._common import clean, dropped, joined_hot, mark, paths_of, written
 
 HOT = 1_000_000
 
@@ -33,9 +33,11 @@ def _star(edges: DataFrame, large: bool, hot: int) -> DataFrame:
 def components(links: DataFrame, hot: int = HOT) -> DataFrame:
     """links (a, b: long) -> (node, root) of every node of a link; root is the least node of its component. A table of the shared folder."""
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    state = None
+    state, spark = None, links.sparkSession
     while True:
+        since = mark()
         before, edges = edges, written(_star(_star(edges, True, hot), False, hot), "edges")
+        clean(spark, since, keep=paths_of(edges))
         dropped(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

@@ -29,11 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenscan.llm._common import P, aliased, at, text_chunks, written
+from lumenscan.llm._common import P, aliased, at, dropped, text_chunks, written
 from lumenscan.llm.shingles import mix
 
 UNDETERMINED = "und"
@@ -66,6 +67,14 @@ def _letters_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(codes + np.uint64(1)), np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
 
 
+def _letters_in(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """_letters_of the strings of an Arrow column without nulls."""
+    col = col.cast(pa.large_string())
+    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    text = col.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().decode() if len(col) else ""
+    return _letters_of([text])[0], np.append(0, np.cumsum(np.asarray(pc.utf8_length(col)).astype(np.int64)))
+
+
 def _windows(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of every n letters in a row."""
     out = np.zeros(max(0, len(h) - n + 1), np.uint64)
@@ -76,10 +85,13 @@ def _windows(h: np.ndarray, n: int) -> np.ndarray:
 
 def hashes(words: list[str]) -> np.ndarray:
     """A 64-bit hash of each of words, none of them empty."""
-    h, ends = _letters_of(words)
+    return _whole(*_letters_of(words))
+
+
+def _whole(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lengths = np.diff(ends)
     place = np.arange(len(h)) - np.repeat(ends[:-1], lengths)
-    return mix(np.add.reduceat(mix(h + place.astype(np.uint64) * _FACTOR), ends[:-1]) + lengths.astype(np.uint64)) if len(words) else np.empty(0, np.uint64)
+    return mix(np.add.reduceat(mix(h + place.astype(np.uint64) * _FACTOR), ends[:-1]) + lengths.astype(np.uint64)) if len(lengths) else np.empty(0, np.uint64)
 
 
 @dataclass
@@ -185,28 +197,22 @@ def fit(docs: DataFrame, options: LanguageIdOptions = LanguageIdOptions(), text:
         .agg(F.sum("n").alias("n"))
     )
     got = counted.select("lang", F.lit(0).alias("o"), "g", "n").unionByName(grams).toArrow()
-    where = {x: i for i, x in enumerate(languages)}
-    column = np.array([where[x] for x in got.column("lang").to_pylist()])
+    column = np.asarray(pc.index_in(got.column("lang"), pa.array(languages)))
     order, n = np.asarray(got.column("o")), np.asarray(got.column("n")).astype(np.float64)
-    h = hashes(got.column("g").to_pylist())
     tables = {}
     for o in range(options.max_order + 1):
         own = order == o
         totals = np.bincount(column[own], weights=n[own], minlength=len(languages))
-        known, at_row = np.unique(_grams(got.column("g").filter(pa.array(own)).to_pylist(), o) if o else h[own], return_inverse=True)
+        h, ends = _letters_in(got.column("g").filter(pa.array(own)).combine_chunks())
+        known, at_row = np.unique(_windows(h, o)[ends[:-1]] if o else _whole(h, ends), return_inverse=True)
         values = np.full((len(known), len(languages)), options.penalty, dtype=np.float32)
         values[at_row, column[own]] = np.maximum(np.log10(n[own] / totals[column[own]]), options.penalty)
         if len(known):
             tables[o] = (known, values)
+    dropped(counted)
     return LanguageModel(languages, tables, options)
 
 
-def _grams(grams: list[str], n: int) -> np.ndarray:
-    """Hashes of grams of n letters each."""
-    h, ends = _letters_of(grams)
-    return _windows(h, n)[ends[:-1]] if grams else np.empty(0, np.uint64)
-
-
 def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))

@@ -352,9 +352,9 @@ def near_duplicates(docs: DataFrame, o: NearDupOptions = NearDupOptions(), text:
         dropped(more)
     # a document alone with its text and without links is its own component: only the others are looked up
     labels = classes.select("c1", "c2", "rep", "many").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    labels = written(labels.where("many > 1 or root is not null").select("c1", "c2", "many", F.coalesce("root", "rep").alias("component")), "labels")
-    dropped(classes, candidates, checked, found, lost)
+    labels = labels.where("many > 1 or root is not null").select("c1", "c2", "many", F.coalesce("root", "rep").alias("component"))
     with_set = joined_hot(sigs.where(some).select("doc_id", "n", "c1", "c2"), labels, ["c1", "c2"], "many", o.hot, "left").select("doc_id", "n", "component")
+    dropped(classes, candidates, checked, found, lost)
     out = with_set.unionByName(sigs.where(~some).select("doc_id", "n", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
