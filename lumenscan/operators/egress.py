@@ -1,12 +1,17 @@
-"""Network reach: imports, calls, programs, pages and addresses that name another host."""
+"""Network reach: imports, calls, programs, pages and addresses that name another host.
+
+Facts of Python files are judged once: one projection gives the array of the findings of a fact, so a tree is parsed once.
+Lines of scripts, pages and JavaScript are judged the same way, each file kind in one narrow pass."""
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenscan.sources.pyfacts import is_python
 from lumenscan.sources.tree import extension, lines
 
 c, lit = F.col, F.lit
@@ -18,6 +23,12 @@ DEPENDENCY = "h2 h11 hpack hyperframe wsproto".split()
 LISTENER = "http.server socketserver wsgiref.simple_server smtpd".split()
 PERIPHERAL = "bleak bluetooth bluepy pygatt simplepyble meshtastic zigpy can serial usb".split()
 NATIVE = "ctypes cffi _winapi _posixsubprocess".split()
+SHELLS = "bash cmd dash ksh powershell pwsh sh zsh".split()
+#: Programs that start the program named after their own options.
+WRAPPERS = "command doas env exec ionice nice nohup setsid stdbuf strace sudo time timeout watch xargs".split()
+SPAWNS = "Popen call check_call check_output create_subprocess_exec execl execle execlp execv execve execvp execvpe getoutput popen run spawn spawnl spawnlp spawnv spawnvp startfile".split()
+DYNAMIC = "importlib.__import__ importlib.import_module marshal.loads pickle.Unpickler pickle.load pickle.loads runpy.run_module runpy.run_path".split()
+SCHEMES = "(?i)^(?:ftp|https?|wss?)://"
 PROGRAMS = "curl wget nc ncat netcat socat ssh scp sftp rsync ftp telnet pip pip3 npm npx yarn pnpm docker podman xdg-open aria2c".split()
 GIT_REMOTE = "push pull fetch clone ls-remote".split()
 BUILDERS = "Request create_engine PoolManager Client AsyncClient Session ClientSession HTTPConnectionPool".split()
@@ -25,9 +36,12 @@ JS_PACKAGES = "axios got node-fetch undici ws nodemailer @sentry/node posthog-js
 URL = r"""(?i)\bhttps?://[^\s"'<>()]+"""
 
 
+SCHEME = r"(?:[a-zA-Z][-+.0-9a-zA-Z]*:)?"
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host of an absolute or protocol-relative address, without user, port and brackets."""
-    h = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    h = F.lower(F.regexp_extract(url, rf"^{SCHEME}//(?:[^@?#/]*@)?(\[[^\]]*\]|[^:?#/]*)", 1))
     return F.regexp_replace(h, r"^\[|\]$", "")
 
 
@@ -35,99 +49,229 @@ def is_loopback(host: Column) -> Column:
     return host.rlike(r"^(localhost|.*\.localhost|127(\.\d{1,3}){3}|::1|0\.0\.0\.0)$")
 
 
+def _foreign(url: Column) -> Column:
+    return (host_of(url) != "") & ~is_loopback(host_of(url))
+
+
 def _module_in(name: Column, modules: list[str]) -> Column:
     return name.rlike("^(" + "|".join(m.replace(".", r"\.") for m in modules) + r")(\.|$)")
 
 
-def _finding(df: DataFrame, kind: str, detail: Column) -> DataFrame:
-    return df.select(c("rel").alias("file"), "line", lit(kind).alias("kind"), detail.alias("detail"))
-
-
-def imported(facts: DataFrame) -> DataFrame:
-    """rel, line, module of every imported module, `from a import b` as a and a.b."""
-    i = facts.where("kind = 'import'").select("rel", "line", c("name").alias("module"))
-    n = facts.where("kind = 'from' and level = 0")
-    return i.unionByName(n.select("rel", "line", F.explode(F.concat(F.array("name"), F.transform("args", lambda a: F.concat("name", lit("."), a)))).alias("module"))).distinct()
-
-
-def python_findings(facts: DataFrame) -> DataFrame:
-    own = facts.select(F.element_at(F.split(F.regexp_replace("rel", r"(/__init__)?\.pyw?$", ""), "/"), 1).alias("top")).distinct()
-    seen = imported(facts).withColumn("top", F.element_at(F.split("module", r"\."), 1))
-    seen = seen.join(own, "top", "left_anti")  # a module of the tree shadows the listed one
-    call = facts.where("kind = 'call'")
-    shell = F.try_element_at("kws", lit("shell")).isin("True", "1")
-    program = F.lower(F.regexp_replace(F.element_at(F.split(F.translate(F.get("argv", lit(0)), "\\", "/"), "/"), -1), r"\.exe$", ""))
-    detail = F.concat(lit("import "), "module")
-    dynamic = ((c("parent") == "name") & c("name").isin("exec", "eval", "compile", "__import__")) | c("value").isin("pickle.loads", "pickle.load", "importlib.import_module", "runpy.run_path", "runpy.run_module", "marshal.loads")
-    url = F.filter(F.concat("args", F.map_values("kws")), lambda a: a.rlike(r"^(?i)(https?|wss?|ftp)://"))
-    traced = _module_in(F.coalesce(c("local"), c("real"), lit("")), NETWORK)
-    parts = [
-        _finding(seen.where(_module_in(c("module"), NETWORK)), "network-import", detail),
-        _finding(seen.where(_module_in(c("module"), DEPENDENCY)), "network-dependency", detail),
-        _finding(seen.where(_module_in(c("module"), LISTENER)), "inbound-listener", detail),
-        _finding(seen.where(_module_in(c("module"), PERIPHERAL) | c("module").rlike(r"^zigpy_\w")), "peripheral-link", detail),
-        _finding(seen.where(_module_in(c("module"), NATIVE)), "native-call", detail),
-        _finding(call.where(shell | c("value").isin("os.system", "os.popen")), "subprocess-shell", F.concat("name", lit(" runs a shell"))),
-        _finding(call.where(program.isin(*PROGRAMS)), "subprocess-net-binary", F.concat(lit("starts "), program)),
-        _finding(call.where((program == "git") & F.exists("argv", lambda a: a.isin(*GIT_REMOTE))), "git-remote", F.concat_ws(" ", "argv")),
-        _finding(call.where(dynamic), "dynamic-exec", F.concat(c("name"), lit("(...)"))),
-        _finding(call.where("parent = 'attribute' and name in ('exec', 'eval')"), "method-named-exec", F.concat(c("name"), lit("(...)"))),
-        _finding(call.where((F.size(url) > 0) & ~is_loopback(host_of(F.get(url, lit(0)))) & c("name").isin(*BUILDERS)), "network-target", F.get(url, lit(0))),
-        _finding(call.where((F.size(url) > 0) & is_loopback(host_of(F.get(url, lit(0))))), "loopback-call", F.get(url, lit(0))),
-        _finding(call.where((F.size(url) > 0) & ~is_loopback(host_of(F.get(url, lit(0)))) & traced & ~c("name").isin(*BUILDERS)), "network-call", F.get(url, lit(0))),
-        _finding(call.where((F.size(url) > 0) & ~is_loopback(host_of(F.get(url, lit(0)))) & ~traced & ~c("name").isin(*BUILDERS) & c("name").rlike("(?i)^(get|post|put|delete|patch|request|fetch|urlopen|connect|open)$")), "unresolved-call", F.get(url, lit(0))),
-        _finding(facts.where("kind = 'unparsed'"), "unparseable-source", F.concat(lit("not parsed: "), "value")),
-    ]
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["file", "line", "kind", "detail"])
-
-
-TAG_ADDRESS = r"""(?i)<(img|script|iframe|source|video|audio|embed|track|input|link|a|object|use|image)\b[^>]*?\s(src|href|data|poster|xlink:href)\s*=\s*["']?([^"'\s>]+)"""
+def _one(kind: str, detail: Column, top: Column | None = None) -> Column:
+    return F.struct(lit(kind).alias("kind"), detail.alias("detail"), (lit(None).cast("string") if top is None else top).alias("top"))
+
+
+def _when(condition: Column, *findings: Column) -> Column:
+    return F.when(condition, F.array(*findings))
+
+
+def _joined(*arrays: Column) -> Column:
+    return F.concat(*[F.coalesce(a, F.array().cast("array<struct<kind:string,detail:string,top:string>>")) for a in arrays])
+
+
+def _basename(word: Column) -> Column:
+    return F.lower(F.regexp_replace(F.element_at(F.split(F.translate(word, "\\", "/"), "/"), -1), r"(?i)\.exe$", ""))
+
+
+def _unwrapped(argv: Column) -> Column:
+    """argv without the wrappers before its program and their options, settings and numbers."""
+    names = F.transform(argv, _basename)
+    skipped = lambda i: F.get(names, i).isin(*WRAPPERS) | F.get(argv, i).rlike(r"^(-.*|[A-Za-z_]\w*=.*|[0-9.]+[smhd]?)$")
+    first = F.element_at(F.filter(F.sequence(lit(0), F.size(argv) - 1), lambda i: ~skipped(i)), 1)
+    return F.when((F.size(argv) > 0) & F.get(names, lit(0)).isin(*WRAPPERS) & first.isNotNull(), F.slice(argv, first + 1, F.size(argv))).otherwise(argv)
+
+
+def _modules(module: Column) -> list[Column]:
+    """Findings of an imported module."""
+    detail, top = F.concat(lit("import "), module), F.element_at(F.split(module, r"\."), 1)
+    kinds = [("network-import", _module_in(module, NETWORK)), ("network-dependency", _module_in(module, DEPENDENCY)), ("inbound-listener", _module_in(module, LISTENER)), ("peripheral-link", _module_in(module, PERIPHERAL) | module.rlike(r"^zigpy_\w")), ("native-call", _module_in(module, NATIVE))]
+    return [F.when(found, _one(kind, detail, top)) for kind, found in kinds]
+
+
+def _spelled(module: Column) -> Column:
+    """The module a compatibility spelling stands for."""
+    return F.regexp_replace(F.regexp_replace(module, r"^(six|future)\.moves\.", ""), "^http_client$", "http.client")
+
+
+def python_findings(texts: DataFrame, facts: DataFrame, tree=lambda rel: lit("")) -> DataFrame:
+    """file, line, kind, detail of Python files. A module at the root of a tree, or in its source folder, shadows a listed one; tree gives the tree of a path where the table holds several."""
+    call, name, value = c("kind") == "call", c("name"), F.coalesce("value", lit(""))
+    modules = F.when(c("kind") == "import", F.array(name)).when((c("kind") == "from") & (c("level") == 0), F.concat(F.array(name), F.transform("args", lambda a: F.concat(name, lit("."), a))))
+    imported = F.flatten(F.transform(modules, lambda m: F.filter(F.array(*_modules(_spelled(m))), lambda x: x.isNotNull())))
+    argv = _unwrapped(c("argv"))
+    program = _basename(F.get(argv, lit(0)))
+    shell = F.try_element_at("kws", lit("shell")).isin("1", "True") | value.isin("os.popen", "os.system", "subprocess.getoutput", "asyncio.create_subprocess_shell")
+    script = program.isin(*SHELLS) & (F.exists(argv, lambda a: a.rlike("^[-/][a-z]*c$")) | (F.size(argv) > 1))
+    addresses = F.filter(F.concat("args", F.map_values("kws")), lambda a: a.rlike(SCHEMES))
+    url = F.get(addresses, lit(0))
+    away, traced = call & _foreign(url), _module_in(F.coalesce("local", "real", lit("")), NETWORK)
+    builds, fetches = name.isin(*BUILDERS), name.rlike("(?i)^(connect|delete|fetch|get|open|patch|post|put|request|urlopen)$")
+    dynamic = ((c("parent") == "name") & name.isin("__import__", "compile", "eval", "exec")) | value.isin(*DYNAMIC)
+    named = F.concat(name, lit("(...)"))
+    spawned = call & (F.size(argv) > 0)
+    listens = value.isin("asyncio.start_server", "logging.config.listen", "socket.create_server") | name.isin("create_server", "start_server", "start_unix_server")
+    magic = c("kind") == "magic"
+    found = _joined(
+        imported,
+        _when(call & F.coalesce(shell, lit(False)), _one("subprocess-shell", F.concat(name, lit(" runs a shell")))),
+        _when(spawned & script, _one("subprocess-shell", F.concat(lit("starts "), program))),
+        _when(spawned & program.isin(*PROGRAMS), _one("subprocess-net-binary", F.concat(lit("starts "), program))),
+        _when(spawned & program.isin("python", "python3") & F.array_contains(argv, lit("pip")), _one("subprocess-net-binary", lit("starts pip"))),
+        _when(spawned & (program == "git") & F.exists(argv, lambda a: a.isin(*GIT_REMOTE)), _one("git-remote", F.concat_ws(" ", argv))),
+        _when(call & dynamic, _one("dynamic-exec", named)),
+        _when(call & (c("parent") == "attribute") & name.isin("eval", "exec"), _one("method-named-exec", named)),
+        _when(call & listens, _one("inbound-listener", named)),
+        _when(away & builds, _one("network-target", url)),
+        _when(call & (F.size(addresses) > 0) & is_loopback(host_of(url)), _one("loopback-call", url)),
+        _when(away & traced & ~builds, _one("network-call", url)),
+        _when(away & ~traced & ~builds & fetches, _one("unresolved-call", url)),
+        _when(call & (value == "asyncio.open_connection"), _one("network-call", named)),
+        _when(call & name.isin(*SPAWNS) & (F.coalesce("real", lit("")).isin("os", "pty", "subprocess")) & (F.size("args") > 0) & F.get("args", lit(0)).isNull() & F.coalesce(F.size("argv") <= 0, lit(True)), _one("unresolved-call", F.concat(name, lit(" starts a program that isn't written here")))),
+        _when(magic & c("value").rlike("^(!|%%?(bash|script|sh|sx|system)\\b)"), _one("subprocess-shell", F.substring("value", 1, 80))),
+        _when(magic & c("value").rlike(r"^[!%]%?\s*(pip|pip3|conda|mamba|uv)\b"), _one("subprocess-net-binary", F.substring("value", 1, 80))),
+        _when(c("kind") == "unparsed", _one("unparseable-source", F.concat(lit("not parsed: "), "value"))),
+    )
+    rows = facts.where("kind in ('import', 'from', 'call', 'magic', 'unparsed')").select("rel", "line", F.explode(found).alias("f")).select(c("rel").alias("file"), "line", "f.kind", "f.detail", tree(c("rel")).alias("tree"), F.coalesce("f.top", F.concat(lit("/"), "rel")).alias("top"))
+    part = F.split(F.regexp_replace(F.regexp_replace("rel", "^(src|lib|python)/", ""), r"(/__init__)?\.pyw?$", ""), "/")
+    own = texts.where(is_python()).select(tree(c("rel")).alias("tree"), F.get(part, lit(0)).alias("top")).distinct()
+    return rows.join(own, ["tree", "top"], "left_anti").select("file", "line", "kind", "detail").dropDuplicates()
+
+
+TAG = r"(?is)<(a|audio|embed|iframe|image|img|input|link|object|script|source|track|use|video)\b[^>]*>"
+ADDRESS_ATTRIBUTE = r"""(?is)[\s"'](data|href|poster|src|xlink:href)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+SET_ATTRIBUTE = r"""(?is)\s(srcset|imagesrcset)\s*=\s*("[^"]*"|'[^']*')"""
+REFRESH = r"""(?is)<meta\b[^>]*\brefresh\b[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+CSS_URL = r"""(?is)\burl\(\s*["']?([^"')\s]+)"""
+CSS_IMPORT = r"""(?is)@import\s+["']([^"']+)["']"""
+IN_PAGE = r"""(?s)\b(fetch|sendBeacon|importScripts|location(?:\.href)?|location\.(?:assign|replace)|window\.open)\s*[=(]\s*["']([^"']+)["']"""
 
 
 def page_addresses(texts: DataFrame) -> DataFrame:
-    """file, tag, attribute, address of every address in a tag; narrow."""
-    found = texts.select(c("rel").alias("file"), F.explode(F.regexp_extract_all("text", lit(TAG_ADDRESS), lit(0))).alias("m"))
-    part = lambda n: F.regexp_extract("m", TAG_ADDRESS, n)
-    return found.select("file", F.lower(part(1)).alias("tag"), F.lower(part(2)).alias("attribute"), part(3).alias("address"))
+    """file, tag, attribute, address of every address that markup names, in tags, styles, refreshes and scripts; narrow."""
+    every = lambda text, p, n=0: F.regexp_extract_all(text, lit(p), lit(n))
+    one = lambda tag, attribute, address: F.struct(tag.alias("tag"), attribute.alias("attribute"), F.replace(F.regexp_replace(address, """^["']|["']$""", ""), lit("&amp;"), lit("&")).alias("address"))
+    fixed = lambda tag, attribute, p: F.transform(every("text", p, 1), lambda a: one(lit(tag), lit(attribute), a))
+
+    def of_tag(m: Column) -> Column:
+        tag = F.lower(F.regexp_extract(m, TAG, 1))
+        plain = F.transform(every(m, ADDRESS_ATTRIBUTE), lambda x: one(tag, F.lower(F.regexp_extract(x, ADDRESS_ATTRIBUTE, 1)), F.regexp_extract(x, ADDRESS_ATTRIBUTE, 2)))
+        sets = F.flatten(F.transform(every(m, SET_ATTRIBUTE, 2), lambda x: F.transform(F.split(F.regexp_replace(x, """^["']|["']$""", ""), r",\s+"), lambda y: one(tag, lit("srcset"), F.regexp_extract(y, r"^\s*(\S+)", 1)))))
+        return F.concat(plain, sets)
+
+    scripts = F.transform(every("text", IN_PAGE), lambda m: one(lit("script"), F.regexp_extract(m, IN_PAGE, 1), F.regexp_extract(m, IN_PAGE, 2)))
+    found = F.concat(F.flatten(F.transform(every("text", TAG), of_tag)), fixed("meta", "refresh", REFRESH), fixed("style", "url", CSS_URL), fixed("style", "import", CSS_IMPORT), scripts)
+    return texts.select(c("rel").alias("file"), F.explode(found).alias("m")).select("file", "m.*")
 
 
 def page_findings(texts: DataFrame) -> DataFrame:
     """Addresses in pages that name another host: links apart from what a page loads."""
-    a = page_addresses(texts.where(extension(c("rel")).isin(".html", ".htm", ".xhtml", ".svg"))).withColumn("host", host_of(c("address")))
-    out = a.where((c("host") != "") & ~is_loopback(c("host")))
+    a = page_addresses(texts.where(extension(c("rel")).isin(".html", ".htm", ".svg", ".vue", ".xhtml")))
+    out = a.where(_foreign(c("address")))
     return out.groupBy("file", F.when(c("tag") == "a", "external-link").otherwise("html-external").alias("kind"), "address").agg(F.count("*").alias("n"))
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _of_lines(texts: DataFrame, found: Column, comment: str, within: str = "") -> DataFrame:
+    """Findings of every line that is no comment; `within` are comments inside a line."""
+    l = lines(texts).withColumn("text", F.regexp_replace("text", within, "") if within else c("text")).where(~F.ltrim("text").rlike(comment))
+    return l.select(c("rel").alias("file"), "line", F.explode(found).alias("f")).select("file", "line", "f.kind", "f.detail")
+
+
 def javascript_findings(texts: DataFrame) -> DataFrame:
-    """Imports, calls and addresses of JavaScript and TypeScript, by line, comments left out."""
-    l = lines(texts.where(extension(c("rel")).isin(".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx"))).where(~F.ltrim("text").rlike(r"^(//|\*|/\*)"))
-    package = F.regexp_replace(F.regexp_extract("text", r"""(?:from|require\(|import\(|import)\s*["']([^"'.][^"']*)["']""", 1), "^node:", "")
-    url = F.filter(F.regexp_extract_all("text", lit(URL), lit(0)), lambda u: ~is_loopback(host_of(u)) & ~host_of(u).rlike(r"(^|\.)w3\.org$"))
-    parts = [
-        _finding(l.where(package.isin(*JS_PACKAGES)), "network-import", package),
-        _finding(l.where(c("text").rlike(r"\b(fetch|axios(\.\w+)?|navigator\.sendBeacon|\$\.ajax)\s*\(|new\s+(WebSocket|EventSource|XMLHttpRequest)\b")), "network-call", F.trim("text")),
-        _finding(l.where(c("text").rlike(r"(^|[^.\w])eval\s*\(|new\s+Function\s*\(")), "dynamic-exec", F.trim("text")),
-        _finding(l.where(F.size(url) > 0).withColumn("u", F.explode(url)), "external-url", c("u")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Imports, calls, programs and addresses of JavaScript and TypeScript, by line; comments are left out."""
+    code = c("text")
+    package = F.regexp_replace(F.regexp_extract(code, r"""(?:from|require\(|import\(|import)\s*["']([^"'.][^"']*)["']""", 1), "^(node|npm):", "")
+    url = F.filter(F.regexp_extract_all(code, lit(URL), lit(0)), lambda u: _foreign(u) & ~host_of(u).rlike(r"(^|\.)w3\.org$"))
+    trimmed = _stripped(c("text"))
+    found = _joined(
+        _when(package.isin(*JS_PACKAGES), _one("network-import", package)),
+        _when(code.rlike(r"\$\.ajax\s*\(|\bnavigator\.sendBeacon\s*\(|\b(axios(\.\w+)?|fetch)\s*\(|\b(https?|net|tls)\.(connect|get|request)\s*\(|new\s+(XMLHttpRequest|WebSocket|EventSource)\b"), _one("network-call", trimmed)),
+        _when(code.rlike(r"\bchild_process\b|(^|[^.\w])(exec|execFile|spawn|fork)(Sync)?\s*\(\s*[\"'`]"), _one("subprocess-shell", trimmed)),
+        _when(code.rlike(r"new\s+Function\s*\(|(^|[^.\w])eval\s*\("), _one("dynamic-exec", trimmed)),
+        F.transform(url, lambda u: _one("external-url", u)),
+    )
+    return _of_lines(texts.where(extension(c("rel")).isin(".cjs", ".js", ".jsx", ".mjs", ".ts", ".tsx", ".vue")), found, r"^(//|\*|/\*)", r"/\*[^\n]*?\*/")
 
 
 def script_findings(texts: DataFrame) -> DataFrame:
-    """Network programs where a command starts, else as a word, once a line; images of container files."""
-    is_script = extension(c("rel")).isin(".sh", ".bash", ".ps1", ".bat", ".cmd", ".mk") | c("rel").rlike(r"(?i)(^|/)(dockerfile[^/]*|makefile)$")
-    l = lines(texts.where(is_script)).where(~F.ltrim("text").rlike("^(#|REM |::)"))
-    starts = F.transform(F.split("text", r"\|\||&&|[;|&(]|\bthen\b|\bdo\b|\$\("), lambda s: F.lower(F.regexp_extract(s, r"^\s*(?:RUN\s+|@|-|sudo\s+|exec\s+|env\s+|[A-Z_]+=\S*\s+)*([\w.+-]+)", 1)))
-    program = F.get(F.filter(starts, lambda p: p.isin(*PROGRAMS)), lit(0))
+    """Network programs where a command starts, else as a word, once a line; listeners; images of container files."""
+    docker = c("rel").rlike(r"(?i)(^|/)(containerfile|dockerfile)[^/]*$")
+    is_script = extension(c("rel")).isin(".bash", ".bat", ".cmd", ".mk", ".ps1", ".sh") | c("rel").rlike(r"(?i)(^|/)makefile$") | docker
+    commands = F.transform(F.split("text", r"\|\||&&|[;|&(`]|\bthen\b|\bdo\b|\$\("), lambda s: F.regexp_replace(s, r"(?i)^\s*(?:RUN\s+|CMD\s+|@|-(?=\w)|(?:sudo|exec|env|nohup|time|command)\s+|[A-Za-z_]\w*=\S*\s+)*", ""))
+    named = F.filter(commands, lambda s: F.lower(F.regexp_extract(s, r"^([\w.+-]+)", 1)).isin(*PROGRAMS) & ~s.rlike(r"\s--(help|version)\b"))
+    program = F.lower(F.regexp_extract(F.get(named, lit(0)), r"^([\w.+-]+)", 1))
     word = F.get(F.array_intersect(F.split(F.lower("text"), r"[^\w.+-]+"), F.array(*map(lit, PROGRAMS))), lit(0))
-    image = F.regexp_extract("text", r"(?i)^\s*FROM\s+(?:--\S+\s+)*(\S+)", 1)
-    docker = c("rel").rlike(r"(?i)(^|/)dockerfile[^/]*$")
-    return _finding(l.where(program.isNotNull()), "script-network-command", program).unionByName(_finding(l.where(program.isNull() & word.isNotNull()), "script-network-word", word)).unionByName(_finding(l.where(docker & (image != "") & (image != "scratch")), "declared-remote-source", image))
+    listens = c("text").rlike(r"(?i)\b(nc|ncat|netcat)\s+(-\w+\s+)*-\w*l|\bsocat\b.*\b(tcp|udp)[46]?-listen\b")
+    image = F.regexp_extract("text", r"(?i)^\s*(?:FROM|COPY\s+--from=)\s*(?:--\S+\s+)*(\S+)", 1)
+    found = _joined(
+        _when(listens, _one("inbound-listener", _stripped(c("text")))),
+        _when(~listens & program.isNotNull(), _one("script-network-command", program)),
+        _when(~listens & program.isNull() & word.isNotNull(), _one("script-network-word", word)),
+        _when(docker & (image != "") & (image != "scratch") & ~image.rlike("^[0-9]+$"), _one("declared-remote-source", image)),
+    )
+    return _of_lines(texts.where(is_script), found, "^(#|REM |::)")
 
 
 def startup_findings(texts: DataFrame) -> DataFrame:
-    return _finding(lines(texts.where(c("rel").rlike(r"\.pth$"))).where(F.ltrim("text").rlike(r"^import[ \t]")), "startup-exec", F.trim("text"))
+    """Import lines of .pth files and entries of .start files."""
+    found = _joined(_when(F.ltrim("text").rlike(r"^import[ \t]") | (c("rel").rlike(r"\.start$") & (F.trim("text") != "")), _one("startup-exec", F.trim("text"))))
+    return _of_lines(texts.where(c("rel").rlike(r"\.(pth|start)$")), found, "^#")
+
+
+#: First bytes (hexadecimal) of what isn't analysed, by what it is.
+ARTIFACTS = {"ELF program": "7F454C46", "Windows program": "4D5A", "Mach-O program": "CFFAEDFE", "Java class": "CAFEBABE", "WebAssembly": "0061736D", "zip archive": "504B0304", "gzip": "1F8B", "bzip2": "425A68", "xz": "FD377A585A00", "Zstandard": "28B52FFD", "pickle": "8004", "pickle 5": "8005", "pyc": "0D0A"}
+ARTIFACT_SUFFIXES = [".a", ".bin", ".class", ".dll", ".dylib", ".egg", ".exe", ".jar", ".joblib", ".npy", ".npz", ".o", ".pickle", ".pkl", ".pt", ".pth.tar", ".pyc", ".pyd", ".pyx", ".so", ".wasm", ".whl"]
 
 
-def findings(texts: DataFrame, facts: DataFrame) -> DataFrame:
+def artifacts(files: DataFrame) -> DataFrame:
+    """unanalysed-artifact of files(rel, size, content) that are compiled, packed or pickled, by their first bytes or their name; small UTF-8 text is none, Cython always is."""
+    head = F.hex(F.substring("content", 1, 8))
+    magic = F.coalesce(*[F.when(head.startswith(m), lit(what)) for what, m in ARTIFACTS.items()])
+    suffix = extension(c("rel")).isin(*ARTIFACT_SUFFIXES)
+    text = (c("size") < 65_536) & F.is_valid_utf8(c("content").cast("string")) & ~F.contains(F.hex("content"), lit("00")) & (extension(c("rel")) != ".pyx")
+    return files.where((magic.isNotNull() | suffix) & ~F.coalesce(text, lit(False))).select(c("rel").alias("file"), lit(0).alias("line"), lit("unanalysed-artifact").alias("kind"), F.coalesce(magic, extension(c("rel"))).alias("detail"))
+
+
+def findings(texts: DataFrame, facts: DataFrame, files: DataFrame | None = None, deps: DataFrame | None = None, remotes: DataFrame | None = None) -> DataFrame:
+    """file, line, kind, detail of everything; with files also artifacts, with deps and remotes what manifests declare."""
     pages = page_findings(texts).select("file", lit(0).alias("line"), "kind", c("address").alias("detail"))
-    return reduce(DataFrame.unionByName, [python_findings(facts), pages, javascript_findings(texts), script_findings(texts), startup_findings(texts)])
+    parts = [python_findings(texts, facts), pages, javascript_findings(texts), script_findings(texts), startup_findings(texts)]
+    if files is not None:
+        parts.append(artifacts(files))
+    if deps is not None:
+        listed = sorted({m.split(".")[0].replace("_", "-").lower() for m in NETWORK})
+        name = F.regexp_replace(F.lower(F.trim("name")), "[-_.]+", "-")
+        parts.append(deps.where(name.isin(*listed)).select("file", "line", lit("declared-network-dependency").alias("kind"), c("name").alias("detail")))
+    if remotes is not None:
+        parts.append(remotes.select("file", "line", lit("declared-remote-source").alias("kind"), "detail"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def verdict(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row: n_findings, n_read, verdict."""
+    n = found.agg(F.count("*").alias("n_findings")).withColumn("one", lit(1))
+    read = texts.agg(F.count("*").alias("n_read")).withColumn("one", lit(1))
+    ladder = F.when(c("n_read") == 0, "NOT-ANALYSED").when(c("n_findings") > 0, "FINDINGS").otherwise("CLEAN")
+    return n.join(read, "one").select("n_findings", "n_read", ladder.alias("verdict"))  # one row by one row
+
+
+def shadowed_imports(texts: DataFrame, facts: DataFrame) -> DataFrame:
+    """file, line, module of listed modules that the tree supplies itself."""
+    module = F.when(c("kind") == "import", F.array("name")).when((c("kind") == "from") & (c("level") == 0), F.array("name"))
+    seen = facts.where("kind in ('import', 'from')").select(c("rel").alias("file"), "line", F.explode(module).alias("module")).where(_module_in(c("module"), NETWORK))
+    part = F.split(F.regexp_replace(F.regexp_replace("rel", "^(src|lib|python)/", ""), r"(/__init__)?\.pyw?$", ""), "/")
+    own = texts.where(is_python()).select(F.get(part, lit(0)).alias("top")).distinct()
+    return seen.withColumn("top", F.element_at(F.split("module", r"\."), 1)).join(own, "top", "left_semi").drop("top")
+
+
+def unlisted_imports(texts: DataFrame, facts: DataFrame) -> DataFrame:
+    """module and number of files: imported top-level modules on no list, of no standard library and not the tree's own."""
+    top = F.element_at(F.split("name", r"\."), 1)
+    seen = facts.where("kind = 'import' or (kind = 'from' and level = 0)").select(c("rel").alias("file"), top.alias("module")).distinct()
+    listed = sorted({m.split(".")[0] for m in (*NETWORK, *DEPENDENCY, *LISTENER, *PERIPHERAL, *NATIVE)} | set(sys.stdlib_module_names))
+    part = F.split(F.regexp_replace(F.regexp_replace("rel", "^(src|lib|python)/", ""), r"(/__init__)?\.pyw?$", ""), "/")
+    own = texts.where(is_python()).select(F.get(part, lit(0)).alias("module")).distinct()
+    return seen.where(~c("module").isin(*listed)).join(own, "module", "left_anti").groupBy("module").agg(F.count("*").alias("n_files"))

@@ -3,28 +3,36 @@
 from __future__ import annotations
 
 import base64
+import itertools
+import json
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenscan.functions import key_names as k
 from lumenscan.operators import cbom
+from lumenscan.sources.pyfacts import is_python
 from lumenscan.sources.tree import extension, lines
 
 c, lit = F.col, F.lit
-CONFIG = [".yaml", ".yml", ".toml", ".ini", ".cfg", ".json", ".properties", ".jwk", ".jwks"]
-KEY_FILES = ["id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", ".htpasswd", ".netrc"]
-KEY_SUFFIXES = [".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".kdbx", ".ppk"]
-CONSTRUCTORS = ["Fernet", "MerkleSigner", "SigningKey", "SecretBox", "AESGCM", "ChaCha20Poly1305", "AESCCM", "AESSIV", "AESOCB3", "HMAC", "TimedSerializer", "URLSafeSerializer", "URLSafeTimedSerializer", "TimestampSigner"]
-#: (module, function): position and keyword of the key
-KEY_ARGUMENTS = {("hmac", "new"): (0, "key"), ("hmac", "digest"): (0, "key"), ("hashlib", "pbkdf2_hmac"): (1, "password"), ("hashlib", "scrypt"): (0, "password"), ("jwt", "encode"): (1, "key"), ("jwt", "decode"): (1, "key"), ("hashlib", "blake2b"): (99, "key"), ("hashlib", "blake2s"): (99, "key")}
-KEY_ARGUMENTS |= {("hmac", "HMAC"): (0, "key")} | {("itsdangerous", x): (0, "secret_key") for x in ("Signer", "URLSafeSerializer", "TimestampSigner")}
+CONFIG = sorted([".toml", ".properties", ".ini", ".jwks", ".jwk", ".cfg", ".yml", ".yaml"])
+KEY_FILES = [f"id_{x}" for x in ("ed25519", "ecdsa", "rsa", "dsa")] + [".netrc", ".htpasswd"]
+KEY_SUFFIXES = [f".{x}" for x in "ppk kdbx keystore jks pfx p12 key pem".split()]
+CONSTRUCTORS = sorted({"HMAC", "SecretBox", "SigningKey", "MerkleSigner", "Fernet"} | {f"AES{x}" for x in ("SIV", "OCB3", "GCM", "CCM")} | {"ChaCha20Poly1305"} | {f"{x}Serializer" for x in ("Timed", "URLSafe", "URLSafeTimed")} | {"TimestampSigner"})
 #: Cipher modules, told by the name before .new; the last three take their key by keyword only.
-CIPHERS = "AES DES3 DES Blowfish ARC4 CAST ChaCha20 ChaCha20_Poly1305 Salsa20".split()
-KEY_ARGUMENTS |= {(x, "new"): (99 if n > 5 else 0, "key") for n, x in enumerate(CIPHERS)}
+CIPHERS = "AES ARC4 Blowfish CAST DES DES3 ChaCha20 ChaCha20_Poly1305 Salsa20".split()
+_BY_KEYWORD = 99
+_KEYED = "hmac.new:0:key hmac.digest:0:key hmac.HMAC:0:key hashlib.scrypt:0:password hashlib.pbkdf2_hmac:1:password hashlib.blake2b::key hashlib.blake2s::key jwt.decode:1:key jwt.encode:1:key itsdangerous.Signer:0:secret_key itsdangerous.TimestampSigner:0:secret_key itsdangerous.URLSafeSerializer:0:secret_key"
+#: (module, function): position and keyword of the key
+KEY_ARGUMENTS = {tuple(f.rsplit(".", 1)): (int(at) if at else _BY_KEYWORD, kw) for f, at, kw in (x.split(":") for x in _KEYED.split())}
+KEY_ARGUMENTS |= {(x, "new"): (_BY_KEYWORD if n > 5 else 0, "key") for n, x in enumerate(CIPHERS)}
+#: Functions that read or write the environment by name.
+READERS, WRITERS = "environ.get environ.pop environ.setdefault getenv os.getenv".split(), "environ.setdefault os.putenv putenv".split()
 
 
 def bindings(facts: DataFrame) -> DataFrame:
@@ -38,15 +46,40 @@ def bindings(facts: DataFrame) -> DataFrame:
 
 
 def key_arguments(facts: DataFrame) -> DataFrame:
-    """Literal key arguments of MAC, KDF, cipher and JWT calls, and of key constructors. A keyword beats a position."""
-    call = facts.where("kind = 'call'")
-    ctor = call.where(c("name").isin(*CONSTRUCTORS) & (F.length(F.get("args", lit(0))) >= 4))
-    out = [ctor.select(c("rel").alias("file"), "line", lit("key-constructor").alias("kind"), F.concat("name", lit("(literal)")).alias("detail"))]
+    """Literal key arguments of MAC, KDF, cipher and JWT calls, of key constructors, and defaults of the environment. A keyword beats a position; one projection over the calls."""
+    real, name = F.coalesce("real", lit("")), c("name")
+    found = [F.when(name.isin(*CONSTRUCTORS) & (F.length(F.get("args", lit(0))) >= 4), F.struct(lit("key-constructor").alias("kind"), F.concat("name", lit("(literal)")).alias("detail")))]
     for (module, func), (at, kw) in KEY_ARGUMENTS.items():
         value = F.coalesce(F.try_element_at("kws", lit(kw)), F.when(~F.array_contains("uses", lit(kw)), F.get("args", lit(at))))
-        own = call.where(((c("root" if module in CIPHERS else "real") == module) & (c("name") == func)) | (c("local") == f"{module}.{func}")).where(F.length(value) > 0)
-        out.append(own.select(c("rel").alias("file"), "line", F.when(c("flag"), "derived-from-constant").otherwise("literal-mac-key").alias("kind"), lit(f"{module}.{func}: the key is a literal").alias("detail")))
-    return reduce(DataFrame.unionByName, out)
+        own = (((c("root") if module in CIPHERS else real) == module) & (name == func)) | (F.coalesce("local", lit("")) == f"{module}.{func}")
+        named = lit(False) if at == _BY_KEYWORD else F.try_element_at("kws", lit(kw)).isNull() & (c("level").bitwiseAND(1 << at) != 0)
+        kind = F.when(named, "derived-from-constant").otherwise("literal-mac-key")
+        found.append(F.when(own & (F.length(value) > 0), F.struct(kind.alias("kind"), lit(f"{module}.{func}: the key is a literal").alias("detail"))))
+    variable, default = F.get("args", lit(0)), F.get("args", lit(1))
+    env = F.substring_index(F.coalesce("value", lit("")), ".", -2).isin(*READERS, *WRITERS)
+    found.append(F.when(env & k.has_key_word(variable) & k.secret_like(default) & ~k.address_like(default), F.struct(lit("literal-key").alias("kind"), F.concat(variable, lit(" has a literal default in the environment")).alias("detail"))))
+    return facts.where("kind = 'call'").select(c("rel").alias("file"), "line", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select("file", "line", "f.*")
+
+
+def derived_keys(facts: DataFrame) -> DataFrame:
+    """Key-named values that the file makes from what it fixes itself: a hash of a literal, of a constant or of a parameter, or zero bytes."""
+    d = facts.where("kind = 'derive'").where(k.has_key_word(c("name")))
+    how = F.when(c("parent") == "zeros", " is zero bytes").when(c("parent") == "parameter", " is a hash of a parameter").otherwise(" is a hash of a fixed text")
+    return d.select(c("rel").alias("file"), "line", lit("derived-from-constant").alias("kind"), F.concat("name", how).alias("detail"))
+
+
+def literal_credentials(facts: DataFrame) -> DataFrame:
+    """Provider credentials in string constants of Python, and in outputs and Markdown of notebooks; the first of a constant."""
+    text = F.when(c("kind") == "word", c("name")).otherwise(c("value"))
+    w = facts.where("(kind = 'word' and parent = 'string') or kind in ('output', 'magic')")
+    return _credentials(w, text).select(c("rel").alias("file"), "line", lit("credential").alias("kind"), F.concat(lit("of the form "), "shape").alias("detail"))
+
+
+def _credentials(df: DataFrame, text: Column) -> DataFrame:
+    """df by the shapes that text has an unmasked credential of."""
+    first = lambda p: F.get(F.filter(F.regexp_extract_all(text, lit(p), lit(0)), lambda m: ~m.rlike("[*Xx]{8,}")), lit(0))
+    hits = F.array(*[F.when(first(p).isNotNull(), lit(s)) for s, p in k.SHAPES.items()])
+    return df.where(text.rlike("|".join(f"(?:{p})" for p in k.SHAPES.values()))).select("*", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("shape"))
 
 
 def config_lines(texts: DataFrame) -> DataFrame:
@@ -76,7 +109,7 @@ def credential_shapes(texts: DataFrame) -> DataFrame:
     """Strings of a provider's form, unless masked; unrolled over the shapes, so no join."""
     named = lambda s: lambda m: F.struct(lit(s).alias("shape"), m.alias("m"))  # noqa: E731 (a second parameter would be the index)
     hits = F.concat(*[F.transform(F.regexp_extract_all("text", lit(p), lit(0)), named(s)) for s, p in k.SHAPES.items()])
-    return texts.select(c("rel").alias("file"), F.explode(hits).alias("h")).where(~c("h.m").rlike("[Xx*]{8,}")).groupBy("file", c("h.shape").alias("shape")).agg(F.count("*").alias("n"))
+    return texts.select(c("rel").alias("file"), F.explode(hits).alias("h")).where(~c("h.m").rlike("[*Xx]{8,}")).groupBy("file", c("h.shape").alias("shape")).agg(F.count("*").alias("n"))
 
 
 def key_files(files: DataFrame) -> DataFrame:
@@ -85,12 +118,77 @@ def key_files(files: DataFrame) -> DataFrame:
     return files.where(F.lower(name).isin(*KEY_FILES) | extension(c("rel")).isin(*KEY_SUFFIXES)).select(c("rel").alias("file"), lit(0).alias("line"), lit("key-file").alias("kind"), lit("a key file by its name").alias("detail"))
 
 
+def _likely(value: object) -> bool:
+    return isinstance(value, str) and re.fullmatch("[-_0-9A-Za-z]{22,}=*", value) is not None and all(any(test(x) for x in value) for test in (str.islower, str.isupper, str.isdigit))
+
+
+def _is_private_jwk(o: object) -> bool:
+    return isinstance(o, dict) and "kty" in o and (_likely(o.get("d")) or (o["kty"] == "oct" and _likely(o.get("k"))))
+
+
+def _walked(value: object, depth: int = 0) -> Iterator[tuple[object, object, int]]:
+    """(key, value, depth) of everything inside value, to depth 32."""
+    stack = [(None, value, depth)]
+    while stack:
+        key, v, d = stack.pop()
+        yield key, v, d
+        if d < 32:
+            inner = v.items() if isinstance(v, dict) else ((key, x) for x in v) if isinstance(v, list) else ()
+            stack += reversed([(a, b, d + 1) for a, b in inner])
+
+
+def json_facts(texts: DataFrame) -> DataFrame:
+    """rel, line, kind, name, value of JSON files: every string by its key (`value`), private JWKs (`jwk`) and signer key files (`signer`), one Arrow pass.
+
+    The line is that of the n-th place where key and value stand together, for the n-th such pair. Files that don't parse give nothing."""
+
+    def of(rel: str, text: str) -> list[tuple]:
+        try:
+            document = json.loads(text)
+        except (ValueError, RecursionError):
+            return []
+        rows, seen = [], Counter()
+        if isinstance(document, dict) and {"seed", "height", "next_index"} <= document.keys():
+            rows.append((rel, 1, "signer", None, None))
+        jwk = next((v for _, v, _ in _walked(document) if _is_private_jwk(v)), None)
+        if jwk is not None:
+            rows.append((rel, text.count("\n", 0, max(0, text.find(str(jwk.get("d") or jwk.get("k"))))) + 1, "jwk", None, None))
+        for key, value, _ in _walked(document):
+            if isinstance(key, str) and isinstance(value, str):
+                pair = re.escape(json.dumps(key, ensure_ascii=False)) + r"\s*:\s*" + re.escape(json.dumps(value, ensure_ascii=False))
+                at = next(itertools.islice((m.start() for m in re.finditer(pair, text)), seen[pair], None), 0) if len(seen) < 2000 else 0
+                seen[pair] += 1
+                rows.append((rel, text.count("\n", 0, at) + 1, "value", key, value))
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+        for b in batches:
+            rows = [r for rel, text in zip(b.column("rel").to_pylist(), b.column("text").to_pylist()) for r in of(rel, text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)], names=["rel", "line", "kind", "name", "value"])
+
+    return texts.where(extension(c("rel")).isin(".json", ".jwk", ".jwks", ".webmanifest")).select("rel", "text").mapInArrow(run, "rel string, line int, kind string, name string, value string")
+
+
+def json_values(texts: DataFrame) -> DataFrame:
+    """Key findings of JSON files: values under key-named keys, private JWKs, signer key files."""
+    n, v = c("name"), F.trim("value")
+    valued = (c("kind") == "value") & k.has_key_word(n) & (F.length(v) >= 8) & ~v.rlike(k.PLACEHOLDER) & ~v.rlike(k.NOT_SECRET) & ~v.contains("{{") & ~v.contains(" ") & ~k.is_mapping_key(n, v) & ~k.address_like(v)
+    kind = F.when(valued, "literal-key").when(c("kind") == "jwk", "jwk").when(c("kind") == "signer", "signer-key-file")
+    detail = F.when(valued, F.concat(n, lit(" is given a value in a JSON file"))).when(c("kind") == "jwk", "a private JSON Web Key").otherwise("a signing key with its seed")
+    return json_facts(texts).select(c("rel").alias("file"), "line", kind.alias("kind"), detail.alias("detail")).where("kind is not null")
+
+
 def jwks(texts: DataFrame) -> DataFrame:
-    """Private JWKs: an object with kty and a key-like d (or k of an oct key)."""
-    value = r'"(?:d|k)"\s*:\s*"([A-Za-z0-9_-]{22,})"'
-    obj = F.filter(F.regexp_extract_all("text", lit(r"\{[^{}]*\}"), lit(0)), lambda o: o.rlike(r'"kty"\s*:') & o.rlike(value) & (o.rlike(r'"d"\s*:') | o.rlike(r'"kty"\s*:\s*"oct"')))
-    good = F.filter(F.transform(obj, lambda o: F.regexp_extract(o, value, 1)), lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]"))
-    return texts.where(c("text").contains('"kty"')).where(F.size(good) > 0).select(c("rel").alias("file"), lit(0).alias("line"), lit("jwk").alias("kind"), lit("a private JSON Web Key").alias("detail"))
+    """Private JWKs in any other text: kty and a key-like d (or k of an oct key) of one object or paragraph, the first of a text."""
+    value = r'''["']?\b(?:d|k)["']?\s*:\s*["']?([-_0-9A-Za-z]{22,})'''
+    near = F.regexp_extract_all("text", lit(r"""(?s)\{(?:[^{}]|\{[^{}]*\})*\bkty\b(?:[^{}]|\{[^{}]*\})*\}"""), lit(0))
+    blocks = F.concat(near, F.filter(F.split("text", r"\n\s*\n"), lambda p: p.rlike(r"\bkty\b") & ~p.contains("{")))
+    private = F.filter(blocks, lambda o: o.rlike(r"\bd[\"']?\s*:") | o.rlike(r"\bkty[\"']?\s*:\s*[\"']?oct\b"))
+    good = F.filter(F.transform(private, lambda o: F.regexp_extract(o, value, 1)), lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]"))
+    line = F.expr(r"size(split(substr(text, 1, position(v in text) - 1), '\n'))")
+    other = texts.where(c("text").contains("kty") & ~extension(c("rel")).isin(".json", ".jwk", ".jwks", ".webmanifest"))
+    return other.select("rel", "text", F.get(good, lit(0)).alias("v")).where("v is not null").select(c("rel").alias("file"), line.cast("int").alias("line"), lit("jwk").alias("kind"), lit("a private JSON Web Key").alias("detail"))
 
 
 def armour(texts: DataFrame) -> DataFrame:
@@ -106,15 +204,18 @@ def _stable(data: bytes) -> list[str]:
 
 _ONCE = _stable(b"-----BEGIN")
 MARKERS = _ONCE + [m for x in _ONCE for m in _stable(x.encode())]
-_GLUE = re.compile(r"""["']?[ \t]*[+,]?[ \t]*\\?\r?\n[ \t]*["']?""")
-_RUN = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-_WRAPPED = re.compile(r"(?:^[ \t]*[A-Za-z0-9+/]{16,}={0,2}[ \t]*\r?\n){2,}(?:[ \t]*[A-Za-z0-9+/]+={0,2}[ \t]*$)?", re.M)
-_ARMOUR = re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----)(.{0,400})", re.S)
+_B64 = "[0-9/+a-zA-Z]"
+#: What joins string literals or folded lines over a line end.
+_JOINT = r"""['"]?[\t ]*[,+]?[\t ]*\\?\r?\n[\t ]*['"]?"""
+_GLUE, _RUN = re.compile(_JOINT), re.compile(_B64 + "{40,}={0,2}")
+_LINE = r"^[\t ]*" + _B64
+_WRAPPED = re.compile("(?:" + _LINE + r"{16,}={0,2}[\t ]*\r?\n){2,}(?:" + _LINE[1:] + r"+={0,2}[\t ]*$)?", re.M)
+_ARMOUR = re.compile("(-{5}BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-{5})(.{0,400})", re.S)
 _BODY = re.compile(cbom.ARMOUR_BODY)
 
 
 def _runs(text: str) -> list[tuple[int, str]]:
-    """(offset, run) of base64: lines of nothing else joined, runs on one line, and runs of strings joined over lines."""
+    """Where base64 runs begin, and the runs: lines of nothing else joined, runs on one line, and runs of strings joined over lines."""
     found = []
     for m in _WRAPPED.finditer(text):
         pieces = m[0].split()
@@ -143,7 +244,7 @@ def decoded_armour(text: str, depth: int = 0) -> tuple[int, str] | None:
 
 def encoded_armour(texts: DataFrame) -> DataFrame:
     """The first base64-encoded private key of each text; only texts with a marker (over line joints too) leave the JVM."""
-    flat = F.regexp_replace("text", r"""["']?[ \t]*[+,]?[ \t]*\\?\r?\n[ \t]*["']?""", "")
+    flat = F.regexp_replace("text", _JOINT, "")
     marked = reduce(lambda a, b: a | b, [c("text").contains(m) | flat.contains(m) for m in MARKERS])
 
     def run(batches):
@@ -154,9 +255,29 @@ def encoded_armour(texts: DataFrame) -> DataFrame:
     return texts.where(marked).select("rel", "text").mapInArrow(run, "file string, line int, kind string, detail string")
 
 
+def notebook_armour(facts: DataFrame) -> DataFrame:
+    """Private keys in outputs, Markdown and metadata of notebooks; the line is the cell's number."""
+    o = facts.where("kind = 'output'").select(F.concat("rel", lit("\x1f"), c("line").cast("string"), lit("\x1f"), c("parent")).alias("rel"), c("value").alias("text"))
+    part = F.split("file", "\x1f")
+    return armour(o).select(F.get(part, lit(0)).alias("file"), F.get(part, lit(1)).cast("int").alias("line"), "kind", "detail")
+
+
+def text_credentials(texts: DataFrame) -> DataFrame:
+    """Provider credentials in files that aren't Python, by line."""
+    l = lines(texts.where(f"not {is_python()}"))
+    return _credentials(l, c("text")).select(c("rel").alias("file"), "line", lit("credential").alias("kind"), F.concat(lit("of the form "), "shape").alias("detail"))
+
+
 def findings(files: DataFrame, texts: DataFrame, facts: DataFrame) -> DataFrame:
-    """All key findings of a tree; every one is for review."""
-    parts = [bindings(facts), key_arguments(facts), config_lines(texts), key_files(files), jwks(texts), armour(texts)]
+    """file, line, kind, detail and verdict of all key findings of a tree; every one is for review."""
+    parts = [bindings(facts), key_arguments(facts), derived_keys(facts), literal_credentials(facts), notebook_armour(facts), text_credentials(texts), config_lines(texts), json_values(texts), key_files(files), jwks(texts), armour(texts)]
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["file", "line", "kind", "detail"]).withColumn("verdict", lit("REVIEW"))
 
 
+def verdict(found: DataFrame, facts: DataFrame, texts: DataFrame, archives: DataFrame | None = None) -> DataFrame:
+    """One row: n_findings, n_read, n_not_parsed, n_not_opened, verdict. archives has a column outcome, a row an archive."""
+    one = lambda df, *n: df.agg(*n).withColumn("one", lit(1))
+    j = one(found, F.count("*").alias("n_findings")).join(one(texts, F.count("*").alias("n_read")), "one").join(one(facts, F.count_if(c("kind") == "unparsed").alias("n_not_parsed")), "one")
+    j = j.join(one(archives, F.count_if(c("outcome") != "read").alias("n_not_opened")), "one") if archives is not None else j.withColumn("n_not_opened", lit(0).cast("long"))
+    ladder = F.when((c("n_findings") > 0) | (c("n_not_parsed") > 0), "REVIEW").when(c("n_read") == 0, "NOT-ANALYSED").otherwise("NOTHING-FOUND")
+    return j.select("n_findings", "n_read", "n_not_parsed", "n_not_opened", ladder.alias("verdict"))

@@ -16,16 +16,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenscan.operators.egress import NETWORK
+from lumenscan.sources.lineage import cut
 from lumenscan.sources.tree import lines
 
 c, lit = F.col, F.lit
 VCS = r"^(?i)(git|hg|svn|bzr)\+|^(https?|ftp|file)://|^git@"
 EDITABLE = r"^(-e|--editable)[=\s]+"
-NAME = r"^([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[[^\]]*\])?\s*(?:[<>=!~;@ (#].*)?$"
+_ALNUM = "[0-9a-zA-Z]"
+NAME = rf"^({_ALNUM}(?:[-._0-9a-zA-Z]*{_ALNUM})?)\s*(?:\[[^]]*\])?\s*(?:[ #(;@~!=<>].*)?$"
 SKIP = r"^\s*(#|$)"
+CONFIGURATIONS = [".gitmodules", "pip.ini", "pip.conf", ".npmrc"]
 UNREAD = "Pipfile.lock poetry.lock go.mod Cargo.toml pom.xml build.gradle Gemfile composer.json mix.exs pubspec.yaml Package.swift build.sbt project.clj DESCRIPTION".split()
 
 
+#: Blocks of package.json with their scopes, and the option names of pip that may be abbreviated.
+BLOCKS = {"peerDependencies": "peer", "optionalDependencies": "optional", "devDependencies": "dev", "dependencies": "required"}
+PIP_OPTIONS = "config-settings constraint editable extra-index-url find-links global-option hash index-url no-binary no-index only-binary pre prefer-binary requirement require-hashes trusted-host use-feature".split()
+
+
+def pip_option(word: Column) -> Column:
+    """The long option of pip that a word spells or abbreviates unambiguously, or null; -r, -c, -e, -f and -i stand for theirs."""
+    name = F.regexp_extract(word, r"^--([a-z-]+)", 1)
+    fits = F.filter(F.array(*map(lit, PIP_OPTIONS)), lambda o: o.startswith(name))
+    long = F.when(F.array_contains(F.array(*map(lit, PIP_OPTIONS)), name), name).when((name != "") & (F.size(fits) == 1), F.get(fits, lit(0)))
+    short = F.create_map(*[lit(x) for x in ("r", "requirement", "c", "constraint", "e", "editable", "f", "find-links", "i", "index-url")])
+    return F.coalesce(long, F.try_element_at(short, F.regexp_extract(word, "^-([rcefi])", 1)))
+
+
 def _once(value: Column, body) -> Column:
     """body(value) as one step: filters above it don't copy the whole expression into generated code."""
     return F.get(F.transform(F.array(value), body), lit(0))
@@ -33,7 +50,7 @@ def _once(value: Column, body) -> Column:
 
 def manifest_kind(rel: Column) -> Column:
     name = F.lower(F.element_at(F.split(rel, "/"), -1))
-    fixed = ["pyproject.toml", "package.json", "setup.cfg", "setup.py", "pipfile", ".npmrc", "pip.conf", "pip.ini", ".gitmodules", "tox.ini"]
+    fixed = sorted({"setup.py", "setup.cfg", "tox.ini", "package.json", "pyproject.toml", "pipfile"} | set(CONFIGURATIONS))
     return (
         F.when(name.isin(*fixed), name)
         .when(name.isin("environment.yml", "environment.yaml"), "environment.yml")
@@ -44,7 +61,7 @@ def manifest_kind(rel: Column) -> Column:
 def _requirement_name(spec: Column) -> Column:
     """The package a requirement line asks for; null for options, paths and comments."""
     s = F.regexp_replace(F.trim(spec), EDITABLE, "")
-    egg = F.regexp_extract(s, r"[#&]egg=([\w.-]+)", 1)
+    egg = F.regexp_extract(s, r"[&#]egg=([-.\w]+)", 1)
     tail = F.regexp_replace(F.regexp_extract(F.regexp_replace(s, "#.*$", ""), r"([^/]+)/?$", 1), "@.*$", "")
     repository = F.when(s.rlike(r"^(?i)(git|hg|svn|bzr)\+"), F.regexp_replace(tail, r"\.git$", "")).when(F.lower(tail).endswith(".whl"), F.regexp_extract(tail, "^([^-]+)-", 1))
     plain = F.regexp_extract(F.trim(F.regexp_replace(s, "[#;].*$", "")), NAME, 1)
@@ -60,7 +77,7 @@ def _requirement_remote(spec: Column) -> Column:
         F.when(s.rlike(VCS), "vcs-requirement")
         .when(s.rlike(r"^(?i)(-[if]\S*|--(index-url|index|extra-index-url|extra\S*|find-links|find\S*|trusted-host|trusted\S*))(\s|=|$)"), "index-url")
         .when(body.rlike(r"(?i)@\s*file://(localhost)?/"), None)
-        .when(body.rlike(r"(?i)@\s*([a-z]+\+)?[a-z]+://"), "url-requirement")
+        .when(body.rlike(r"(?i)@\s*(?:[a-z]+[+])?[a-z]+:/{2}"), "url-requirement")
     )
 
 
@@ -78,18 +95,18 @@ def pep440(version: Column) -> Column:
 
 def pinned_pypi(spec: Column) -> Column:
     """The version of an exact pin, else null."""
-    v = F.regexp_replace(F.regexp_extract(spec, r"""===?\s*([^\s,;'")}\]]+)""", 1), r"^[vV](\d)", "$1")
-    return F.when(v.rlike(r"^[0-9][0-9A-Za-z.+!_-]*$") & ~v.endswith("."), v)
+    v = F.regexp_replace(F.regexp_extract(spec, r"""={2,3}\s*([^]})"';,\s]+)""", 1), r"^[vV](\d)", "$1")
+    return F.when(v.rlike(r"^[0-9][-_!+.a-zA-Z0-9]*$") & ~v.endswith("."), v)
 
 
 def pinned_npm(version: Column) -> Column:
     v = F.regexp_replace(F.regexp_replace(F.trim(version), r"^=\s*", ""), r"^[vV](\d)", "$1")
-    return F.when(v.rlike(r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(-[0-9A-Za-z.-]+)?(\+[0-9A-Za-z.-]+)?$"), v)
+    return F.when(v.rlike(r"^(?:(?:[1-9]\d*|0)(?:\.(?!$|[-+])|(?=$|[-+]))){3}(?:-[-.0-9a-zA-Z]+)?(?:[+][-.0-9a-zA-Z]+)?$"), v)
 
 
 def file_scope(rel: Column) -> Column:
     low = F.lower(rel)
-    return F.when(F.element_at(F.split(low, "/"), -1).contains("constraint"), "constraint").when(low.rlike(r"(^|[-_./])(dev|develop|devel|tests?|testing|lint|linting|docs?|typing|mypy|ci|bench)([-_./]|$)"), "dev").otherwise("required")
+    return F.when(F.element_at(F.split(low, "/"), -1).contains("constraint"), "constraint").when(low.rlike(r"(^|[-./_])(bench|ci|dev(el(op)?)?|docs?|lint(ing)?|mypy|test(s|ing)?|typing)([-./_]|$)"), "dev").otherwise("required")
 
 
 def pep503(name: Column) -> Column:
@@ -107,27 +124,53 @@ def logical_lines(texts: DataFrame) -> DataFrame:
     return l.select("rel", (c("p") + 1 + before).cast("int").alias("line"), F.replace("text", lit("\u0001"), lit(" ")).alias("text"))
 
 
-def include_closure(texts: DataFrame, start: DataFrame, depth: int = 32) -> DataFrame:
-    """Files reached from start (rel) by -r and -c lines that name a file of the tree; cycles end it."""
+def includes(texts: DataFrame) -> DataFrame:
+    """rel, line, to, constraint, in_tree of every -r and -c line, however spelled; in_tree false where no file of the tree is meant."""
     l = logical_lines(texts.where(manifest_kind(c("rel")) == "requirements"))
-    target = F.regexp_extract("text", r"^\s*(?:-r|-c|--requirement|--constraint)[=\s]*(\S+)", 1)
+    option = pip_option(F.ltrim("text"))
+    target = F.regexp_extract("text", r"^\s*(?:--[a-z-]+(?:\s*=\s*|\s+)|-[rc]\s*)([^\s#]+)", 1)
     folder = F.regexp_extract("rel", "^(.*/)?[^/]*$", 1)
-    edges = l.where(target != "").select("rel", F.regexp_replace(F.concat(folder, target), r"(^|/)\./", "$1").alias("to")).distinct()
-    edges = edges.join(texts.select(c("rel").alias("to")), "to", "left_semi").select("rel", "to")
-    seen = start.select("rel").distinct()
-    for _ in range(depth):
-        more = edges.join(seen, "rel", "left_semi").select(c("to").alias("rel")).distinct().join(seen, "rel", "left_anti")
-        if more.isEmpty():
-            break
-        seen = seen.unionByName(more)
+    found = l.select("rel", "line", option.alias("option"), _resolved(F.concat(folder, target)).alias("to"), target.alias("target")).where("option in ('requirement', 'constraint') and target <> ''")
+    known = texts.select(c("rel").alias("to")).distinct().withColumn("known", lit(True))
+    return found.join(known, "to", "left").select("rel", "line", "to", (c("option") == "constraint").alias("constraint"), c("known").isNotNull().alias("in_tree"))
+
+
+def _resolved(path: Column) -> Column:
+    """A path without . and .. parts; null if it leads out of the tree."""
+    start = F.array().cast("array<string>")
+    step = lambda a, p: F.when(a.isNull() | ((p == "..") & (F.size(a) == 0)), None).when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, lit(0)))).otherwise(F.concat(a, F.array(p)))
+    return F.array_join(F.aggregate(F.filter(F.split(path, "/"), lambda p: ~p.isin("", ".")), start, step), "/")
+
+
+def include_closure(texts: DataFrame, start: DataFrame) -> DataFrame:
+    """Files reached from start (rel) by -r and -c lines that name a file of the tree, however long the chain; cycles end it. A round a level, of the files met last."""
+    edges = cut(includes(texts).where("in_tree and rel <> to").select("rel", "to").distinct())
+    seen = last = cut(start.select("rel").distinct())
+    while not last.isEmpty():
+        last = cut(edges.join(last, "rel", "left_semi").select(c("to").alias("rel")).distinct().join(seen, "rel", "left_anti"))
+        seen = cut(seen.unionByName(last))
     return seen
 
 
+def include_errors(texts: DataFrame) -> DataFrame:
+    """file, line, detail of includes that name no file of the tree."""
+    return includes(texts).where("not in_tree").select(c("rel").alias("file"), "line", F.concat(lit("includes a file that isn't in the tree: "), F.coalesce("to", lit("outside"))).alias("detail"))
+
+
+def path_requirements(texts: DataFrame) -> DataFrame:
+    """rel, line, path of requirement lines that name a local path."""
+    r = logical_lines(texts.where(manifest_kind(c("rel")) == "requirements")).where(~c("text").rlike(SKIP))
+    s = F.regexp_replace(F.regexp_replace(F.trim("text"), EDITABLE, ""), r"\s+#.*$", "")
+    local = F.regexp_extract(s, r"(?i)(?:^|@\s*)file:(?://(?:localhost)?)?(/[^\s;#]+)", 1)
+    path = F.when(s.rlike(r"^(\.{1,2}([/\\]|$)|/|~|[A-Za-z]:[\\/])"), F.regexp_replace(s, r"(\[[^]]*\])?\s*(;.*)?$", "")).when(local != "", local).when(~s.rlike(VCS) & ~s.rlike("^-") & s.rlike(r"^[-\w.]+(/[-\w.]+)+/?$"), s)
+    return r.select("rel", "line", path.alias("path")).where("path is not null")
+
+
 def _structured(kind: str, text: str) -> Iterator[tuple[str, str, str]]:
     """(section, key, value) of a manifest."""
     if kind == "package.json":
         j = json.loads(text)
-        for block in ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies", "scripts"):
+        for block in [*BLOCKS, "scripts"]:
             for k, v in (j.get(block) or {}).items() if isinstance(j.get(block), dict) else ():
                 if isinstance(v, str):
                     yield block, k, v
@@ -148,6 +191,17 @@ def _structured(kind: str, text: str) -> Iterator[tuple[str, str, str]]:
         for extra, xs in (project.get("optional-dependencies") or {}).items():
             yield from (("optional:" + extra, x, "") for x in xs)
         yield from (("build", x, "") for x in (t.get("build-system") or {}).get("requires") or ())
+        for field, scope in (("dependencies", "required"), ("optional-dependencies", "optional")):
+            dynamic = (((t.get("tool") or {}).get("setuptools") or {}).get("dynamic") or {}).get(field) or {}
+            for extra, entry in [("", dynamic)] if "file" in dynamic else dynamic.items():
+                named = entry.get("file") if isinstance(entry, dict) else None
+                yield from ((f"file:{scope}", x, extra) for x in ([named] if isinstance(named, str) else named or ()))
+        yield from (("file:required", x, "") for x in ((((t.get("tool") or {}).get("hatch") or {}).get("metadata") or {}).get("hooks") or {}).get("requirements_txt", {}).get("files") or ())
+        for env in (((t.get("tool") or {}).get("hatch") or {}).get("envs") or {}).values():
+            yield from (("dev", x, "") for x in (*(env.get("dependencies") or ()), *(env.get("extra-dependencies") or ())) if isinstance(x, str))
+        for table in ("dependencies", "pypi-dependencies"):
+            for k, v in (((t.get("tool") or {}).get("pixi") or {}).get(table) or {}).items():
+                yield ("conda" if table == "dependencies" else "required"), k + (v if isinstance(v, str) and v[:1] in "=<>!~" else ""), ""
         for group, xs in (t.get("dependency-groups") or {}).items():
             yield from (("dev", x, "") for x in xs if isinstance(x, str))
         tool = t.get("tool") or {}
@@ -231,15 +285,15 @@ def declared(texts: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     scope = F.when(c("section").like("optional:%"), "optional").when(c("section") == "pip", "required").otherwise(c("section"))
     py = py.join(own, "rel", "left").select(c("rel").alias("file"), "line", requirement_name(c("key")).alias("name"), c("key").alias("spec"), lit("pypi").alias("ecosystem"), scope.alias("scope"), extra.alias("extra"), c("value").alias("source"), "own")
     py = py.where("own is null or own <> " + "regexp_replace(lower(trim(name)), '[-_.]+', '-')").select(*cols)
-    blocks = F.create_map(*[lit(x) for x in ("dependencies", "required", "devDependencies", "dev", "optionalDependencies", "optional", "peerDependencies", "peer")])
+    blocks = F.create_map(*[lit(x) for pair in BLOCKS.items() for x in pair])
     js = e.where("kind = 'package.json' and section like '%ependencies'").select(c("rel").alias("file"), "line", c("key").alias("name"), c("value").alias("spec"), lit("npm").alias("ecosystem"), blocks[c("section")].alias("scope"), lit("").alias("extra"), lit("").alias("source"))
     conda = e.where("section = 'conda'").select(c("rel").alias("file"), "line", F.regexp_extract(F.regexp_replace("key", "^.*::", ""), r"^([A-Za-z0-9_.-]+)", 1).alias("name"), c("key").alias("spec"), lit("conda").alias("ecosystem"), lit("required").alias("scope"), lit("").alias("extra"), lit("").alias("source"))
     parts = [req, py, js, conda]
-    if facts is not None:  # literal lists given to setup(), and session.install(...) of a noxfile
-        s = facts.where("kind = 'call' and name in ('setup', 'install')").where((c("rel").rlike(r"(^|/)setup\.py$") & (c("name") == "setup")) | (c("rel").rlike(r"(^|/)noxfile\.py$") & (c("name") == "install")))
-        listed = F.when(c("name") == "setup", F.split(F.coalesce(F.try_element_at("kws", lit("install_requires")), lit("")), "\u001f")).otherwise(c("args"))
-        s = s.select("rel", "line", c("name").alias("call"), F.explode(listed).alias("spec")).where("spec <> '' and spec not like '-%'")
-        parts.append(s.select(c("rel").alias("file"), "line", requirement_name(c("spec")).alias("name"), "spec", lit("pypi").alias("ecosystem"), F.when(c("call") == "setup", "required").otherwise("dev").alias("scope"), lit("").alias("extra"), lit("").alias("source")))
+    if facts is not None:  # session.install(...) of a noxfile, once a name
+        s = facts.where("kind = 'call' and name = 'install'").where(c("rel").rlike(r"(^|/)noxfile\.py$"))
+        s = s.select("rel", "line", F.explode("args").alias("spec")).where("spec <> '' and spec not like '-%'")
+        nox = s.groupBy(c("rel").alias("file"), requirement_name(c("spec")).alias("name")).agg(F.min(F.struct("line", "spec")).alias("f"))
+        parts.append(nox.select("file", "f.line", "name", "f.spec", lit("pypi").alias("ecosystem"), lit("dev").alias("scope"), lit("").alias("extra"), lit("").alias("source")))
     return reduce(DataFrame.unionByName, parts).where("name is not null and name <> ''")
 
 
@@ -251,7 +305,7 @@ def remote_sources(texts: DataFrame) -> DataFrame:
     out.append(e.where("section = 'index'").select(c("rel").alias("file"), "line", lit("index-url").alias("kind"), c("key").alias("detail")))
     out.append(e.where("kind = 'package.json' and section = 'scripts'").where(c("value").rlike(r"\b(curl|wget|npx|https?://\S+)")).select(c("rel").alias("file"), "line", lit("script-fetch").alias("kind"), c("value").alias("detail")))
     out.append(e.where("kind = 'package.json' and section <> 'scripts'").where(c("value").rlike(r"^(git(\+|://|hub:)|https?://|[\w-]+/[\w.-]+$)")).select(c("rel").alias("file"), "line", lit("npm-remote").alias("kind"), c("value").alias("detail")))
-    conf = lines(texts.where(manifest_kind(c("rel")).isin(".npmrc", "pip.conf", "pip.ini", ".gitmodules")))
+    conf = lines(texts.where(manifest_kind(c("rel")).isin(*CONFIGURATIONS)))
     url = F.regexp_extract("text", r"(?i)^\s*(?:@[\w-]+:)?(?:url|registry|index-url|extra-index-url|find-links)\s*=\s*(\S+)", 1)
     out.append(conf.where(url != "").select(c("rel").alias("file"), "line", lit("config-remote").alias("kind"), url.alias("detail")))
     return reduce(DataFrame.unionByName, out)
@@ -301,3 +355,15 @@ def sbom_verdict(components: DataFrame, texts: DataFrame) -> DataFrame:
     bad = entries(texts).agg(F.count_if(c("section") == "error").alias("errors")).withColumn("one", lit(1))
     n = components.agg(F.count("*").alias("components")).withColumn("one", lit(1))
     return n.join(unread, "one").join(bad, "one").select("components", "unread", "errors", F.when((c("unread") > 0) | (c("errors") > 0), "INCOMPLETE").when(c("components") > 0, "DECLARED").otherwise("EMPTY").alias("verdict"))
+
+
+def unknown_fields(components: DataFrame, texts: DataFrame) -> DataFrame:
+    """note: what a bill of materials of these components doesn't know, one row a note: constant fields, ranges, paths, unread manifests, errors."""
+    fixed = components.sparkSession.createDataFrame([(f"{x}: not looked up",) for x in ("hash", "license", "producer", "transitive dependencies")], "note string")
+    ranges = components.where("version_status = 'unknown'").agg(F.count("*").alias("n")).where("n > 0").select(F.concat(c("n").cast("string"), lit(" declared without an exact version")).alias("note"))
+    paths = path_requirements(texts).select(F.concat("rel", lit(":"), c("line").cast("string"), lit(": a local path, "), "path").alias("note"))
+    name = F.element_at(F.split("rel", "/"), -1)
+    unread = texts.where(name.isin(*UNREAD) | name.rlike(r"\.(cs|fs)proj$")).select(F.concat("rel", lit(": of an ecosystem that isn't read")).alias("note"))
+    errors = entries(texts).where("section = 'error'").select(F.concat("rel", lit(": can't be read ("), "key", lit(")")).alias("note"))
+    missing = include_errors(texts).select(F.concat("file", lit(":"), c("line").cast("string"), lit(": "), "detail").alias("note"))
+    return reduce(DataFrame.unionByName, [fixed, ranges, paths, unread, errors, missing])

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lumenscan.functions import key_names
 from lumenscan.functions.crypto_rules import rule_rows, token_rows
-from lumenscan.operators import cbom, egress, keys, manifests, merkle
-from lumenscan.plans import registry, reports
+from lumenscan.operators import archives, cbom, egress, keys, manifests, merkle, setup_scripts
+from lumenscan.plans import expected, registry, reports, sinks
+from lumenscan.plans.sample import sample_files
 from lumenscan.sources import pyfacts, tree
 
 
@@ -73,9 +74,9 @@ def test_private_key_armour_needs_a_key(spark):
 def test_verdict_ladder(spark):
     for source, want in (("import hashlib\nhashlib.md5()", "BROKEN-CRYPTO"), ("import rsa", "MIGRATION-NEEDED"), ("import jwt", "REVIEW-NEEDED"), ("def f(:", "REVIEW-NEEDED"), ("x = 1", "NOTHING-VULNERABLE-FOUND")):
         texts, facts = scan(spark, {"a.py": source})
-        assert cbom.verdict(cbom.components(texts, facts), facts).first().verdict == want
+        assert cbom.verdict(texts, facts).first().verdict == want
     texts, facts = scan(spark, {"a.txt": "none"})
-    assert cbom.verdict(cbom.components(texts, facts), facts).first().verdict == "NOT-ANALYSED"
+    assert cbom.verdict(texts, facts).first().verdict == "NOT-ANALYSED"
 
 
 @pytest.mark.parametrize(
@@ -87,9 +88,31 @@ def test_key_shaped_names(spark, name, value, shaped):
     assert df.select(key_names.key_shaped(F.col("n"), F.col("v"))).first()[0] is shaped
 
 
-def test_key_findings_of_the_sample(spark):
-    got = {(r.file, r.line, r.kind) for r in registry.keys_sample(spark, "").collect()}
-    assert got == {("app/main.py", 9, "literal-key"), ("app/main.py", 13, "derived-from-constant"), ("conf/.env", 2, "literal-key"), ("conf/app.yaml", 2, "literal-key")}
+def sample(spark):
+    files, _ = tree.read_and_skipped(sample_files(spark))
+    texts = tree.texts(files.where("rel not like 'lib/%'"))
+    return files, texts, pyfacts.py_facts(texts)
+
+
+def test_scanners_find_in_the_sample_what_is_expected(spark):
+    """One tree: the same as file by file, but for what files are to each other."""
+    files, texts, facts = sample(spark)
+    rows = lambda df, *columns: {tuple(r) for r in df.select(*columns).collect()}
+    want = lambda e: {r[1:] for r in e}
+    assert rows(cbom.components(texts, facts), "file", "line", "primitive", "category", "quantum", "detail") == want(expected.CRYPTO)
+    assert rows(keys.findings(files, texts, facts), "file", "line", "kind", "detail") == want(expected.KEYS)
+    deps, remotes = setup_scripts.collected(texts, facts), manifests.remote_sources(texts)
+    assert rows(egress.findings(texts, facts, files, deps, remotes), "file", "line", "kind", "detail") == want(expected.EGRESS)
+    assert rows(deps, "file", "line", "name", "spec", "ecosystem", "scope", "extra", "source") == want(expected.DEPENDENCIES)
+    assert rows(archives.archive_members(files), "rel", "path", "size", "text", "outcome") == want(expected.MEMBERS)
+    assert rows(manifests.include_closure(texts, texts.where("rel = 'requirements.txt'")), "rel") == {("requirements.txt",), ("extra.txt",)}
+
+
+def test_plans_parse_a_tree_once(spark):
+    _, texts, facts = sample(spark)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert plan(cbom.components(texts, facts)) == plan(cbom.verdict(texts, facts)) == 3  # decoding for facts and for armour, and parsing
+    assert plan(egress.python_findings(texts, facts)) <= 3
 
 
 def test_all_credential_shapes_are_found(spark):
@@ -117,24 +140,17 @@ def test_base64_armour(spark):
 
 def test_jwks_and_key_files(spark):
     good = '{"kty": "OKP", "d": "nWGxne_9WmC6hEr0kuwsxERJxWl7MmkZcDusAxyuf2A"}'
-    texts, _ = scan(spark, {"a.json": good, "b.json": good.replace('"d"', '"x"'), "deploy/id_rsa": "x", "c.pem": "x"})
-    assert [r.file for r in keys.jwks(texts).collect()] == ["a.json"]
+    texts, _ = scan(spark, {"a.txt": "key: " + good, "b.txt": good.replace('"d"', '"x"'), "a.json": good, "b.json": good.replace('"d"', '"x"'), "deploy/id_rsa": "x", "c.pem": "x"})
+    assert [r.file for r in keys.jwks(texts).collect()] == ["a.txt"] and [r.file for r in keys.json_values(texts).collect()] == ["a.json"]
     assert {r.file for r in keys.key_files(texts).collect()} == {"deploy/id_rsa", "c.pem"}
 
 
-def test_egress_of_the_sample(spark):
-    got = {(r.file, r.kind) for r in registry.egress_sample(spark, "").collect()}
-    assert got >= {
-        ("app/main.py", "network-import"), ("app/main.py", "network-call"), ("app/main.py", "subprocess-net-binary"), ("app/main.py", "dynamic-exec"), ("app/broken.py", "unparseable-source"), ("web/index.html", "html-external"),
-        ("web/index.html", "external-link"), ("web/app.ts", "network-import"), ("web/app.ts", "network-call"), ("web/app.ts", "external-url"), ("run.sh", "script-network-command"), ("run.sh", "script-network-word"), ("Dockerfile", "declared-remote-source"), ("site.pth", "startup-exec"),
-    }
-    assert not any("node_modules" in f for f, _ in got)
-    assert not any("comment" in r.detail or "localhost" in r.detail for r in registry.egress_sample(spark, "").where("kind = 'external-url'").collect())
-
-
 def test_modules_of_the_tree_shadow_listed_ones(spark):
-    _, facts = scan(spark, {"a.py": "import requests", "requests.py": "x = 1"})
-    assert egress.python_findings(facts).count() == 0
+    texts, facts = scan(spark, {"a.py": "import requests", "requests.py": "x = 1", "t2/a.py": "import requests"})
+    assert egress.python_findings(texts, facts).count() == 0
+    first = lambda rel: F.when(rel.startswith("t2/"), "t2").otherwise("t1")
+    assert [r.file for r in egress.python_findings(texts, facts, first).collect()] == ["t2/a.py"]
+    assert {r.file for r in egress.shadowed_imports(texts, facts).collect()} == {"a.py", "t2/a.py"}
 
 
 def test_requirement_lines(spark):
@@ -144,21 +160,13 @@ def test_requirement_lines(spark):
 
 
 def test_versions(spark):
-    rows = [("1.0alpha1", "1.0a1"), ("v01.0", "1.0"), ("1.0c1", "1.0rc1"), ("1.0-1", "1.0.post1"), ("1.0-dev", "1.0.dev0"), ("1.0_post1", "1.0.post1")]
+    rows = [("2.5_post3", "2.5.post3"), ("2.5-DEV", "2.5.dev0"), ("v02.5", "2.5"), ("2.5-7", "2.5.post7"), ("2.5C4", "2.5rc4"), ("2.5alpha6", "2.5a6")]
     df = spark.createDataFrame([(r[0],) for r in rows], "s string")
     assert [tuple(r) for r in df.select("s", manifests.pep440(F.col("s"))).collect()] == rows
     pins = spark.createDataFrame([("==1.0",), ("==2.*",), (">=1",), ("===v1.2",)], "s string").select(manifests.pinned_pypi(F.col("s")))
     assert [r[0] for r in pins.collect()] == ["1.0", None, None, "1.2"]
 
 
-def test_dependencies_and_sbom_of_the_sample(spark):
-    deps = {(r.file, r.name, r.scope) for r in registry.dependencies_sample(spark, "").collect()}
-    assert deps >= {("requirements.txt", "requests", "required"), ("requirements.txt", "numpy", "required"), ("requirements.txt", "tool", "required"), ("dev-requirements.txt", "pytest", "dev"), ("package.json", "axios", "required"), ("package.json", "vite", "dev"), ("pyproject.toml", "httpx", "required"), ("pyproject.toml", "orjson", "optional"), ("pyproject.toml", "hatchling", "build"), ("environment.yml", "numpy", "required"), ("environment.yml", "rich", "required")}
-    assert not any(n == "sample" for _, n, _ in deps)
-    purls = {r.purl for r in registry.sbom_sample(spark, "").collect()}
-    assert {"pkg:pypi/requests@2.32.0", "pkg:npm/axios@1.7.2", "pkg:npm/%40scope/pkg", "pkg:conda/numpy?channel=conda-forge", "pkg:pypi/rich@13.7.0"} <= purls and not any("tool" in p or "pytest" in p for p in purls)
-
-
 def test_include_closure_ends_in_cycles(spark):
     texts, _ = scan(spark, {"requirements.txt": "-r a/requirements.txt\n-r missing.txt", "a/requirements.txt": "-r ../requirements.txt\n-r requirements-b.txt", "a/requirements-b.txt": "x"})
     got = manifests.include_closure(texts, texts.where("rel = 'requirements.txt'"))
@@ -187,13 +195,24 @@ def test_merkle_roots_and_proofs(spark):
             assert not merkle.verify_inclusion(hashlib.sha256(b"no").digest(), i, len(leaves), path, root)
 
 
-def test_documents_of_findings(spark):
-    doc = json.loads(registry.sarif_sample(spark, "").first().document)
+def test_documents_of_findings(spark, tmp_path):
+    _, texts, facts = sample(spark)
+    found = egress.findings(texts, facts)
+    n = sinks.write_document(reports.sarif_results(found), "result", ["file", "line", "kind", "detail", "n"], reports.sarif_frame(found, "scan"), tmp_path / "a.sarif")
+    doc = json.loads((tmp_path / "a.sarif").read_text())
     run = doc["runs"][0]
-    assert doc["version"] == "2.1.0" and {r["ruleId"] for r in run["results"]} == {r["id"] for r in run["tool"]["driver"]["rules"]}
+    assert len(run["results"]) == n == found.count() and {r["ruleId"] for r in run["results"]} == {r["id"] for r in run["tool"]["driver"]["rules"]}
     prints = [r["partialFingerprints"]["finding/v1"] for r in run["results"]]
-    assert len(prints) == len(set(prints))
-    assert all(json.loads(r.document)["bomFormat"] == "CycloneDX" for r in registry.cyclonedx_sample(spark, "").collect())
+    assert len(prints) == len(set(prints)) and run["invocations"] == [{"executionSuccessful": True}]
+    cells = [r for r in run["results"] if r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"].endswith(".ipynb")]
+    assert cells and all("region" not in r["locations"][0]["physicalLocation"] for r in cells) and cells[0]["locations"][0]["logicalLocations"][0]["kind"] == "notebookCell"
+    uses = cbom.components(texts, facts)
+    assert sinks.write_document(reports.cbom_components(uses), "component", ["file", "line", "primitive", "quantum"], reports.BOM_FRAME, tmp_path / "b.json") == uses.count()
+    bom = json.loads((tmp_path / "b.json").read_text())
+    assert bom["bomFormat"] == "CycloneDX" and len({x["bom-ref"] for x in bom["components"]}) == len(bom["components"])
+    parts = manifests.sbom(setup_scripts.collected(texts, facts))
+    sinks.write_document(reports.sbom_components(parts), "component", ["ecosystem", "name", "bom_ref"], reports.BOM_FRAME, tmp_path / "c.json")
+    assert len({x["bom-ref"] for x in json.loads((tmp_path / "c.json").read_text())["components"]}) == parts.count()
     df = spark.createDataFrame([("a b/c&d.py",)], "p string").select(reports.uri(F.col("p")))
     assert df.first()[0] == "a%20b/c%26d.py"
 
@@ -205,11 +224,11 @@ def test_report_digests_leave_out_the_envelope():
 
 
 def test_decoding_and_ledgers(spark):
-    files = spark.createDataFrame([("a.txt", bytearray("é\r\nb".encode())), ("b.txt", bytearray(b"\xef\xbb\xbfx")), ("c", bytearray("é".encode("utf-16"))), ("build/x.py", bytearray(b"")), ("d.", bytearray(b"\xff"))], "rel string, content binary")
+    files = spark.createDataFrame([("a.txt", bytearray("é\r\nb".encode())), ("b.txt", bytearray(b"\xef\xbb\xbfx")), ("c", bytearray("é".encode("utf-16"))), ("e", bytearray("hi".encode("utf-32"))), ("f", bytearray(b"\xff\xfea\xd8")), ("g.py", bytearray(b"# -*- coding: latin-1 -*-\nx = '\xe9'")), (".git", bytearray(b"gitdir: x")), ("build/x.py", bytearray(b"")), ("d.", bytearray(b"\xff"))], "rel string, content binary")
     kept, skipped = tree.read_and_skipped(files)
-    assert {r.rel: r.text for r in tree.texts(kept).collect()} == {"a.txt": "é\nb", "b.txt": "x", "c": "é", "d.": "�"}
-    assert [tuple(r) for r in skipped.collect()] == [("build", 1)]
-    assert {r.extension: r.n_files for r in tree.files_by_extension(kept).collect()} == {".txt": 2, "(no extension)": 2}
+    assert {r.rel: r.text for r in tree.texts(kept).collect()} == {"a.txt": "é\nb", "b.txt": "x", "c": "é", "d.": "�", "e": "hi", "f": "�", "g.py": "# -*- coding: latin-1 -*-\nx = 'é'"}
+    assert sorted(tuple(r) for r in skipped.collect()) == [(".git", 1), ("build", 1)]
+    assert {r.extension: r.n_files for r in tree.files_by_extension(kept).collect()} == {".txt": 2, "(no extension)": 4, ".py": 1}
 
 
 def test_tree_source(spark, tmp_path):
