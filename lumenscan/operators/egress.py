@@ -199,8 +199,9 @@ def javascript_findings(texts: DataFrame) -> DataFrame:
 def script_findings(texts: DataFrame) -> DataFrame:
     """Network programs where a command starts, else as a word, once a line; listeners; images of container files."""
     docker = c("rel").rlike(r"(?i)(^|/)(containerfile|dockerfile)[^/]*$")
-    is_script = extension(c("rel")).isin(".bash", ".bat", ".cmd", ".mk", ".ps1", ".sh") | c("rel").rlike(r"(?i)(^|/)makefile$") | docker
-    commands = F.transform(F.split("text", r"\|\||&&|[;|&(`]|\bthen\b|\bdo\b|\$\("), lambda s: F.regexp_replace(s, r"(?i)^\s*(?:RUN\s+|CMD\s+|@|-(?=\w)|(?:sudo|exec|env|nohup|time|command)\s+|[A-Za-z_]\w*=\S*\s+)*", ""))
+    pipeline = c("rel").rlike(r"(?i)(^|/)(\.github/workflows/.*|\.circleci/.*|\.?gitlab-ci|\.travis|azure-pipelines|bitbucket-pipelines|appveyor|(docker-)?compose)\.ya?ml$|(^|/)(jenkinsfile|justfile|procfile|tox\.ini)$")
+    is_script = extension(c("rel")).isin(".bash", ".bat", ".cmd", ".mk", ".ps1", ".sh") | c("rel").rlike(r"(?i)(^|/)makefile$") | docker | pipeline
+    commands = F.transform(F.split("text", r"\|\||&&|[;|&(`]|\bthen\b|\bdo\b|\$\("), lambda s: F.regexp_replace(s, r"(?i)^\s*(?:-\s+)?(?:(?:run|script|command|before_script|after_script|commands)\s*[:=]\s*[|>]?\s*)?(?:RUN\s+|CMD\s+|@|-(?=\w)|(?:sudo|exec|env|nohup|time|command)\s+|[A-Za-z_]\w*=\S*\s+)*", ""))
     named = F.filter(commands, lambda s: F.lower(F.regexp_extract(s, r"^([\w.+-]+)", 1)).isin(*PROGRAMS) & ~s.rlike(r"\s--(help|version)\b"))
     program = F.lower(F.regexp_extract(F.get(named, lit(0)), r"^([\w.+-]+)", 1))
     word = F.get(F.array_intersect(F.split(F.lower("text"), r"[^\w.+-]+"), F.array(*map(lit, PROGRAMS))), lit(0))
@@ -258,6 +259,31 @@ def verdict(found: DataFrame, texts: DataFrame) -> DataFrame:
     return n.join(read, "one").select("n_findings", "n_read", ladder.alias("verdict"))  # one row by one row
 
 
+def unlisted_programs(facts: DataFrame) -> DataFrame:
+    """program and number of files: programs started from Python that are on no list."""
+    program = _basename(F.get(_unwrapped(c("argv")), lit(0)))
+    known = sorted({*PROGRAMS, *SHELLS, *WRAPPERS, "git", "python", "python3"})
+    seen = facts.where("kind = 'call' and size(argv) > 0 and (real in ('os', 'pty', 'subprocess') or value like 'asyncio.%')").select("rel", program.alias("program"))
+    return seen.where((c("program") != "") & ~c("program").isin(*known)).groupBy("program").agg(F.countDistinct("rel").alias("n_files"))
+
+
+def unlisted_js_imports(texts: DataFrame) -> DataFrame:
+    """package and number of files: packages that JavaScript or TypeScript imports and that are on no list; node's own modules without a network are none."""
+    own = "assert buffer child_process crypto events fs fs/promises module os path perf_hooks process querystring readline stream string_decoder timers url util v8 vm worker_threads zlib".split()
+    name = F.regexp_replace(F.regexp_extract("text", r"""(?:from|require\(|import\(|import)\s*["']([^"'.][^"']*)["']""", 1), "^(node|npm):", "")
+    package = F.regexp_extract(name, r"^(@[^/]+/[^/]+|[^/]+)", 1)
+    l = lines(texts.where(extension(c("rel")).isin(".cjs", ".js", ".jsx", ".mjs", ".ts", ".tsx", ".vue"))).where(~F.ltrim("text").rlike(r"^(//|\*|/\*)"))
+    return l.select("rel", name.alias("name"), package.alias("package")).where((c("package") != "") & ~c("name").isin(*JS_PACKAGES, *own) & ~c("package").isin(*JS_PACKAGES, *own)).groupBy("package").agg(F.countDistinct("rel").alias("n_files"))
+
+
+def files_not_read(files: DataFrame, texts: DataFrame) -> DataFrame:
+    """rel, why of files that no scanner reads: too large, or of no kind that is read."""
+    kinds = extension(c("rel")).isin(".bash", ".bat", ".cfg", ".cjs", ".cmd", ".htm", ".html", ".ini", ".ipynb", ".js", ".json", ".jsx", ".mjs", ".mk", ".properties", ".ps1", ".pth", ".py", ".pyw", ".sh", ".svg", ".toml", ".ts", ".tsx", ".txt", ".vue", ".xhtml", ".yaml", ".yml")
+    named = c("rel").rlike(r"(?i)(^|/)(makefile|dockerfile[^/]*|containerfile|jenkinsfile|justfile|procfile|pipfile|\.env[^/]*|\.npmrc|\.gitmodules)$")
+    large = files.where("content is null").select("rel", lit("too large").alias("why"))
+    return large.unionByName(files.where(c("content").isNotNull() & ~kinds & ~named).select("rel", lit("of no kind that is read").alias("why")))
+
+
 def shadowed_imports(texts: DataFrame, facts: DataFrame) -> DataFrame:
     """file, line, module of listed modules that the tree supplies itself."""
     module = F.when(c("kind") == "import", F.array("name")).when((c("kind") == "from") & (c("level") == 0), F.array("name"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenscan.functions import log, signing, timestamps
-from lumenscan.operators import archives, egress, keys, manifests, merkle, setup_scripts
+from lumenscan.operators import archives, cbom, egress, keys, manifests, merkle, setup_scripts
 from lumenscan.plans import reports, sinks
 from lumenscan.sources import lineage, pyfacts, tree
 
@@ -277,3 +277,15 @@ def test_artifacts(spark):
     rows = [("a.so", b"\x7fELF\1\0"), ("b.txt", b"plain"), ("c.pkl", b"\x80\4x\0"), ("d.pyx", b"def f(): pass"), ("e.bin", b"text only"), ("f", b"PK\3\4\0")]
     df = spark.createDataFrame([(n, len(b), bytearray(b)) for n, b in rows], "rel string, size long, content binary")
     assert {r.file for r in egress.artifacts(df).collect()} == {"a.so", "c.pkl", "d.pyx", "f"}
+
+
+def test_companion_outputs(spark):
+    files = {"a.py": "import subprocess\nsubprocess.run(['sudo', 'mytool', 'x'])\nsubprocess.run(['curl', 'x'])\nx = 'rsa'\n", "b.js": "import z from 'zod';\nimport a from 'axios';\nconst f = require('node:fs');\nimport c from '@s/p/x';", ".github/workflows/ci.yml": "jobs:\n  - run: curl https://example.invalid\n    name: use wget\n", "x.rst": "t"}
+    texts, facts = scan(spark, files)
+    assert [tuple(r) for r in egress.unlisted_programs(facts).collect()] == [("mytool", 1)]
+    assert {r.package for r in egress.unlisted_js_imports(texts).collect()} == {"zod", "@s/p"}
+    assert {(r.line, r.kind) for r in egress.script_findings(texts).collect()} == {(2, "script-network-command"), (3, "script-network-word")}
+    whole = texts.selectExpr("rel", "1L AS size", "cast(text AS binary) AS content")
+    assert {(r.rel, r.why) for r in egress.files_not_read(whole, texts).collect()} == {("x.rst", "of no kind that is read")}
+    assert {r.primitive for r in cbom.components(texts, facts).collect()} == {"RSA"}
+    assert cbom.components(texts, facts, [hashlib.sha256(files["a.py"].encode()).hexdigest()]).count() == 0
