@@ -61,6 +61,17 @@ def key_arguments(facts: DataFrame) -> DataFrame:
     return facts.where("kind = 'call'").select(c("rel").alias("file"), "line", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select("file", "line", "f.*")
 
 
+def nearest_keys(facts: DataFrame) -> DataFrame:
+    """Key arguments that are names assigned more than once, if the last assignment before the call, in its function, is a literal: an as-of join on (file, function, name)."""
+    own = lambda module, func: (((c("root") if module in CIPHERS else F.coalesce("real", lit(""))) == module) & (c("name") == func)) | (F.coalesce("local", lit("")) == f"{module}.{func}")
+    asked = F.array(*[F.when(own(*of) & ((c("level") == at) | (c("parent") == kw)), lit(".".join(of))) for of, (at, kw) in KEY_ARGUMENTS.items()])
+    a = facts.where("kind = 'arg'").select("rel", "line", "seq", c("value").alias("name"), "scope", F.get(F.filter(asked, lambda x: x.isNotNull()), lit(0)).alias("of")).where("of is not null")
+    s = facts.where("kind = 'assign'").select(c("rel").alias("r"), c("line").alias("at"), c("name").alias("n"), c("scope").alias("s"), "value")
+    before = a.join(s, (c("rel") == c("r")) & (c("name") == c("n")) & c("scope").eqNullSafe(c("s")) & (c("at") < c("line")))
+    last = before.groupBy("rel", "line", "seq", "of").agg(F.max_by(F.struct("value"), "at").alias("last")).where("length(last.value) > 0")
+    return last.select(c("rel").alias("file"), "line", lit("derived-from-constant").alias("kind"), F.concat("of", lit(": the key was last given a literal")).alias("detail"))
+
+
 def derived_keys(facts: DataFrame) -> DataFrame:
     """Key-named values that the file makes from what it fixes itself: a hash of a literal, of a constant or of a parameter, or zero bytes."""
     d = facts.where("kind = 'derive'").where(k.has_key_word(c("name")))
@@ -270,7 +281,7 @@ def text_credentials(texts: DataFrame) -> DataFrame:
 
 def findings(files: DataFrame, texts: DataFrame, facts: DataFrame) -> DataFrame:
     """file, line, kind, detail and verdict of all key findings of a tree; every one is for review."""
-    parts = [bindings(facts), key_arguments(facts), derived_keys(facts), literal_credentials(facts), notebook_armour(facts), text_credentials(texts), config_lines(texts), json_values(texts), key_files(files), jwks(texts), armour(texts)]
+    parts = [bindings(facts), key_arguments(facts), nearest_keys(facts), derived_keys(facts), literal_credentials(facts), notebook_armour(facts), text_credentials(texts), config_lines(texts), json_values(texts), key_files(files), jwks(texts), armour(texts)]
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["file", "line", "kind", "detail"]).withColumn("verdict", lit("REVIEW"))
 
 

@@ -34,6 +34,11 @@ CRYPTO = [
     (18, 'app/tls.py', 8, 'ECB mode', 'cipher-mode', 'REVIEW', 'MODE_ECB: equal plaintext blocks encrypt to equal ciphertext blocks'),
     (18, 'app/tls.py', 9, 'RSA', 'signature/kem', 'VULNERABLE', 'paramiko.RSAKey'),
     (21, 'book/run.ipynb', 2, 'MD5', 'hash', 'BROKEN', 'hashlib.md5(...)'),
+    (35, 'app/nearest.py', 1, 'HMAC', 'mac', 'SAFE', 'import hmac'),
+    (35, 'app/nearest.py', 13, 'HMAC', 'mac', 'SAFE', 'hmac.new(...)'),
+    (35, 'app/nearest.py', 13, 'SHA-256', 'hash', 'GROVER-REDUCED', 'hmac.new(..., "sha256")'),
+    (35, 'app/nearest.py', 7, 'HMAC', 'mac', 'SAFE', 'hmac.new(...)'),
+    (35, 'app/nearest.py', 7, 'SHA-256', 'hash', 'GROVER-REDUCED', 'hmac.new(..., "sha256")'),
 ]
 KEYS = [
     (0, 'app/main.py', 13, 'derived-from-constant', 'hmac.new: the key is a literal'),
@@ -57,6 +62,9 @@ KEYS = [
     (26, 'conf/key.yaml', 3, 'jwk', 'a private JSON Web Key'),
     (27, 'conf/server.key', 0, 'key-file', 'a key file by its name'),
     (27, 'conf/server.key', 1, 'private-key', '-----BEGIN RSA PRIVATE KEY-----: key material present in the source tree'),
+    (35, 'app/nearest.py', 11, 'literal-key', 'secret is given a literal (name)'),
+    (35, 'app/nearest.py', 6, 'literal-key', 'secret is given a literal (name)'),
+    (35, 'app/nearest.py', 7, 'derived-from-constant', 'hmac.new: the key was last given a literal'),
 ]
 EGRESS = [
     (0, 'app/main.py', 22, 'network-call', 'https://api.example.invalid/v1'),

@@ -460,7 +460,7 @@ def oracle_sql() -> dict[str, str]:
         "m2_requirements_to_purl": f"SELECT p_partkey, {spec} AS name, CASE WHEN p_size % 2 = 0 THEN p_size || '.0' ELSE '' END AS version, 'pkg:pypi/' || lower({spec}) || CASE WHEN p_size % 2 = 0 THEN '@' || p_size || '.0' ELSE '' END purl FROM part",
         "m6_pip_options": f"WITH o(n, o) AS ({options}), w AS (SELECT p_partkey, substr(o, 1, p_size % length(o) + 1) AS w FROM part JOIN o ON o.n = p_partkey % {n_options}) SELECT p_partkey, '--' || w AS word, coalesce(CASE WHEN w IN (SELECT o FROM o) THEN w ELSE (SELECT CASE WHEN count(*) = 1 THEN min(o) END FROM o WHERE starts_with(o.o, w.w)) END, '') AS \"option\" FROM w",
         "m21_npm_pins": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size || '.0.1' WHEN 2 THEN p_size || '.2.3-rc.1' WHEN 5 THEN p_size || '.0.0+b.7' ELSE '' END AS version FROM part",
-        "b4_versions": "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_size || '.1' WHEN 1 THEN p_size || '.0a' || p_size WHEN 2 THEN p_size || 'b0' WHEN 3 THEN p_size || '.1rc' || p_size WHEN 4 THEN p_size || '.post' || p_size WHEN 5 THEN p_size || '.dev0' ELSE p_size || '.0.post' || p_size END normal FROM part",
+        "b4_versions": "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_size || '.1' WHEN 1 THEN p_size || '.0a' || p_size WHEN 2 THEN p_size || 'b' || p_size WHEN 3 THEN p_size || '.1rc' || p_size WHEN 4 THEN p_size || '.post' || p_size WHEN 5 THEN p_size || '.dev0' ELSE p_size || '.0.post' || p_size END normal FROM part",
         "b5_distinct_components": "SELECT DISTINCT 'm/' || p_size file, p_size line, n AS name, CASE WHEN p_partkey % 2 = 0 THEN '==' ELSE '>=' END || v spec, CASE WHEN p_partkey % 2 = 0 THEN v ELSE '' END AS version, 'pkg:pypi/' || n || CASE WHEN p_partkey % 2 = 0 THEN '@' || v ELSE '' END purl, CASE WHEN p_partkey % 2 = 0 THEN 'pinned' ELSE 'unknown' END version_status FROM (SELECT *, regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g') n, p_size || '.' || p_partkey % 3 v FROM part) WHERE p_size % 5 <> 0",
         "t2_merkle_root_by_order": f"WITH l0 AS (SELECT l_orderkey o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 i, unhex(sha256(unhex('00') || encode(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag)))) h FROM lineitem), {_levels(4)}, n AS (SELECT o, count(*) size FROM l0 GROUP BY 1) SELECT n.o l_orderkey, n.size, lower(hex(l4.h)) root FROM n JOIN l4 ON l4.o = n.o",
         "t3_inclusion_proofs": f"WITH l0 AS (SELECT o_custkey o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 i, unhex(sha256(unhex('00') || encode(concat_ws('|', o_orderkey, o_orderstatus)))) h FROM orders), {_levels(7)} SELECT o_custkey, idx, level, sibling FROM ("

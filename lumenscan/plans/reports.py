@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenscan.functions import signing
+from lumenscan.operators import merkle
 from lumenscan.sources.lineage import numbered
 
 c, lit = F.col, F.lit
@@ -190,6 +191,20 @@ def sealed(report: dict, key: signing.SigningKey | None = None) -> dict:
     return r | ({"signature": key.sign(canonical(r))} if key is not None else {})
 
 
+def listing_digest(files: DataFrame) -> str:
+    """Digest of every file of a tree, by name and content (rel, content): the Merkle root over names in byte order."""
+    data = F.concat(F.encode("rel", "UTF-8"), F.unhex(lit("00")), F.unhex(F.sha2("content", 256)))
+    root = merkle.roots_of_groups(files.withColumn("tree", lit("")), ["tree"], [F.encode("rel", "UTF-8")], data).first()
+    return root["root"] if root else merkle.EMPTY_ROOT
+
+
+def of_one_tree(cbom_report: dict, key_report: dict) -> tuple[dict, dict]:
+    """Both reports, if they are of one tree: label and listing digest are the same."""
+    if any(cbom_report.get(k) != key_report.get(k) or not cbom_report.get(k) for k in ("target", "tree_listing_digest")):
+        raise ValueError("the reports are of different trees")
+    return cbom_report, key_report
+
+
 def report_status(report: dict, root: str | None = None) -> str:
     """ATTESTED (signed by the root asked for), UNVERIFIED (signed, by whom wasn't asked), UNSIGNED or TAMPERED."""
     if report.get("content_hash") != content_hash(report) or report.get("findings_digest") != findings_digest(report):

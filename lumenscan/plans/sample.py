@@ -53,6 +53,7 @@ FILES = {
     "lib/bundle.zip": _zip({"a.txt": b"plain", "conf/id": b"-----BEGIN RSA PRIVATE KEY-----\nMIIEow" + b"A1b" * 40 + b"\n-----END RSA PRIVATE KEY-----\n", "inner.zip": _zip({"deep.txt": b"deep"})}),
     "link": "app/main.py",
     "out": "../elsewhere/file",
+    "app/nearest.py": 'import hmac\n\n\ndef first(data):\n    secret = load()\n    secret = b"k-77aa-0b3e"\n    return hmac.new(secret, data, "sha256")\n\n\ndef second(data):\n    secret = b"k-77aa-0b3e"\n    secret = load()\n    return hmac.new(secret, data, "sha256")\n',
 }
 
 

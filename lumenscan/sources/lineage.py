@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +16,26 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared folder of spark.checkpoint.dir; where that is unset, a session on one machine gets a temporary one, a cluster is refused."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenscan-"))
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="lumenscan-"))
+    if sc.applicationId not in _seen:
+        _seen.add(sc.applicationId)
+        atexit.register(_clean, sc)
     return df.checkpoint()
 
 
+#: Applications whose checkpoints are deleted when the interpreter ends.
+_seen: set[str] = set()
+
+
+def _clean(sc: SparkContext) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        path = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())  # the application's own folder
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(rows: DataFrame, group: list[str], order: list[str | Column], to: str = "idx") -> DataFrame:
     """rows with their number (from 0) within their group, by order.
 

@@ -289,3 +289,15 @@ def test_companion_outputs(spark):
     assert {(r.rel, r.why) for r in egress.files_not_read(whole, texts).collect()} == {("x.rst", "of no kind that is read")}
     assert {r.primitive for r in cbom.components(texts, facts).collect()} == {"RSA"}
     assert cbom.components(texts, facts, [hashlib.sha256(files["a.py"].encode()).hexdigest()]).count() == 0
+
+
+def test_trees_and_counts(spark):
+    files = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"2"))], "rel string, content binary")
+    d = reports.listing_digest(files)
+    assert d == reports.listing_digest(files.orderBy(F.desc("rel"))) != reports.listing_digest(files.limit(1))
+    a, b = {"target": "t", "tree_listing_digest": d}, {"target": "t", "tree_listing_digest": d}
+    assert reports.of_one_tree(a, b) == (a, b)
+    with pytest.raises(ValueError):
+        reports.of_one_tree(a, b | {"tree_listing_digest": "x"})
+    uses = spark.createDataFrame([("SAFE",), ("BROKEN",), ("SAFE",)], "quantum string")
+    assert cbom.status_counts(uses).first().counts == {"SAFE": 2, "BROKEN": 1}
