@@ -6,11 +6,12 @@ text can be read back exactly. The loss mask is the byte span of every assistant
 
 Rows are shuffled by conversation and sorted; a batch of them is assembled at once in numpy: segment lengths, cumulative
 offsets and scatter indices of headers and contents, copied into one preallocated buffer that becomes the Arrow column.
-A conversation that goes on in the next batch goes on in a further part, so a task holds one batch, however long a
-conversation is. A hot conversation is one sorted stream: the order of its turns is what is computed.
+A conversation that goes on in the next slice of about ``SLICE`` bytes goes on in a further part, so a task holds one
+slice, however long a conversation is; only a single longer text is held whole. A hot conversation is one sorted stream: the order of its turns is what is computed.
 
 Edge cases: null role or text counts as empty; turns are ordered by turn (null first), then role and text, so ties and
-repeated rows have one order and all count; a null conv_id is a conversation of its own. No rows give no rows.
+repeated rows have one order and all count; a null conv_id is a conversation of its own. Very long texts are formatted whole. No rows give no rows. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenscan.llm._common import text_chunks
+
+SLICE = 4 << 20
 OPEN, CLOSE, LINE = b"<turn>", b"</turn>\n", b"\n"
 _TURN = re.compile(r"<turn>((?:[^\\\n]++|\\.)*+)\n((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -92,9 +96,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, part = (None,), -1
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (part for batch in batches for part in text_chunks(batch, "text", SLICE)):
             ids = b.column("conv_id").to_pylist()
             out, offsets, begin, end = assemble(b.column("role"), b.column("text"))
             first = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]

@@ -10,7 +10,8 @@ scored, and windows start only where so many shared bigrams lie near enough. Not
 One narrow pass, whole texts, nothing shuffled; the templates (a fixed list) travel with the function.
 
 Edge cases: null, empty and wordless texts match nothing and give a row with n_matches 0. Ties between templates go to
-the first by name. Repeated rows are scanned each on its own.
+the first by name. Repeated rows are scanned each on its own. Very long texts are scanned whole. An empty table gives no
+rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

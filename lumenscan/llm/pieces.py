@@ -11,7 +11,9 @@ joint text merges to, so the state of a position is the one piece that may follo
 gives exactly the ids of the sentencepiece library (tests compare them); a plain sum of BPE scores would not.
 
 One narrow pass; a worker remembers ``memo`` words. Edge cases: a null text has null ids, an empty one none. Characters
-without a piece become byte pieces, or the unknown id where the model has no bytes. Whole texts are read.
+without a piece become byte pieces, or the unknown id where the model has no bytes. Whole texts, very long ones too, are read.
+Repeated rows are encoded each on its own; an empty table gives no rows; null ids decode to a null text. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

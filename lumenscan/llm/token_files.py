@@ -10,12 +10,14 @@ it, or white space), every distinct unit is encoded once by the tokenizers libra
 memory of at most ``memo`` units; ids of a text are the ids of its units. A text that has the string of a special
 token is encoded whole.
 
-Scale: one range shuffle on (doc_id, hash of the text), so that rows of one repeated id don't land in one task. A task
+Scale: one range shuffle on (doc_id, hash of the text, a number of the row below 64), so that neither rows of one repeated
+id nor equal rows land in one task. A task
 holds one row group at a time. Files are written under a name of the attempt and renamed, so a lost executor or a
 second attempt leaves whole files only. Only manifest rows, one a file, come to the driver.
 
 Edge cases: a null text counts as empty and has the end id only. Rows without doc_id come first. Rows of one doc_id are
-ordered by hash and text. An empty table gives no file and no row.
+ordered by hash and text. An empty table gives no file and no row. Very long texts are encoded whole. Other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -184,7 +186,7 @@ def write_token_files(docs: DataFrame, o: TokenFileOptions, root: str, text: str
     """Writes files of docs under root; returns the manifest: file, part, rows, n_ids, start."""
     ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("salt", F.xxhash64("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ordered.repartitionByRange(parts, "doc_id", "salt").sortWithinPartitions("doc_id", "salt", "text").select("doc_id", "text")
+    ordered = ordered.repartitionByRange(parts, "doc_id", "salt", F.pmod(F.monotonically_increasing_id(), F.lit(64))).sortWithinPartitions("doc_id", "salt", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -10,7 +10,6 @@ from types import SimpleNamespace
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tests.llm.conftest import PROSE
 from tests.llm.test_operators import SF, brute_components
 
 from lumenscan.llm import _common, chat, components, html_text, langid, licenses, neardup, packing, pieces, quality, queries, token_files, topk
@@ -69,6 +68,18 @@ def test_a_cluster_needs_a_shared_folder():
     assert _common.shared_dir(session("local[4]")).startswith("file:///")
 
 
+def test_pieces_of_a_null_decode_to_a_null(spark):
+    df = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in pieces.decode_documents(df, pieces.PieceOptions(queries.tokenizer_path("piece_bpe_32k.model"))).collect()} == {1: None, 2: ""}
+
+
+def test_equal_rows_are_spread_over_token_files(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("7L AS doc_id", "'the same words' AS text")
+    o = token_files.TokenFileOptions(queries.tokenizer_path("byte_bpe_50k.json"))
+    manifest = token_files.write_token_files(rows, o, f"file://{tmp_path}/t")
+    assert sum(m["rows"] for m in manifest) == 4000 and len(manifest) > 1
+
+
 # language
 
 
@@ -314,10 +325,20 @@ def test_pipeline_language_stage_drops_what_has_no_language(spark):
     assert len(kept) > 0.95 * docs.count()
 
 
+def test_pipeline_stages_take_columns_of_any_name(spark, named_docs):
+    import corpus_pipeline as c
+
+    docs = named_docs
+    for _, stage in c.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == named_docs.columns
+    kept = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert kept and {r.doc_id for r in c.STAGES[-1][1](spark, docs, SF).collect()} == kept
+
+
 def test_pipeline_deletes_what_it_worked_with(spark):
     import corpus_pipeline as c
 
     since = _common.mark()
     out = c.run(spark, SF)
     assert len(_common._working) <= since + 1 and out.count() > 0
-    assert PROSE
