@@ -12,7 +12,7 @@ little-endian bytes (four for vocabularies over 65,536), and the pieces (documen
 in the bin) that it holds.
 
 The duplicate cluster of a document is column ``cluster`` where the caller names one (a component of near-duplicates,
-say); else documents whose words are equal but for the case of A-Z are a cluster.
+say); else documents whose words are equal but for case are a cluster.
 
 Scale: items are spread over shards of about ``shard_items`` by a hash of document, piece and place in the input, so a hot
 source or cluster, or rows of one repeated id, are spread evenly and conflicts across shards can't happen. A shard is one
@@ -33,12 +33,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenscan.llm import token_files
 from lumenscan.llm._common import text_chunks
-from lumenscan.llm.shingles import mix, word_hashes
 
 
 @dataclass(frozen=True)
@@ -105,13 +105,9 @@ class BestFit:
 
 
 def copies(texts: pa.Array) -> list[int | None]:
-    """A hash of the sequence of words of each text, None without words."""
-    h, ends = word_hashes(texts)
-    place = np.arange(len(h)) - np.repeat(ends[:-1], np.diff(ends))
-    h = mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    before = np.append(np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64))
-    sums = mix(before[ends[1:]] - before[ends[:-1]]).view(np.int64)
-    return [int(x) if n else None for x, n in zip(sums, np.diff(ends))]
+    """A hash of the words of each text in lower case, None without words."""
+    words = [" ".join(t.lower().split()) for t in texts.to_pylist()]
+    return [xxhash.xxh3_64_intdigest(w) - (1 << 63) if w else None for w in words]
 
 
 _ITEMS = {"doc_id": pa.int64(), "piece": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "source": pa.string(), "cluster": pa.int64(), "salt": pa.int64(), "ids": pa.binary()}
@@ -124,22 +120,22 @@ def items(docs: DataFrame, o: PackingOptions, text: str = "text", key: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, seen = token_files.encoder(token_files.TokenFileOptions(o.tokenizer, memo=o.memo)), 0
-        end, size = np.array([token_files.END_ID], "<u4").tobytes(), 2 if to_ids.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = 2 if to_ids.tokenizer.get_vocab_size() <= 1 << 16 else 4
         for batch in batches:
-            for b in text_chunks(batch, "text", 1 << 20):
-                ids = [x + end for x in to_ids(b.column("text").to_pylist())]
-                lengths = np.array([len(x) // 4 for x in ids], np.int64)
+            for b in text_chunks(batch, "text", 8 << 20):
+                ids, at = to_ids.batch(b.column("text"), token_files.END_ID)
+                lengths = np.diff(at)
                 n_pieces = -(-lengths // o.capacity)
-                owner = np.repeat(np.arange(len(ids)), n_pieces)
+                owner = np.repeat(np.arange(b.num_rows), n_pieces)
                 piece = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
                 start = piece * o.capacity
                 n = np.minimum(lengths[owner] - start, o.capacity)
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{size}")
+                flat = ids.astype(f"<u{size}")
                 ends = np.append(0, np.cumsum(n * size)).astype(np.int32)  # pieces of a document follow each other
                 of = b.column("cluster") if cluster else pa.array(copies(b.column("text")), pa.int64())
                 take = lambda col: col.take(pa.array(owner))
                 columns = [take(b.column("doc_id")), pa.array(piece), pa.array(start), pa.array(n), take(b.column("source")), take(of), pa.array((seen + owner) // 65_536), pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(ends), pa.py_buffer(flat)])]
-                seen += len(ids)
+                seen += b.num_rows
                 yield pa.RecordBatch.from_arrays(columns, names=list(_ITEMS))
 
     return narrow.mapInArrow(run, "doc_id long, piece long, start long, n_tokens long, source string, cluster long, salt long, ids binary")
@@ -173,7 +169,9 @@ class _Bins:
 def pack_items(rows: DataFrame, o: PackingOptions, shards: int) -> DataFrame:
     """bin (unique over all shards), n_tokens, ids and pieces of every bin of the rows of items()."""
     order = ["shard", F.desc("n_tokens"), "doc_id", "piece", "source", "cluster", "salt"]
-    spread = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards))).repartition("shard").sortWithinPartitions(*order)
+    # a task takes eight shards at most, however large the input
+    tasks = max(min(shards, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-shards // 8))
+    spread = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards))).repartition(tasks, "shard").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bins = None, None

@@ -114,7 +114,7 @@ class Encoder(dict):
         self.model, self.o = model, o
         self.follows: dict[tuple[str, str], bool] = {}
 
-    # -- segmentation ------------------------------------------------------------------------------------------
+    # segmentation
 
     def _merged(self, text: str) -> list[str]:
         """What merging makes of a short text, one merge at a time: the definition."""

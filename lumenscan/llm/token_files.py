@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
@@ -109,23 +110,70 @@ class UnitEncoder:
         """Ids of any text, unit by unit."""
         return b"".join(self.spaced[u[1:]] if len(u) > 1 and u[0] == " " and not u[1].isspace() else self.first[u] for u in UNITS.findall(text))
 
+    def _whole(self, text: str) -> bytes | None:
+        """Ids of a text that isn't simply words between single spaces and line ends; None if it is."""
+        if any(x in text for x in self.special):
+            return self._encode(text)
+        if text[:1] in _EDGE or text[-1] in _EDGE or any(x in text for x in _RUNS) or _OTHER.search(text):
+            return self._units(text)
+        return None
+
+    def batch(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by end if there is one, and where each text's begin, with the end.
+
+        The words of all texts are split and told apart by Arrow, each distinct one is looked up once, and ids are
+        gathered by offsets. Between single spaces and line ends, what a unit is depends on nothing around it."""
+        if len(self.first) + len(self.spaced) > self.o.memo:
+            self.first.clear(), self.spaced.clear()
+        listed = texts.to_pylist()
+        odd = {i: ids for i, t in enumerate(listed) if (ids := self._whole(t)) is not None}
+        if odd:
+            texts = pa.array(["" if i in odd else t for i, t in enumerate(listed)], pa.large_string())
+        n = len(listed)
+        rows = pc.split_pattern(texts.cast(pa.large_string()), "\n")
+        text_of = np.repeat(np.arange(n), np.asarray(rows.value_lengths()))
+        words = pc.split_pattern(rows.flatten(), " ")
+        sizes = np.asarray(words.value_lengths())
+        coded = words.flatten().dictionary_encode()
+        word = np.asarray(coded.indices).astype(np.int64)
+        starts = np.append(0, np.cumsum(sizes))[:-1]  # of lines, in words; no line is without a word
+        leads = np.zeros(len(word), bool)
+        leads[starts] = True
+        # a unit is 2 * word, + 1 at the start of a line; then come the line end, the end and the odd texts
+        unit = 2 * word + leads
+        distinct = coded.dictionary.to_pylist()
+        used = np.zeros(2 * len(distinct), bool)
+        used[unit] = True
+        known = [self.first[distinct[u >> 1]] if u & 1 and distinct[u >> 1] else self.spaced[distinct[u >> 1]] if distinct[u >> 1] else b"" for u in np.flatnonzero(used).tolist()]
+        more = [self.first["\n"], b"" if end is None else np.array([end], "<u4").tobytes(), *odd.values()]
+        number = np.full(2 * len(distinct) + len(more), -1)
+        number[: len(used)][used] = np.arange(len(known))
+        line_end, after, first_odd = len(used), len(used) + 1, len(used) + 2
+        number[len(used) :] = np.arange(len(known), len(known) + len(more))
+        # line ends before all lines of a text but the first, the end after its last word
+        broken = np.append(False, text_of[1:] == text_of[:-1])
+        breaks, ends = np.cumsum(broken), text_of
+        line_of = np.repeat(np.arange(len(sizes)), sizes)
+        sequence = np.full(len(word) + int(breaks[-1] if n else 0) + n, after)
+        sequence[np.arange(len(word)) + breaks[line_of] + ends[line_of]] = unit
+        sequence[(starts + breaks + ends - 1)[broken]] = line_end
+        last = np.append(np.flatnonzero(np.diff(text_of)), len(sizes) - 1)[:n] if n else np.empty(0, int)
+        at_end = (starts + sizes + breaks + ends)[last]
+        sequence[at_end] = after
+        for k, i in enumerate(odd):
+            sequence[at_end[i] - 1] = first_odd + k
+        sequence = number[sequence]
+        pieces = known + more
+        lengths = np.fromiter((len(x) // 4 for x in pieces), np.int64, len(pieces))
+        offsets = np.append(0, np.cumsum(lengths))
+        counts = lengths[sequence]
+        before = np.append(0, np.cumsum(counts))
+        flat = np.frombuffer(b"".join(pieces), "<u4")[np.repeat(offsets[sequence] - before[:-1], counts) + np.arange(before[-1])]
+        return flat, before[np.append(0, at_end + 1)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for t in texts:
-            if len(self.first) + len(self.spaced) > self.o.memo:
-                self.first.clear(), self.spaced.clear()
-            if any(s in t for s in self.special):
-                out.append(self._encode(t))
-            elif t[:1] in _EDGE or t[-1] in _EDGE or any(x in t for x in _RUNS) or _OTHER.search(t):
-                out.append(self._units(t))
-            else:
-                # single spaces and line ends: what a unit is depends on nothing around it
-                parts = []
-                for line in t.split("\n"):
-                    head, *rest = line.split(" ")
-                    parts += (self.first["\n"], self.first[head], *map(self.spaced.__getitem__, rest))
-                out.append(b"".join(parts[1:]))
-        return out
+        flat, ends = self.batch(pa.array(texts, pa.large_string()))
+        return [flat[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
 
 
 _encoders: dict[TokenFileOptions, UnitEncoder] = {}
@@ -150,29 +198,29 @@ class _File:
         self.name, self.o = name, o
         self.to, self.temporary = f"{path}/{name}", f"{path}/_{uuid.uuid4().hex}"
         self.writer, self.rows, self.ids = None, 0, 0
-        self.held: tuple[list, list] = ([], [])
+        self.held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         self.n_held = 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.held[0].append(doc_id), self.held[1].append(ids)
-        self.n_held += len(ids) // 4
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.held.append((doc_ids, ids, np.diff(ends)))
+        self.n_held += len(ids)
         if self.n_held >= self.o.group_tokens:
             self.flush()
 
     def flush(self) -> None:
-        if not self.held[0]:
+        if not self.held:
             return
         if self.writer is None:
             self.writer = pq.ParquetWriter(
                 self.fs.open_output_stream(self.temporary), _SCHEMA, version="2.6", data_page_version="2.0", compression="zstd", compression_level=self.o.level, use_dictionary=False, write_page_index=True, data_page_size=self.o.page_bytes,
                 column_encoding={"doc_id": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED", "ids.list.element": "DELTA_BINARY_PACKED"},
             )
-        lengths = np.array([len(x) // 4 for x in self.held[1]], dtype=np.int64)
-        values = np.frombuffer(b"".join(self.held[1]), "<u4").astype(np.int32)
+        lengths = np.concatenate([n for _, _, n in self.held])
+        values = np.concatenate([ids for _, ids, _ in self.held]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values))
-        self.writer.write_table(pa.table([pa.array(self.held[0], pa.int64()), pa.array(lengths), lists], schema=_SCHEMA), row_group_size=len(lengths))
-        self.rows, self.ids = self.rows + len(lengths), self.ids + int(lengths.sum())
-        self.held, self.n_held = ([], []), 0
+        self.writer.write_table(pa.table([pa.chunked_array([d for d, _, _ in self.held]), pa.array(lengths), lists], schema=_SCHEMA), row_group_size=len(lengths))
+        self.rows, self.ids = self.rows + len(lengths), self.ids + len(values)
+        self.held, self.n_held = [], 0
 
     def close(self) -> None:
         self.flush()
@@ -193,11 +241,9 @@ def write_token_files(docs: DataFrame, o: TokenFileOptions, root: str, text: str
 
         part = TaskContext.get().partitionId()
         out, to_ids = _File(root, f"part-{part:05d}.parquet", o), encoder(o)
-        end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            for b in text_chunks(batch, "text", 2 << 20):
-                for doc_id, ids in zip(b.column("doc_id").to_pylist(), to_ids(b.column("text").to_pylist())):
-                    out.add(doc_id, ids + end)
+            for b in text_chunks(batch, "text", 8 << 20):
+                out.add(b.column("doc_id"), *to_ids.batch(b.column("text"), END_ID))
         out.close()
         if out.rows:
             yield pa.RecordBatch.from_pydict({"file": [out.name], "part": [part], "rows": [out.rows], "n_ids": [out.ids]})

@@ -215,7 +215,7 @@ def test_html_table_rows(spark):
     assert sorted(map(tuple, html_text.extract_pages(pages).collect()), key=str) == sorted([(1, None), (2, ""), (3, "a"), (3, "a"), (None, "b")], key=str)
 
 
-# --- top-k --------------------------------------------------------------------------------------------------------
+# top-k
 
 
 def clustered(n, clusters=100, d=16, seed=3):
@@ -266,7 +266,7 @@ def test_cells_are_skipped_and_copies_cost_nothing(spark):
         assert sorted(got[own]) == [(k + 1, ids[j], s[j]) for k, j in enumerate(order)]
 
 
-# --- near-duplicates ----------------------------------------------------------------------------------------------
+# near-duplicates
 
 
 def test_one_text_repeated_and_a_hot_posting(spark):

@@ -131,7 +131,7 @@ def test_html_pages(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
-# --- top-k --------------------------------------------------------------------------------------------------------
+# top-k
 
 
 def brute_top_k(ids, x, queries_, k):
@@ -317,7 +317,7 @@ def test_units_encode_as_the_whole_text():
         assert np.frombuffer(e([s])[0], "<u4").tolist() == e.tokenizer.encode(s, add_special_tokens=False).ids, repr(s)
 
 
-# --- near-duplicates ----------------------------------------------------------------------------------------------
+# near-duplicates
 
 
 def brute_components(rows, k, percent=80):
