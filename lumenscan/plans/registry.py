@@ -487,7 +487,7 @@ def oracle_sql() -> dict[str, str]:
         "sbom_verdict_of_parts": f"SELECT count(*) components, 0::BIGINT unread, 0::BIGINT errors, 'DECLARED' verdict FROM ({_COMPONENTS})",
         "sarif_of_parts": f"SELECT file, line, kind, n::INTEGER n, kind rule, detail message, {_UTF8.format(x='file')} uri, substr(sha256(kind || chr(31) || {_UTF8.format(x='file')} || chr(31) || detail || chr(31) || CASE WHEN n > 0 THEN '#' || n ELSE '' END), 1, 32) fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY kind, file, detail ORDER BY line) - 1 n FROM ({_KEYS}))",
         "cyclonedx_of_parts": f"SELECT file, line, quantum, primitive AS name, CASE WHEN quantum = 'WEAK-RNG' THEN 'other' ELSE coalesce(m.k, 'other') END kind, substr(sha256(concat_ws(chr(31), file, line, primitive, quantum)), 1, 32) bom_ref FROM ({_CRYPTO}) LEFT JOIN (VALUES ('hash', 'hash'), ('mac', 'mac'), ('cipher', 'block-cipher'), ('signature', 'signature'), ('kem', 'kem'), ('kdf', 'kdf'), ('rng', 'drbg')) m(c, k) ON m.c = category",
-        "archive_members_of_parts": _expected(expected.MEMBERS, "member size text outcome").replace("AS file", "AS rel").replace("e.member", "e.member AS path"),
+        "archive_members_of_parts": _expected(expected.MEMBERS, "member size text outcome").replace("AS file", "AS rel").replace("e.member", "e.member AS path").replace("e.size", "e.size::BIGINT AS size"),
         "member_keys_of_parts": f"SELECT 't' || p_partkey || '/lib/bundle.zip!conf/id' file, 1 line, 'private-key' kind, '-----BEGIN RSA PRIVATE KEY-----: key material present in the source tree' detail FROM part WHERE p_partkey % {n_files} = {list(FILES).index('lib/bundle.zip')}",
         "extensions_of_parts": f"SELECT x extension, count(*) n_files FROM part JOIN ({_values([(n, _suffix(f)) for n, f in enumerate(FILES) if not f.startswith('node_modules/')])}) e(fn, x) ON e.fn = p_partkey % {n_files} GROUP BY 1",
     }

@@ -79,7 +79,7 @@ def sarif_frame(findings: DataFrame, tool: str, verdict: str = "") -> tuple[str,
 
 def cbom_components(components: DataFrame) -> DataFrame:
     """file, line, primitive, quantum, component (JSON, CycloneDX 1.6) of every crypto use."""
-    kinds = F.create_map(*[lit(x) for pair in {"hash": "hash", "mac": "mac", "cipher": "block-cipher", "signature": "signature", "kem": "kem", "kdf": "kdf", "rng": "drbg"}.items() for x in pair])
+    kinds = F.create_map(*[lit(x) for named in "rng=drbg kdf kem signature cipher=block-cipher mac hash".split() for x in (named.split("=")[0], named.split("=")[-1])])
     part = F.struct(
         lit("cryptographic-asset").alias("type"),
         F.substring(F.sha2(F.concat_ws("\u001f", "file", c("line").cast("string"), "primitive", "quantum"), 256), 1, 32).alias("bom-ref"),
@@ -96,7 +96,7 @@ def quantum_level(status: Column) -> Column:
     return F.when(status.isin("BROKEN", "VULNERABLE"), 0)
 
 
-BOM_FRAME = ('{"bomFormat": "CycloneDX", "specVersion": "1.6", "version": 1, "components": [', "]}")
+BOM_FRAME = ('{"version": 1, "specVersion": "1.6", "bomFormat": "CycloneDX", "components": [', "]}")
 
 
 def bom_refs(components: DataFrame) -> DataFrame:
@@ -152,13 +152,13 @@ def csaf(statements: list[dict], label: str, subject_digest: str, publisher: dic
         }
         for s in rows
     ]
-    notes = [{"category": "general", "title": "What was read", "text": "; ".join(f"{p['name']}: {p['value']}" for p in coverage or ())}] if coverage else []
+    notes = [{"title": "Coverage", "category": "general", "text": "; ".join(f"{p['name']}: {p['value']}" for p in coverage or ())}] if coverage else []
     document = {
-        "category": "csaf_vex", "csaf_version": "2.0", "lang": "en", "title": f"Weakness statements for {label}", "notes": notes,
-        "publisher": {"category": publisher.get("category", "other"), "name": publisher["name"].strip(), "namespace": publisher["namespace"]},
-        "tracking": {"id": f"VEX-{tracking}", "status": "interim", "version": "1", "initial_release_date": when, "current_release_date": when, "revision_history": [{"number": "1", "date": when, "summary": "First issue."}]},
+        "title": f"Weaknesses told of {label}", "notes": notes, "lang": "en", "csaf_version": "2.0", "category": "csaf_vex",
+        "tracking": {"revision_history": [{"summary": "Issued.", "number": "1", "date": when}], "id": f"VEX-{tracking}", "version": "1", "status": "interim", **{f"{x}_release_date": when for x in ("current", "initial")}},
+        "publisher": {"namespace": publisher["namespace"], "name": publisher["name"].strip(), "category": publisher.get("category", "other")},
     }
-    return {"document": document, "product_tree": {"full_product_names": [{"product_id": "tree", "name": label}]}, "vulnerabilities": told}
+    return {"vulnerabilities": told, "document": document, "product_tree": {"full_product_names": [{"name": label, "product_id": "tree"}]}}
 
 
 def read_report(data: bytes, kind: str | None = None) -> dict:
