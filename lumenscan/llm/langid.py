@@ -153,8 +153,8 @@ class WordScores:
             grown = np.empty((to + to // 4, self.rows.shape[1]), dtype=np.float32)
             grown[:n] = self.rows[:n]
             self.rows = grown
-        for i in range(0, len(missing), 50_000):
-            self.rows[n + i : n + i + 50_000][: len(missing) - i] = self.model.scores(missing[i : i + 50_000])
+        for i in range(0, len(missing), 20_000):
+            self.rows[n + i : n + i + 20_000][: len(missing) - i] = self.model.scores(missing[i : i + 20_000])
         self.known.update(zip(missing, range(n, to)))
 
 
@@ -239,7 +239,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for b in text_chunks(batch, text, 4 << 20):
+            for b in text_chunks(batch, text, 2 << 20):
                 names, scores = score_texts(m, b.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, f"{P}lang_pred", f"{P}score"])
 
