@@ -47,8 +47,9 @@ class PackingOptions:
     tokenizer: str
     capacity: int = 2_048
     shard_items: int = 4_096
-    #: Units of text a worker remembers.
-    memo: int = 400_000
+    #: Units of text a worker remembers, and bytes of text it encodes at once: more of either takes less time and more memory.
+    memo: int = 600_000
+    slice_bytes: int = 4 << 20
 
 
 class BestFit:
@@ -122,7 +123,7 @@ def items(docs: DataFrame, o: PackingOptions, text: str = "text", key: str = "do
         to_ids, seen = token_files.encoder(token_files.TokenFileOptions(o.tokenizer, memo=o.memo)), 0
         size = 2 if to_ids.tokenizer.get_vocab_size() <= 1 << 16 else 4
         for batch in batches:
-            for b in text_chunks(batch, "text", 2 << 20):
+            for b in text_chunks(batch, "text", o.slice_bytes):
                 ids, at = to_ids.batch(b.column("text"), token_files.END_ID)
                 lengths = np.diff(at)
                 n_pieces = -(-lengths // o.capacity)

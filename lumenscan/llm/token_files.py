@@ -66,14 +66,25 @@ _AS_WRITTEN = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enu
 
 
 class _Units(dict):
-    """unit -> little-endian uint32 ids; before is what stands before every unit. What's missing is encoded and remembered."""
+    """unit -> little-endian uint32 ids; before is what stands before every unit. What's missing is encoded and remembered.
+
+    What is remembered are two generations: units of the older one that are met again move to the younger."""
 
     def __init__(self, encode: Callable[[str], bytes], tokenize: Callable, before: str, most: int):
         super().__init__()
         self.encode, self.tokenize, self.before, self.most = encode, tokenize, before, most
         self.mark = "".join(_AS_WRITTEN[ord(c)] for c in before)
+        self.older: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        """Forgets the older generation."""
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, unit: str) -> bytes:
+        if (out := self.older.get(unit)) is not None:
+            self[unit] = out
+            return out
         if unit.isalpha() and (unit.isascii() or max(unit) < "\u0250"):
             # one piece of letters: straight to the model
             written = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_AS_WRITTEN)
@@ -123,8 +134,8 @@ class UnitEncoder:
 
         The words of all texts are split and told apart by Arrow, each distinct one is looked up once, and ids are
         gathered by offsets. Between single spaces and line ends, what a unit is depends on nothing around it."""
-        if len(self.first) + len(self.spaced) > self.o.memo:
-            self.first.clear(), self.spaced.clear()
+        if 2 * (len(self.first) + len(self.spaced)) > self.o.memo:
+            self.first.turn(), self.spaced.turn()
         listed = texts.to_pylist()
         odd = {i: ids for i, t in enumerate(listed) if (ids := self._whole(t)) is not None}
         if odd:
