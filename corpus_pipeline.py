@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of token ids of all documents; returned are their pieces."""
     # the workers hold the language model too: little is remembered and encoded at once
-    options = packing.PackingOptions(tokenizer_path("byte_bpe_50k.json"), memo=400_000, slice_bytes=2 << 20)
+    options = packing.PackingOptions(tokenizer_path("byte_bpe_50k.json"), memo=150_000, slice_bytes=1 << 20)
     bins = packing.pack_documents(docs, options)
     return packing.piece_table(written(bins, "bins"))
 
