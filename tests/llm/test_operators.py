@@ -369,6 +369,30 @@ def test_near_duplicates_match_brute_force(spark, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_near_duplicates_move_texts_of_a_family_once(spark, monkeypatch):
+    """A large family in which most links fail: its texts used to be moved once for every pair that failed."""
+    rnd, base = random.Random(5), [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(f"x{rnd.randrange(40)}" if rnd.random() < 0.04 else w for w in base)) for i in range(90)]
+    moved, write = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, what: (out := write(df, what), moved.append(out.count()) if what == "wanted" else None)[0])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearDupOptions(shingle=4)).collect()}
+    assert got == brute_components(rows, 4)
+    assert 1 < len({c for _, c in got.values()}) < 90
+    assert sum(moved) <= 90
+
+
+def test_stars_that_are_near_give_one_link():
+    """Two stars of one posting list whose members reach each other: used to give every pair of members."""
+    o, rnd = neardup.NearDupOptions(), np.random.default_rng(3)
+    a, b = rnd.integers(0, 256, (2, 64), dtype=np.uint8)
+    middle = np.where(np.arange(64) < 32, a, b)
+    at = lambda x, y: np.where(np.arange(64) < y, x, middle)
+    sig = np.array([a, b, *(at(a, 36) for _ in range(20)), *(np.where(np.arange(64) >= 28, b, a) for _ in range(20))], np.uint8)
+    i, j = neardup._stars(np.zeros(42, np.int64), np.full(42, 100), sig, o)
+    assert len(i) == 41
+    assert all((sig[x] == sig[y]).sum() >= o.least for x, y in zip(i, j))
+
+
 def test_near_duplicates_on_odd_rows(odd_docs, no_docs):
     rows = neardup.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
