@@ -381,6 +381,20 @@ def test_near_duplicates_move_texts_of_a_family_once(spark, monkeypatch):
     assert sum(moved) <= 90
 
 
+def test_family_of_linked_classes_takes_few_comparisons():
+    """The pipeline's stage of near-duplicates used to confirm about every pair of a family one by one."""
+    o, rnd = neardup.NearDupOptions(), np.random.default_rng(8)
+    base = np.arange(200, dtype=np.uint64)
+    sets = [np.sort(np.append(rnd.choice(base, 188, replace=False), rnd.integers(1000, 10**6, 2, dtype=np.uint64))) for _ in range(300)]
+    alone = np.arange(150, 350, dtype=np.uint64)
+    root = np.arange(301)
+    compared = neardup._forest([*sets, alone], root, np.zeros(301, int), o)
+    assert len(set(root[:300])) == 1 and root[300] != root[0]
+    assert compared < 10 * 301
+    halves = neardup._joined(list(range(301)), [0] * 150 + [1] * 151, [*sets, alone], o)
+    assert sorted(map(tuple, halves.tolist())) == [(0, i) for i in range(1, 300)]
+
+
 def test_stars_that_are_near_give_one_link():
     """Two stars of one posting list whose members reach each other: used to give every pair of members."""
     o, rnd = neardup.NearDupOptions(), np.random.default_rng(3)
