@@ -6,7 +6,8 @@ no bin with one of its source or of its cluster. The successor search goes from
 (per source, the number of its bins at every residual is kept, so residuals without a free bin are passed over at once)
 until a residual has a compatible bin; the oldest such bin is taken; with none, a new bin is opened.
 
-Documents are encoded with the byte-level tokenizer of token_files and get its end id. One longer than a bin is cut into
+Documents are encoded with the byte-level tokenizer of token_files (plain words by arrays of merges, with the same ids)
+and get its end id. One longer than a bin is cut into
 pieces: full ones fill bins of their own, the rest is packed. The result are the bins themselves: the ids of each, in two
 little-endian bytes (four for vocabularies over 65,536), and the pieces (document, number, offset in the document, offset
 in the bin) that it holds.
@@ -47,7 +48,7 @@ class PackingOptions:
     tokenizer: str
     capacity: int = 2_048
     shard_items: int = 4_096
-    #: Units of text a worker remembers, and bytes of text it encodes at once: more of either takes less time and more memory.
+    #: Units of text, of those that the library encodes, a worker remembers, and bytes of text it encodes at once: more of either takes less time and more memory.
     memo: int = 600_000
     slice_bytes: int = 4 << 20
 
@@ -114,13 +115,18 @@ def copies(texts: pa.Array) -> list[int | None]:
 _ITEMS = {"doc_id": pa.int64(), "piece": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "source": pa.string(), "cluster": pa.int64(), "salt": pa.int64(), "ids": pa.binary()}
 
 
+def encoder(o: PackingOptions) -> token_files.UnitEncoder:
+    """The worker's encoder."""
+    return token_files.encoder(token_files.TokenFileOptions(o.tokenizer, memo=o.memo), token_files.MergeEncoder)
+
+
 def items(docs: DataFrame, o: PackingOptions, text: str = "text", key: str = "doc_id", source: str = "source", cluster: str | None = None) -> DataFrame:
     """doc_id, piece, start, n_tokens, source, cluster, salt (place in the input) and ids of every piece."""
     c = lambda name: F.col(f"`{name}`")
     narrow = docs.select(c(key).cast("long").alias("doc_id"), F.coalesce(c(text), F.lit("")).alias("text"), c(source).cast("string").alias("source"), (c(cluster).cast("long") if cluster else F.lit(None).cast("long")).alias("cluster"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, seen = token_files.encoder(token_files.TokenFileOptions(o.tokenizer, memo=o.memo)), 0
+        to_ids, seen = encoder(o), 0
         size = 2 if to_ids.tokenizer.get_vocab_size() <= 1 << 16 else 4
         for batch in batches:
             for b in text_chunks(batch, "text", o.slice_bytes):

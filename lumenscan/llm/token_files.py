@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenscan.llm._common import fresh_dir, text_chunks
+from lumenscan.llm.merges import AS_WRITTEN, Merges, plain
 
 #: White space as Unicode has it (Python's own \s has four control characters more).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -60,23 +61,18 @@ class TokenFileOptions:
     level: int = 3
 
 
-#: The characters by which byte-level models write bytes.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_AS_WRITTEN = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
-
-
 class _Units(dict):
     """unit -> little-endian uint32 ids; before is what stands before every unit. What's missing is encoded and remembered."""
 
     def __init__(self, encode: Callable[[str], bytes], tokenize: Callable, before: str, most: int):
         super().__init__()
         self.encode, self.tokenize, self.before, self.most = encode, tokenize, before, most
-        self.mark = "".join(_AS_WRITTEN[ord(c)] for c in before)
+        self.mark = "".join(AS_WRITTEN[ord(c)] for c in before)
 
     def __missing__(self, unit: str) -> bytes:
         if unit.isalpha() and (unit.isascii() or max(unit) < "\u0250"):
             # one piece of letters: straight to the model
-            written = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_AS_WRITTEN)
+            written = unit if unit.isascii() else unit.encode().decode("latin-1").translate(AS_WRITTEN)
             out = array("I", [t.id for t in self.tokenize(self.mark + written)]).tobytes()
         elif unit[-1:] in (".", ",") and (bare := unit[:-1]).isalpha() and (bare.isascii() or max(bare) < "\u0250"):
             # what follows a run of letters is a piece of its own
@@ -118,6 +114,13 @@ class UnitEncoder:
             return self._units(text)
         return None
 
+    def units(self, words: pa.Array, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units (2 * word, + 1 without the space before), and where in them those of each begin and how many they are."""
+        listed = words.to_pylist()
+        known = [self.first[listed[u >> 1]] if u & 1 and listed[u >> 1] else self.spaced[listed[u >> 1]] if listed[u >> 1] else b"" for u in units.tolist()]
+        lengths = np.fromiter((len(x) // 4 for x in known), np.int64, len(known))
+        return np.frombuffer(b"".join(known), "<u4"), np.cumsum(lengths) - lengths, lengths
+
     def batch(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each followed by end if there is one, and where each text's begin, with the end.
 
@@ -141,15 +144,17 @@ class UnitEncoder:
         leads[starts] = True
         # a unit is 2 * word, + 1 at the start of a line; then come the line end, the end and the odd texts
         unit = 2 * word + leads
-        distinct = coded.dictionary.to_pylist()
-        used = np.zeros(2 * len(distinct), bool)
+        used = np.zeros(2 * len(coded.dictionary), bool)
         used[unit] = True
-        known = [self.first[distinct[u >> 1]] if u & 1 and distinct[u >> 1] else self.spaced[distinct[u >> 1]] if distinct[u >> 1] else b"" for u in np.flatnonzero(used).tolist()]
-        more = [self.first["\n"], b"" if end is None else np.array([end], "<u4").tobytes(), *odd.values()]
-        number = np.full(2 * len(distinct) + len(more), -1)
-        number[: len(used)][used] = np.arange(len(known))
+        ids, begins, lengths = self.units(coded.dictionary, np.flatnonzero(used))
+        more = [np.frombuffer(x, "<u4") for x in (self.first["\n"], b"" if end is None else np.array([end], "<u4").tobytes(), *odd.values())]
+        number = np.full(len(used) + len(more), -1)
+        number[: len(used)][used] = np.arange(len(lengths))
         line_end, after, first_odd = len(used), len(used) + 1, len(used) + 2
-        number[len(used) :] = np.arange(len(known), len(known) + len(more))
+        number[len(used) :] = np.arange(len(lengths), len(lengths) + len(more))
+        of_more = np.array([len(x) for x in more])
+        begins, lengths = np.append(begins, len(ids) + np.cumsum(of_more) - of_more), np.append(lengths, of_more)
+        ids = np.concatenate([ids, *more])
         # line ends before all lines of a text but the first, the end after its last word
         broken = np.append(False, text_of[1:] == text_of[:-1])
         breaks, ends = np.cumsum(broken), text_of
@@ -163,12 +168,9 @@ class UnitEncoder:
         for k, i in enumerate(odd):
             sequence[at_end[i] - 1] = first_odd + k
         sequence = number[sequence]
-        pieces = known + more
-        lengths = np.fromiter((len(x) // 4 for x in pieces), np.int64, len(pieces))
-        offsets = np.append(0, np.cumsum(lengths))
         counts = lengths[sequence]
         before = np.append(0, np.cumsum(counts))
-        flat = np.frombuffer(b"".join(pieces), "<u4")[np.repeat(offsets[sequence] - before[:-1], counts) + np.arange(before[-1])]
+        flat = ids[np.repeat(begins[sequence] - before[:-1], counts) + np.arange(before[-1])]
         return flat, before[np.append(0, at_end + 1)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -176,14 +178,37 @@ class UnitEncoder:
         return [flat[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
 
 
-_encoders: dict[TokenFileOptions, UnitEncoder] = {}
+class MergeEncoder(UnitEncoder):
+    """A UnitEncoder with the same ids that merges plain words itself, all of a batch at once, instead of asking the library for each and remembering it."""
+
+    def __init__(self, o: TokenFileOptions):
+        super().__init__(o)
+        self.merges = Merges.of(o.tokenizer)
+
+    def units(self, words: pa.Array, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.merges is None:
+            return super().units(words, units)
+        word, own = units >> 1, plain(words)[units >> 1]
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"\0", np.uint8)
+        mine = word[own]
+        ids, at, n = self.merges.encode(data, ends[mine], ends[mine + 1] - ends[mine], units[own] & 1 == 0)
+        of_rest = word[~own]  # 2 * place, + 1 without the space before
+        others, at_others, n_others = super().units(words.take(pa.array(of_rest)), 2 * np.arange(len(of_rest)) + (units[~own] & 1))
+        begins, lengths = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        begins[own], lengths[own] = at, n
+        begins[~own], lengths[~own] = len(ids) + at_others, n_others
+        return np.concatenate([ids, others]), begins, lengths
+
+
+_encoders: dict[tuple[type, TokenFileOptions], UnitEncoder] = {}
 
 
-def encoder(o: TokenFileOptions) -> UnitEncoder:
+def encoder(o: TokenFileOptions, kind: type[UnitEncoder] = UnitEncoder) -> UnitEncoder:
     """One a worker process, with what it remembers."""
-    if o not in _encoders:
-        _encoders[o] = UnitEncoder(o)
-    return _encoders[o]
+    if (kind, o) not in _encoders:
+        _encoders[kind, o] = kind(o)
+    return _encoders[kind, o]
 
 
 _SCHEMA = pa.schema([pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("ids", pa.list_(pa.int32()))])

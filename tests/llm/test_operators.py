@@ -317,6 +317,36 @@ def test_units_encode_as_the_whole_text():
         assert np.frombuffer(e([s])[0], "<u4").tolist() == e.tokenizer.encode(s, add_special_tokens=False).ids, repr(s)
 
 
+def test_plain_words_are_merged_as_the_library_does(tmp_path):
+    import json
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    e = token_files.MergeEncoder(token_files.TokenFileOptions(path))
+    random.seed(2)
+    words = ["".join(random.choice("etaoinshrdluETAé") for _ in range(random.randrange(1, 14))) + random.choice(["", ".", ",", "***", "12", "-x"]) for _ in range(4000)]
+    words += ["aaaaaaaaaaa", "zzzz", "ßÿɏ", "a" * 48, "11111a11", "#" * 30]
+    texts = [" ".join(words[i : i + 40]) + "\n" + " ".join(words[i + 7 : i + 9]) + "x" for i in range(0, len(words), 40)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {*e.first, *e.spaced} == {"\n"}  # the library was asked for no word
+    odd = ["don't ‘stop’ " + "b" * 60, "a×b ÷ 中文 \x1c x", "<|endoftext|> a", "tab\there", "", " "]
+    random.shuffle(words)
+    odd += [f"{random.choice(odd)} {w}" for w in words[:200]]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e(odd)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    # a merge over the place where letters and digits meet: the library, which cuts there first, is asked for all
+    j["model"]["vocab"]["a1"] = len(j["model"]["vocab"]) + 1
+    j["model"]["merges"].append(["a", "1"])
+    (tmp_path / "t.json").write_text(json.dumps(j), encoding="utf-8")
+    over = token_files.MergeEncoder(token_files.TokenFileOptions(str(tmp_path / "t.json")))
+    assert over.merges is None and [np.frombuffer(x, "<u4").tolist() for x in over(["a1 ba1c", "a1"])] == [over.tokenizer.encode(t, add_special_tokens=False).ids for t in ["a1 ba1c", "a1"]]
+
+
+def test_packing_encodes_by_merges(odd_docs):
+    o = packing.PackingOptions(queries.tokenizer_path("byte_bpe_50k.json"))
+    assert packing.encoder(o).merges is not None and packing.encoder(o) is packing.encoder(o)
+
+
 # near-duplicates
 
 
