@@ -577,3 +577,15 @@ def test_pipeline_stages_take_effect(spark, odd_docs):
     for _, stage in c.STAGES:
         odd_docs = stage(spark, odd_docs, SF)
     assert odd_docs.count() > 0
+
+
+def test_pipeline_packing_asks_the_library_for_no_plain_word(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    docs, options, pack = spark.createDataFrame([(1, "some words", "a")], "doc_id long, text string, source string"), [], packing.pack_documents
+    monkeypatch.setattr(packing, "pack_documents", lambda d, o: options.append(o) or pack(d, o))
+    assert c.pack_bins(spark, docs, SF).count() == 1
+    e = packing.encoder(options[0])
+    for n in (100, 10_000):  # however many words there are
+        e([" ".join(f"w{i}x{n}." for i in range(n))])
+        assert {*e.first, *e.spaced} <= {"\n"}
