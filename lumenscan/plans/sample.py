@@ -8,6 +8,12 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenscan.sources.lineage import spread
+
+#: Files of a task: a part is a few bytes, its file is work for a parser, so what a task reads of the table must not decide.
+FILES_A_TASK = 8192
+
+
 def _zip(members: dict[str, bytes]) -> bytes:
     """A zip archive, always the same bytes."""
     to = io.BytesIO()
@@ -69,5 +75,5 @@ def sample_files(spark: SparkSession) -> DataFrame:
 def tree_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(rel, size, content) of a tree that grows with table part: a folder a part, with one of the sample's files in it."""
     own = spark.createDataFrame([(n, k, len(content_of(k)), content_of(k)) for n, k in enumerate(FILES)], "n int, name string, size long, content binary")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.pmod("p_partkey", F.lit(len(FILES))).cast("int").alias("n"))
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.pmod("p_partkey", F.lit(len(FILES))).cast("int").alias("n")), "p_partkey", FILES_A_TASK)
     return part.join(F.broadcast(own), "n").select(F.concat(F.lit("t"), "p_partkey", F.lit("/"), "name").alias("rel"), "size", "content")

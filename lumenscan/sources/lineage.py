@@ -36,6 +36,12 @@ def _clean(sc: SparkContext) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """rows over tasks of about `most` of them, by the hash of a column; fewer where cores would stay idle, but most / 8 at least. For small rows that stand for much work, which one block of a table holds by the million. Counts rows."""
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, -(-n // most), min(cores, n * 8 // most)), by)
+
+
 def numbered(rows: DataFrame, group: list[str], order: list[str | Column], to: str = "idx") -> DataFrame:
     """rows with their number (from 0) within their group, by order.
 
