@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenscan.functions import key_names as k
+from lumenscan.functions.crypto_rules import literals_of
 from lumenscan.operators import cbom
 from lumenscan.sources.lineage import cut
 from lumenscan.sources.pyfacts import is_python
@@ -148,7 +149,9 @@ def assignments(texts: DataFrame) -> DataFrame:
 def credential_shapes(texts: DataFrame) -> DataFrame:
     """Strings of a provider's form, unless masked; unrolled over the shapes, so no join."""
     named = lambda s: lambda m: F.struct(lit(s).alias("shape"), m.alias("m"))  # noqa: E731 (a second parameter would be the index)
-    hits = F.concat(*[F.transform(F.regexp_extract_all("text", lit(p), lit(0)), named(s)) for s, p in k.SHAPES.items()])
+    here = lambda p: reduce(lambda a, b: a | b, [c("text").contains(x) for x in literals_of(p, cased=True)])  # noqa: E731 (most texts lack a shape's literals)
+    every = lambda p: F.when(here(p), F.regexp_extract_all("text", lit(p), lit(0))).otherwise(F.array().cast("array<string>"))
+    hits = F.concat(*[F.transform(every(p), named(s)) for s, p in k.SHAPES.items()])
     return texts.select(c("rel").alias("file"), F.explode(hits).alias("h")).where(~c("h.m").rlike("[*Xx]{8,}")).groupBy("file", c("h.shape").alias("shape")).agg(F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lumenscan.functions import key_names
+from lumenscan.functions import key_names, timestamps
 from lumenscan.functions.crypto_rules import rule_rows, token_rows
 from lumenscan.operators import archives, cbom, egress, keys, manifests, merkle, setup_scripts
 from lumenscan.plans import expected, registry, reports, sinks
@@ -143,6 +143,31 @@ def test_markers_are_found_over_joints_in_one_expression(spark):
     assert df.where(F.col("text").rlike(keys.MARKED) != F.col("want")).isEmpty()
 
 
+def test_tokens_of_long_texts_are_told_by_their_literals_first(spark):
+    """The same tokens with and without the literals, in either case and inside prose; texts without a literal ask for no pattern."""
+    words = "dilithium ml-DSA mlkem KYBER slh_dsa hqc fn-dsa Falcon-512 falconpadded lamport merkle-tree xmss RSA rsa_2048 prime256v1 secp384r1 ECDSA ecdh ed25519 x25519 Curve25519 dsa diffie-hellman aes256 AES-128 chacha20 3des triple-des des_cbc RC4 rs256 ps384 ES256K EdDSA hs512 rsa-oaep pbkdf2 PBKDF2_hash bcrypt scrypt argon2id universal does 256".split()
+    texts = [*words, *(f"the {w}, and" for w in words), "alg: 'None'", '"alg" = "none"', "\u0130 \u212ayber", "", None, "plain words only"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select("text", cbom._tokens_of(F.col("text"), True)["primitive"].alias("a"), cbom._tokens_of(F.col("text"))["primitive"].alias("b")).collect()
+    assert [(r.text, r.a or []) for r in got] == [(r.text, r.b or []) for r in got] and {x for r in got for x in r.a or []} == {r[1] for r in token_rows()}
+    assert all(len(x) >= 3 for every in cbom.LITERALS.values() for x in every) and len(cbom._LITERALS) < 60
+
+
+def test_frames_of_tokens_are_made_once_a_size():
+    timestamps._frame.cache_clear()
+    made = [timestamps.token(bytes([n]) * 32, 7) for n in range(20)]
+    assert timestamps._frame.cache_info().misses == 1
+    assert all(timestamps.stamps(t, bytes([n]) * 32, 7) and not timestamps.stamps(t, b"x" * 32, 7) for n, t in enumerate(made))
+    assert timestamps.token(b"", None, bare=True) != timestamps.token(b"\0", None, bare=True)
+
+
+def test_dependencies_parse_no_file_but_noxfiles(spark):
+    texts, facts = scan(spark, {"noxfile.py": "session.install('attrs==23.1')", "other.py": "session.install('rich')"})
+    assert [(r.file, r.name) for r in manifests.declared(texts, facts).collect()] == [("noxfile.py", "attrs")]
+    plan = manifests.declared(texts, facts.where("rel = 'none'"))  # what facts it is given doesn't matter: it makes its own
+    assert plan.count() == 1
+
+
 def test_all_credential_shapes_are_found(spark):
     texts, _ = scan(spark, {"a": "x github_pat_" + "a1B2" * 6 + " y", "b": "Authorization: Bearer  " + "a.B-1" * 5, "c": "Bearer of news", "d": "github_pat_short"})
     assert {(r.file, r.shape, r.n) for r in keys.credential_shapes(texts).collect()} == {("a", "github-fine-grained-token", 1), ("b", "bearer-token", 1)}
