@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lumenscan.operators.egress import NETWORK
 from lumenscan.sources.lineage import cut
+from lumenscan.sources.pyfacts import py_facts
 from lumenscan.sources.tree import lines
 
 c, lit = F.col, F.lit
@@ -289,8 +290,8 @@ def declared(texts: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     js = e.where("kind = 'package.json' and section like '%ependencies'").select(c("rel").alias("file"), "line", c("key").alias("name"), c("value").alias("spec"), lit("npm").alias("ecosystem"), blocks[c("section")].alias("scope"), lit("").alias("extra"), lit("").alias("source"))
     conda = e.where("section = 'conda'").select(c("rel").alias("file"), "line", F.regexp_extract(F.regexp_replace("key", "^.*::", ""), r"^([A-Za-z0-9_.-]+)", 1).alias("name"), c("key").alias("spec"), lit("conda").alias("ecosystem"), lit("required").alias("scope"), lit("").alias("extra"), lit("").alias("source"))
     parts = [req, py, js, conda]
-    if facts is not None:  # session.install(...) of a noxfile, once a name
-        s = facts.where("kind = 'call' and name = 'install'").where(c("rel").rlike(r"(^|/)noxfile\.py$"))
+    if facts is not None:  # session.install(...) of a noxfile, once a name; of the facts of texts only those of noxfiles are made
+        s = py_facts(texts.where(c("rel").rlike(r"(^|/)noxfile\.py$"))).where("kind = 'call' and name = 'install'")
         s = s.select("rel", "line", F.explode("args").alias("spec")).where("spec <> '' and spec not like '-%'")
         nox = s.groupBy(c("rel").alias("file"), requirement_name(c("spec")).alias("name")).agg(F.min(F.struct("line", "spec")).alias("f"))
         parts.append(nox.select("file", "f.line", "name", "f.spec", lit("pypi").alias("ecosystem"), lit("dev").alias("scope"), lit("").alias("extra"), lit("").alias("source")))
